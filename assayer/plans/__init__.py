@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("metrics",)
+THEMES = ("metrics", "projections")
 
 
 def load():

@@ -129,7 +129,7 @@ SELECT run_id, least(CAST(floor(confidence * 10) AS INTEGER), 9) AS bin, confide
 rel AS (SELECT r.run_id, i.bin, count(b.bin) AS n, coalesce(avg(b.confidence), (i.bin + 0.5) / 10) AS mean_conf,
        avg(b.ok) AS accuracy
 FROM (SELECT DISTINCT run_id FROM b) r CROSS JOIN (SELECT CAST(unnest(range(10)) AS INTEGER) AS bin) i
-LEFT JOIN b ON b.run_id = r.run_id AND b.bin = i.bin GROUP BY ALL),
+LEFT JOIN b ON b.run_id = r.run_id AND b.bin = i.bin GROUP BY r.run_id, i.bin),
 ece AS (SELECT run_id, sum(n * abs(accuracy - mean_conf)) / sum(n) AS ece FROM rel WHERE n > 0 GROUP BY run_id)"""
 
 
