@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("metrics", "projections")
+THEMES = ("metrics", "projections", "statistics", "judging")
 
 
 def load():
