@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("metrics", "projections", "statistics", "judging")
+THEMES = ("metrics", "projections", "statistics", "judging", "audit")
 
 
 def load():
