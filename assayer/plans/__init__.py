@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("metrics", "projections", "statistics", "judging", "audit")
+THEMES = ("metrics", "projections", "statistics", "judging", "audit", "text")
 
 
 def load():
