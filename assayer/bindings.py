@@ -241,8 +241,9 @@ def agents(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- reports with citations -------------------------------------------------------
+REPORT_STEP = 10_000_000
 SENTENCES_SQL = """
-SELECT l_orderkey AS item_id, l_linenumber AS ord, l_partkey, l_suppkey,
+SELECT l_orderkey * 10000000 + l_partkey // 10000 AS item_id, l_orderkey, l_linenumber AS ord, l_partkey, l_suppkey,
        concat('刑法第 ', CAST(l_partkey % 40 AS STRING), ' 條',
               CASE WHEN l_linenumber % 3 = 0 THEN '不構成本罪' ELSE '' END) AS sentence
 FROM lineitem"""
@@ -252,23 +253,24 @@ PRIORITY_ELEMENTS = [(p, e) for k, p in enumerate(PRIORITIES) for e in (f"第 {8
 REPORT_TEXT_SQL = f"""
 SELECT s.item_id, o.o_orderpriority AS class, s.body AS body
 FROM (SELECT item_id, string_agg(sentence, '。' ORDER BY ord, l_partkey, l_suppkey) AS body
-      FROM ({SENTENCES_SQL}) x GROUP BY item_id) s JOIN orders o ON o.o_orderkey = s.item_id"""
+      FROM ({SENTENCES_SQL}) x GROUP BY item_id) s JOIN orders o ON o.o_orderkey = s.item_id // 10000000"""
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").alias("ord"), "l_partkey", "l_suppkey",
+        (F.col("l_orderkey") * REPORT_STEP + F.expr("l_partkey div 10000")).alias("item_id"), "l_orderkey",
+        F.col("l_linenumber").alias("ord"), "l_partkey", "l_suppkey",
         F.concat(F.lit("刑法第 "), (F.col("l_partkey") % 40).cast("string"), F.lit(" 條"),
                  F.when(F.col("l_linenumber") % 3 == 0, "不構成本罪").otherwise("")).alias("sentence"))
 
 
 def report_texts(spark: SparkSession, d: str) -> DataFrame:
-    """One text per order. A text is a row, so its lines meet by the order key (a few lines each)."""
-    lines = sentences(spark, d).groupBy("item_id").agg(
+    """One text per order and block of parts: the block bounds the lines that become one row."""
+    lines = sentences(spark, d).groupBy("item_id", "l_orderkey").agg(
         F.sort_array(F.collect_list(F.struct("ord", "l_partkey", "l_suppkey", "sentence"))).alias("lines"))
     orders = table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("item_id"), F.col("o_orderpriority").alias("class"))
-    return lines.join(orders, "item_id").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("class"))
+    return lines.join(orders, "l_orderkey").select(
         "item_id", "class", F.array_join(F.col("lines.sentence"), "。").alias("body"))
 
 
