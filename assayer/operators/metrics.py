@@ -135,13 +135,17 @@ def prediction_histogram(cases: DataFrame) -> DataFrame:
     return cases.groupBy("run_id", PREDICTED).agg(F.count(F.lit(1)).alias("n"))
 
 
-def reliability(cases: DataFrame, bins: int = 10) -> DataFrame:
-    """Equal-width bins of confidence; an empty bin has its centre and no accuracy."""
-    known = cases.filter(F.col("confidence").isNotNull())
+def filled_bins(cases: DataFrame, bins: int = 10) -> DataFrame:
+    """Equal-width bins of confidence that hold rows; unknown confidences are left out."""
     index = F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1)).cast("int")
-    filled = known.groupBy("run_id", index.alias("bin")).agg(
+    return cases.filter(F.col("confidence").isNotNull()).groupBy("run_id", index.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_conf"),
         F.avg(correct().cast("double")).alias("accuracy"))
+
+
+def reliability(cases: DataFrame, bins: int = 10) -> DataFrame:
+    """All bins of each run; an empty bin has its centre and no accuracy."""
+    filled = filled_bins(cases, bins)
     domain = filled.select("run_id").distinct().select(
         "run_id", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return domain.join(filled, ["run_id", "bin"], "left").select(
@@ -150,8 +154,7 @@ def reliability(cases: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def calibration_error(cases: DataFrame, bins: int = 10) -> DataFrame:
-    r = reliability(cases, bins).filter("n > 0")
-    return r.groupBy("run_id").agg(
+    return filled_bins(cases, bins).groupBy("run_id").agg(
         (F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("mean_conf"))) / F.sum("n")).alias("ece"))
 
 
