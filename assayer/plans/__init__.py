@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("metrics", "projections", "statistics", "judging", "audit", "text", "retrieval", "sampling", "tables")
+THEMES = ("metrics", "projections", "statistics", "judging", "audit", "text", "retrieval", "sampling", "tables", "sources")
 
 
 def load():
