@@ -81,21 +81,28 @@ def sections(df: DataFrame, text: str, types: list[tuple[str, str]] | None = Non
     return df.select("*", F.inline(rows))
 
 
-def between(text: Column, starts: list[str], ends: list[str], open_end: int = OPEN_END) -> Column:
-    """Text from the first matching start pattern to the first matching end pattern after it.
+def _first_of(options: list[tuple[Column, Column]], otherwise: Column) -> Column:
+    out = None
+    for cond, value in options:
+        out = F.when(cond, value) if out is None else out.when(cond, value)
+    return out.otherwise(otherwise)
+
+
+def with_between(df: DataFrame, text: str, spans: dict[str, tuple[list[str], list[str]]], open_end: int = OPEN_END) -> DataFrame:
+    """Columns with the text from the first matching start pattern to the first matching end pattern after it.
 
     Patterns are tried in order; without an end the next characters are taken;
-    without a start the result is empty.
+    without a start the result is empty. The two steps are two projections, so
+    the text after the start is found once and not once per end pattern.
     """
-    def first_of(options: list[tuple[Column, Column]], otherwise: Column) -> Column:
-        out = None
-        for cond, value in options:
-            out = F.when(cond, value) if out is None else out.when(cond, value)
-        return out.otherwise(otherwise)
-    after = first_of([(text.rlike(p), F.regexp_extract(text, f"(?s)^.*?(?:{p})(.*)$", 1)) for p in starts], F.lit(""))
-    upto = first_of([(after.rlike(p), F.regexp_extract(after, f"(?s)^(.*?)(?:{p})", 1)) for p in ends],
-                    F.substring(after, 1, open_end))
-    return F.regexp_replace(strip(upto), "^[：:]\\s*", "")
+    t = F.col(text)
+    after = df.withColumns({f"__after_{f}": _first_of(
+        [(t.rlike(p), F.regexp_extract(t, f"(?s)^.*?(?:{p})(.*)$", 1)) for p in starts], F.lit("")) for f, (starts, _) in spans.items()})
+    upto = after.withColumns({f"__upto_{f}": _first_of(
+        [(F.col(f"__after_{f}").rlike(p), F.regexp_extract(f"__after_{f}", f"(?s)^(.*?)(?:{p})", 1)) for p in ends],
+        F.substring(f"__after_{f}", 1, open_end)) for f, (_, ends) in spans.items()})
+    return upto.withColumns({f: F.regexp_replace(strip(F.col(f"__upto_{f}")), "^[：:]\\s*", "") for f in spans}).drop(
+        *[f"__after_{f}" for f in spans], *[f"__upto_{f}" for f in spans])
 
 
 def strip(text: Column) -> Column:
@@ -110,14 +117,14 @@ def judgment_fields(df: DataFrame, text: str, name: str, spans: dict | None = No
     clean = F.regexp_replace(F.regexp_replace(F.col(text), "\\r\\n", "\n"), " {2,}", " ")
     d = df.withColumn("__t", clean)
     t = F.col("__t")
-    cut = {field: F.substring(between(t, s, e), 1, cap) for field, (s, e, cap) in spans.items()}
-    d = d.withColumns({f"__{f}": c for f, c in cut.items()})
+    d = with_between(d, "__t", {f"__{f}": (s, e) for f, (s, e, _) in spans.items()})
     missing = (F.col("__facts") == "") & (F.col("__legal_reasoning") == "")
     mid = F.floor(F.length(t) / 2).cast("int")
     halves = {"facts": F.substring(F.substring(t, F.lit(1), mid), 1, half_cap),
               "legal_reasoning": F.substring(F.substring(t, mid + 1, F.length(t)), 1, half_cap)}
     found_id, found_court = F.regexp_extract(t, case_id, 1), F.regexp_extract(F.substring(t, 1, 500), court, 1)
-    fields = {f: F.when(missing, halves[f]).otherwise(F.col(f"__{f}")) if f in halves else F.col(f"__{f}") for f in spans}
+    cut = {f: F.substring(f"__{f}", 1, cap) for f, (_, _, cap) in spans.items()}
+    fields = {f: F.when(missing, halves[f]).otherwise(c) if f in halves else c for f, c in cut.items()}
     return d.withColumns({
         "case_id": F.when(found_id != "", found_id).otherwise(F.col(name)),
         "court": F.when(found_court != "", found_court).otherwise(F.lit(UNKNOWN_COURT)),

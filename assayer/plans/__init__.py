@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-THEMES = ("metrics", "projections", "statistics", "judging", "audit", "text", "retrieval", "sampling", "tables", "sources")
+THEMES = ("metrics", "projections", "statistics", "judging", "audit", "text", "retrieval", "sampling", "tables", "sources",
+          "streams")
 
 
 def load():
