@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.operators import prefix
-from assayer.session import values_frame, values_sql
+from assayer.session import materialise, values_frame, values_sql
 from assayer import dims
 
 # event types stand for these classes
@@ -67,6 +67,11 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
     return cases_from(table(spark, d, "events"))
 
 
+def cases_table(spark: SparkSession, d: str) -> DataFrame:
+    """The cases written once, for queries that read them several times."""
+    return materialise(cases(spark, d), "cases")
+
+
 # ---- snippets: the events of a user in time order are the pieces of one video ------
 SNIPPETS_SQL = """
 SELECT user_id AS video_id,

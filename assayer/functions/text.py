@@ -33,7 +33,7 @@ MARK = "\u0001"
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters; Han letters are left to :func:`han_grams`."""
-    return F.filter(F.split(F.lower(text), "[^\\p{L}]+|\\p{IsHan}+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}&&[^\\p{IsHan}]]+"), F.lit(0))
 
 
 def han_grams(text: Column) -> Column:
@@ -43,11 +43,12 @@ def han_grams(text: Column) -> Column:
         F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.substring(r, i, F.lit(1))),
         F.when(F.length(r) > 1, F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))
          .otherwise(F.array().cast("array<string>"))))
-    return F.flatten(grams)
+    return F.when(text.rlike("\\p{IsHan}"), F.flatten(grams)).otherwise(F.array().cast("array<string>"))
 
 
 def article_numbers(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ARTICLE), F.lit(1))
+    return F.when(F.contains(text, F.lit("條")), F.regexp_extract_all(text, F.lit(ARTICLE), F.lit(1))).otherwise(
+        F.array().cast("array<string>"))
 
 
 def tokens(text: Column) -> Column:

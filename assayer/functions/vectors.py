@@ -63,14 +63,19 @@ def class_logits(vectors: DataFrame, classes: DataFrame, label: str = "label", v
     return j.withColumn("logits", logits).drop("__one", "__c")
 
 
-def softmax(logits: Column, bias: Column | None = None, scale: float = 1.0) -> Column:
-    """Probabilities per class; ``bias`` maps a class to what is taken off its logit."""
-    shifted = F.transform(logits, lambda x: F.struct(x["class"].alias("class"), (
-        x["logit"] * scale - (F.coalesce(F.try_element_at(bias, x["class"]), F.lit(0.0)) if bias is not None else 0.0)).alias("z")))
-    top = F.array_max(F.transform(shifted, lambda x: x["z"]))
-    exps = F.transform(shifted, lambda x: F.struct(x["class"].alias("class"), F.exp(x["z"] - top).alias("e")))
-    total = F.aggregate(F.transform(exps, lambda x: x["e"]), F.lit(0.0), lambda a, x: a + x)
-    return F.transform(exps, lambda x: F.struct(x["class"].alias("class"), (x["e"] / total).alias("p")))
+def with_softmax(df: DataFrame, logits: str, out: str, bias: Column | None = None, scale: float = 1.0) -> DataFrame:
+    """Adds class probabilities; ``bias`` maps a class to what is taken off its logit.
+
+    Highest logit and sum are columns of their own, so they are found once per row.
+    """
+    def off(c: Column) -> Column:
+        return F.coalesce(F.try_element_at(bias, c), F.lit(0.0)) if bias is not None else F.lit(0.0)
+    d = df.withColumn("__z", F.transform(logits, lambda x: x["logit"] * scale - off(x["class"])))
+    d = d.withColumn("__top", F.array_max("__z"))
+    d = d.withColumn("__e", F.transform("__z", lambda z: F.exp(z - F.col("__top"))))
+    d = d.withColumn("__sum", F.aggregate("__e", F.lit(0.0), lambda a, x: a + x))
+    return d.withColumn(out, F.zip_with(logits, "__e", lambda x, e: F.struct(
+        x["class"].alias("class"), (e / F.col("__sum")).alias("p")))).drop("__z", "__top", "__e", "__sum")
 
 
 def ranked(probabilities: Column) -> Column:

@@ -7,6 +7,7 @@ from assayer.operators import audit as A
 from assayer.operators import projections as P
 from assayer.plans.metrics import rounded
 from assayer.plans.registry import query
+from assayer.session import materialise
 
 NORMAL = "view"
 KEYS = ["case_id"]
@@ -21,7 +22,8 @@ def reports(spark, d, agents=None):
 
 
 def parts(spark, d):
-    return reports(spark, d), KEYS, B.event_classes(spark), NORMAL
+    """Reports written once: the audit reads them for rules, environment, ranges and votes."""
+    return materialise(reports(spark, d), "agent-reports"), KEYS, B.event_classes(spark), NORMAL
 
 
 SEV_SQL = "CASE category WHEN 'error' THEN 'HIGH' WHEN 'purchase' THEN 'MEDIUM' WHEN 'click' THEN 'LOW_PLANNED' WHEN 'signup' THEN 'MEDIUM' END"
@@ -162,7 +164,7 @@ def agg_vote_consensus(spark, d):
 @query("agg_ds_conflict", AUDIT_SQL + """
 SELECT case_id, round(k, 6) AS k, round(bonus, 6) AS bonus, round(rcons, 6) AS rcons, round(k_default, 6) AS k_default FROM ds""")
 def agg_ds_conflict(spark, d):
-    r = reports(spark, d)
+    r = parts(spark, d)[0]
     default = A.consistency(r, KEYS, "default").select("case_id", F.col("k").alias("k_default"))
     return rounded(A.consistency(r, KEYS).join(default, "case_id"), "k", "bonus", "rcons", "k_default")
 
@@ -216,5 +218,5 @@ def aud_rounds(spark, d):
     # at most three days per group: number those that exist
     days = a.select("case_id").distinct().withColumn("grp", group)
     days = days.withColumn("round", F.row_number().over(Window.partitionBy("grp").orderBy("case_id")) - 1)
-    r = a.join(days, "case_id").drop("case_id").withColumnRenamed("grp", "case_id")
+    r = materialise(a.join(days, "case_id").drop("case_id").withColumnRenamed("grp", "case_id"), "rounds")
     return A.rounds(r, KEYS, "round", B.event_classes(spark), NORMAL)

@@ -158,10 +158,11 @@ SELECT vec_id, max(CASE WHEN r = 1 THEN class END) AS raw_class, max(CASE WHEN r
 FROM rk GROUP BY vec_id""")
 def fn_softmax_bias(spark, d):
     bias = F.create_map(*[F.lit(x) for kv in BIAS.items() for x in kv])
-    raw = V.ranked(V.softmax(F.col("logits"), scale=10.0))
-    fixed = V.ranked(V.softmax(F.col("logits"), bias, scale=10.0))
-    return logits(spark, d).select("vec_id", raw[0]["class"].alias("raw_class"), fixed[0]["class"].alias("class"),
-                                   F.round(fixed[0]["p"], 6).alias("p"))
+    p = V.with_softmax(logits(spark, d), "logits", "raw", scale=10.0)
+    p = V.with_softmax(p, "logits", "fixed", bias, scale=10.0)
+    r = p.select("vec_id", V.ranked(F.col("raw")).alias("raw"), V.ranked(F.col("fixed")).alias("fixed"))
+    return r.select("vec_id", F.col("raw")[0]["class"].alias("raw_class"), F.col("fixed")[0]["class"].alias("class"),
+                    F.round(F.col("fixed")[0]["p"], 6).alias("p"))
 
 
 @query("fn_margin_entropy", PROB_SQL + """
@@ -170,7 +171,7 @@ SELECT vec_id, round(max(CASE WHEN r = 1 THEN p END), 6) AS top1, round(max(CASE
        round(-sum(greatest(p, 1e-12) * ln(greatest(p, 1e-12))), 6) AS entropy,
        string_agg(CAST(class AS STRING), ',' ORDER BY r) FILTER (WHERE r <= 3) AS top3 FROM rk GROUP BY vec_id""")
 def fn_margin_entropy(spark, d):
-    p = logits(spark, d).select("vec_id", V.ranked(V.softmax(F.col("logits"), scale=10.0)).alias("r"))
+    p = V.with_softmax(logits(spark, d), "logits", "p", scale=10.0).select("vec_id", V.ranked(F.col("p")).alias("r"))
     return p.select(
         "vec_id", F.round(F.col("r")[0]["p"], 6).alias("top1"), F.round(F.col("r")[1]["p"], 6).alias("top2"),
         F.round(F.col("r")[0]["p"] - F.col("r")[1]["p"], 6).alias("margin"), F.round(V.entropy(F.col("r")), 6).alias("entropy"),

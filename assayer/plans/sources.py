@@ -258,7 +258,7 @@ def snk_jsonl(spark, d):
 
 @query("snk_summary_json", TABLE_SQL + """SELECT run_id, n, round(accuracy, 6) AS accuracy, round(auroc, 6) AS auroc, round(min_ndcf_5_1, 6) AS min_ndcf_5_1, round(mean_turns, 6) AS turns FROM tab""")
 def snk_summary_json(spark, d):
-    t = T.ablation_table(B.cases(spark, d), NORMAL)
+    t = T.ablation_table(B.cases_table(spark, d), NORMAL)
     s = t.select("run_id", "n", "accuracy", F.col("auroc").alias("detection__auroc"), F.col("min_ndcf_5_1").alias("detection__min_ndcf_5_1"), F.col("mean_turns").alias("means__turns"))
     path = scratch_path(spark, "summary")
     W.summary_json(s, "run_id", path)

@@ -30,13 +30,13 @@ tab AS (SELECT m.run_id, m.n, m.accuracy, f.macro_f1, a.auroc, d.five AS min_ndc
 
 @query("agg_ablation_table", TABLE_SQL + "SELECT run_id, n, " + ", ".join(f"round({m}, 6) AS {m}" for m in T.METRICS) + " FROM tab")
 def agg_ablation_table(spark, d):
-    return rounded(T.ablation_table(B.cases(spark, d), NORMAL), *T.METRICS)
+    return rounded(T.ablation_table(B.cases_table(spark, d), NORMAL), *T.METRICS)
 
 
 @query("agg_ablation_delta", TABLE_SQL + "SELECT t.run_id, " + ", ".join(
     f"round(coalesce(t.{m}, 0) - coalesce(b.{m}, 0), 6) AS d_{m}" for m in T.METRICS) + " FROM tab t CROSS JOIN (SELECT * FROM tab WHERE run_id = 'r0') b")
 def agg_ablation_delta(spark, d):
-    t = T.ablation_delta(T.ablation_table(B.cases(spark, d), NORMAL), "r0")
+    t = T.ablation_delta(T.ablation_table(B.cases_table(spark, d), NORMAL), "r0")
     return rounded(t, *[f"d_{m}" for m in T.METRICS])
 
 
@@ -50,7 +50,7 @@ UNION ALL SELECT 'latex', 2, run_id, concat(run_id, """ + "".join(f"' & ', coale
 UNION ALL SELECT 'latex', 0, '', concat('\\begin{tabular}{lrrrrrr}', chr(10), '\\toprule', chr(10), 'Variant & Acc & F1 & AUROC & NDCF$_{5:1}$ & $R_{legal}^{GT}$ & ECE \\\\', chr(10), '\\midrule')
 UNION ALL SELECT 'latex', 3, '', concat('\\bottomrule', chr(10), '\\end{tabular}')""")
 def snk_table_text(spark, d):
-    t = T.ablation_table(B.cases(spark, d), NORMAL)
+    t = T.ablation_table(B.cases_table(spark, d), NORMAL)
     return T.markdown_rows(t).withColumn("format", F.lit("markdown")).unionByName(
         T.latex_rows(t).withColumn("format", F.lit("latex")))
 
