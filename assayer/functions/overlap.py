@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from assayer.functions.text import words
 
@@ -41,7 +42,7 @@ def bleu4(pairs: DataFrame, key: str, candidate: str, reference: str) -> DataFra
         brevity * F.exp(F.col("logs") / 4)).alias("bleu"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rouge_l(candidate: pd.Series, reference: pd.Series) -> pd.Series:
     """F-measure of the longest common subsequence of two token arrays, one numpy row per candidate token."""
     def lcs(a: np.ndarray, b: np.ndarray) -> int:

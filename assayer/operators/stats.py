@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from assayer.operators import prefix
 
@@ -25,7 +26,7 @@ def paired_ttest(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b")
         F.when(F.col("n") < 2, F.lit(1.0)).otherwise(F.round(t_tail(F.col("t"), F.col("n").cast("double") - 1), 6)).alias("p_value"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_tail(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Two-sided tail of Student's t: the regularised incomplete beta at dof / (dof + t^2)."""
     import math
@@ -68,7 +69,8 @@ def cohens_d(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> D
 
 def correlation(x: str, y: str) -> Column:
     """Pearson; NULL for fewer than two rows or no variance."""
-    return F.when((F.count(F.lit(1)) >= 2) & (F.var_pop(x) > 0) & (F.var_pop(y) > 0), F.corr(x, y))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when((F.count(F.lit(1)) >= 2) & (spread > 0), F.covar_pop(x, y) / spread)
 
 
 def pearson(df: DataFrame, keys: list[str], x: str = "a", y: str = "b") -> DataFrame:

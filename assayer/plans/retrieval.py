@@ -172,9 +172,10 @@ SELECT vec_id, round(max(CASE WHEN r = 1 THEN p END), 6) AS top1, round(max(CASE
        string_agg(CAST(class AS STRING), ',' ORDER BY r) FILTER (WHERE r <= 3) AS top3 FROM rk GROUP BY vec_id""")
 def fn_margin_entropy(spark, d):
     p = V.with_softmax(logits(spark, d), "logits", "p", scale=10.0).select("vec_id", V.ranked(F.col("p")).alias("r"))
+    p = p.withColumns({"p1": F.get("r", F.lit(0))["p"], "p2": F.get("r", F.lit(1))["p"]})
     return p.select(
-        "vec_id", F.round(F.col("r")[0]["p"], 6).alias("top1"), F.round(F.col("r")[1]["p"], 6).alias("top2"),
-        F.round(F.col("r")[0]["p"] - F.col("r")[1]["p"], 6).alias("margin"), F.round(V.entropy(F.col("r")), 6).alias("entropy"),
+        "vec_id", F.round("p1", 6).alias("top1"), F.round("p2", 6).alias("top2"), F.round(F.col("p1") - F.col("p2"), 6).alias("margin"),
+        F.round(V.entropy(F.col("r")), 6).alias("entropy"),
         F.array_join(F.transform(F.slice("r", 1, 3), lambda x: x["class"].cast("string")), ",").alias("top3"))
 
 
@@ -230,7 +231,7 @@ def fn_map_filter(spark, d):
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.a.b'), 'none') AS nested FROM events""")
 def fn_json_field(spark, d):
     return B.table(spark, d, "events").select(
-        "event_id", F.get_json_object("props", "$.k").cast("long").alias("k"),
+        "event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"),
         F.coalesce(F.get_json_object("props", "$.a.b"), F.lit("none")).alias("nested"))
 
 

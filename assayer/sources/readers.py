@@ -268,7 +268,7 @@ def priming_lines(predictions: DataFrame, cue_rows: DataFrame, top: int = 3, min
     direct = F.sort_array(F.collect_list(F.when(F.col("evidence_type") == CUE_DIRECT, F.struct("cue_no", "cue"))))
     per = cue_rows.groupBy("class").agg(F.slice(direct, 1, max_cues).alias("d"))
     from assayer.operators.text_format import fixed
-    wanted = predictions.filter(F.col("ranked")[0]["p"] >= min_confidence).select(
+    wanted = predictions.filter(F.get("ranked", F.lit(0))["p"] >= min_confidence).select(
         "case_id", F.posexplode(F.slice("ranked", 1, top)).alias("rank", "r")).select("case_id", "rank", F.col("r.class").alias("class"), F.col("r.p").alias("p"))
     j = wanted.join(F.broadcast(per), "class", "left")  # one row per class
     hint = F.when(F.size("d") > 0, F.array_join(F.col("d.cue"), "；")).otherwise("(no cue data)")
