@@ -45,7 +45,7 @@ FROM events"""
 
 
 def cases_from(events: DataFrame) -> DataFrame:
-    e = prefix.previous(events, ["user_id"], prefix.hour_of("ts"), ["ts", "event_id"], {"before": "event_type"})
+    e = prefix.previous(events, ["user_id"], prefix.minute_of("ts"), ["ts", "event_id"], {"before": "event_type"})
     i = F.col("event_id")
     return e.select(
         i.alias("case_id"),
@@ -85,7 +85,7 @@ FROM events"""
 
 
 def snippets(spark: SparkSession, d: str) -> DataFrame:
-    e = prefix.row_numbers(table(spark, d, "events"), ["user_id"], [prefix.hour_of("ts")], ["ts", "event_id"])
+    e = prefix.row_numbers(table(spark, d, "events"), ["user_id"], [prefix.minute_of("ts")], ["ts", "event_id"])
     i = F.col("event_id")
     return e.select(
         F.col("user_id").alias("video_id"), (F.col("rn") - 1).alias("idx"),
@@ -230,7 +230,7 @@ FROM events"""
 
 def agents(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("day", F.col("ts").cast("date"))
-    e = prefix.row_numbers(e, ["user_id", "day"], [prefix.hour_of("ts")], ["ts", "event_id"], "pos")
+    e = prefix.row_numbers(e, ["user_id", "day"], [prefix.minute_of("ts")], ["ts", "event_id"], "pos")
     i = F.col("event_id")
     labels = F.array(*[F.lit(v) for v in ("view", "click", "purchase", "error", "signup")])
     return e.select(

@@ -28,8 +28,8 @@ def nearest_centroid(labels: list[str], matrix: np.ndarray) -> Scorer:
 
     def score(rows: pd.DataFrame) -> pd.DataFrame:
         v = np.stack(rows["vector"].to_numpy()).astype("float64")
-        sims = np.round((v / np.linalg.norm(v, axis=1, keepdims=True)) @ unit.T, 9)
-        best = sims.argmax(axis=1)
+        sims = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ unit.T
+        best = np.round(sims, 9).argmax(axis=1)
         return pd.DataFrame({"id": rows["id"], "category": [labels[b] for b in best],
                              "confidence": sims[np.arange(len(best)), best], "evidence": "cosine"})
     return score

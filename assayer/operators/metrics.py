@@ -168,7 +168,7 @@ def confidence_degenerate(cases: DataFrame) -> DataFrame:
 def index_percentiles(cases: DataFrame, value: str = "confidence") -> DataFrame:
     """Elements n//4, n//2 and 3n//4 of the sorted values; NULL unless n > 3."""
     n = F.col("n")
-    q = prefix.order_statistics(cases, ["run_id"], value, prefix.cell_of(value), {
+    q = prefix.order_statistics(cases, ["run_id"], value, prefix.value_levels(value), {
         "p25": F.floor(n / 4), "p50": F.floor(n / 2), "p75": F.floor(n * 3 / 4)})
     return q.select("run_id", "n", *[F.when(n > 3, F.col(c)).alias(c) for c in ("p25", "p50", "p75")])
 
@@ -177,7 +177,7 @@ def describe(cases: DataFrame, value: str = "confidence") -> DataFrame:
     """Mean, median, sample deviation (0 for one row), range, and means of right and wrong rows."""
     v = F.col(value)
     n = F.col("n")
-    middle = prefix.order_statistics(cases, ["run_id"], value, prefix.cell_of(value), {
+    middle = prefix.order_statistics(cases, ["run_id"], value, prefix.value_levels(value), {
         "lower": F.floor((n - 1) / 2), "upper": F.floor(n / 2)})
     plain = cases.groupBy("run_id").agg(
         F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev"),

@@ -1,7 +1,7 @@
 """Ordered passes that stay parallel inside one hot key.
 
 A plain window puts a whole key into one task. Here the caller names one or
-more *levels*: columns that rise with the wanted order (an hour for a time
+more *levels*: columns that rise with the wanted order (a minute for a time
 stamp, a cell of a score, a block of an id). Rows are shuffled by key and
 level, a window runs inside each cell, and the totals of the earlier cells
 come from a summary with one row per cell. The summary is made with map-side
@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def hour_of(ts: str = "ts") -> Column:
-    """Hours since 1970 for a time stamp without time zone."""
-    day = F.datediff(F.col(ts).cast("date"), F.lit("1970-01-01").cast("date"))
-    return (day * 24 + F.hour(ts)).cast("long")
+def minute_of(ts: str = "ts") -> Column:
+    """Minutes since 1970 for a time stamp without time zone."""
+    day = F.datediff(F.col(ts).cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return (day * 24 + F.hour(ts)) * 60 + F.minute(ts)
 
 
 def cell_of(value: str | Column, low: float = 0.0, high: float = 1.0, cells: int = 1024) -> Column:
@@ -34,6 +34,22 @@ def block_of(identifier: str | Column, size: int = 65536) -> Column:
     return F.floor(c / size).cast("long")
 
 
+def id_levels(identifier: str, size: int = 65536) -> list[Column]:
+    """Coarse and fine blocks of an id: a whole table in order has a summary of a few thousand coarse blocks."""
+    return [block_of(identifier, size * 4096), block_of(identifier, size)]
+
+
+def value_levels(value: str | Column, low: float = 0.0, high: float = 1.0) -> list[Column]:
+    """Coarse and fine cells for distinct values of a known range."""
+    return [cell_of(value, low, high, 1024), cell_of(value, low, high, 1 << 20)]
+
+
+def tie_levels(value: str | Column, identifier: str, low: float = 0.0, high: float = 1.0) -> list[Column]:
+    """Cells, then the value, then blocks of ids inside one value: equal values in any number stay spread."""
+    c = F.col(value) if isinstance(value, str) else value
+    return value_levels(c, low, high) + [c, block_of(identifier)]
+
+
 def _as_columns(order) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
@@ -130,7 +146,7 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("n_value")))
 
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, level: Column,
+def order_statistics(df: DataFrame, keys: list[str], value: str, levels: list[Column],
                      indexes: dict[str, Column]) -> DataFrame:
     """Values at zero-based sorted positions; ``indexes`` are expressions of ``n``.
 
@@ -138,7 +154,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, level: Column,
     At least one key is needed; use a constant column for a whole table.
     """
     counts = value_counts(df, keys, value)
-    ranked = running_totals(counts, keys, [level], [value], {"upto": F.col("n_value")})
+    ranked = running_totals(counts, keys, levels, [value], {"upto": F.col("n_value")})
     totals = counts.groupBy(*keys).agg(F.sum("n_value").alias("n"))
     joined = ranked.join(totals, keys)
     picks = [

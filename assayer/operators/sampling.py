@@ -45,7 +45,7 @@ def suggest_thresholds(cases: DataFrame, keys: list[str], order: str, hard: floa
     right = F.coalesce(F.col("ground_truth") == F.col("predicted"), F.lit(False)).cast("long")
     known = cases.filter(F.col("confidence").isNotNull())
     falling = 1.0 - F.col("confidence")
-    r = prefix.running_totals(known, keys, [prefix.cell_of(falling), falling, prefix.block_of(order)],
+    r = prefix.running_totals(known, keys, prefix.tie_levels(falling, order),
                               [F.col("confidence").desc(), F.col(order)], {"i": F.lit(1).cast("long"), "hits": right})
     n = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     j = r.join(n, keys).withColumn("acc", F.col("hits") / F.col("i"))

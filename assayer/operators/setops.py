@@ -44,7 +44,7 @@ def dedup_hits(hits: DataFrame, key: str, text: str, source: str, allowed: list[
 def with_negatives(positives: DataFrame, negatives: DataFrame, key: str, seed: int = 42, pick: Column | None = None) -> DataFrame:
     """One negative per positive: negatives are numbered, a hash of the positive names the number."""
     one = negatives.select(F.lit(0).alias("__all"), F.col(key).alias("negative"))
-    numbered = prefix.row_numbers(one, ["__all"], [prefix.block_of("negative")], ["negative"], "__no").withColumn(
+    numbered = prefix.row_numbers(one, ["__all"], prefix.id_levels("negative"), ["negative"], "__no").withColumn(
         "__no", F.col("__no") - 1).drop("__all")
     n = one.groupBy("__all").agg(F.count(F.lit(1)).alias("__n"))
     hashed = F.xxhash64(F.col(key), F.lit(seed)) if pick is None else pick

@@ -83,11 +83,10 @@ def spearman(df: DataFrame, keys: list[str], order: str, x: str = "a", y: str =
     """Pearson of ranks. ``ordinal`` keeps the row order inside ties; ``average`` shares them."""
     out = df
     for name in (x, y):
-        cell = prefix.cell_of(name, *span)
         if ties == "ordinal":
-            out = prefix.row_numbers(out, keys, [cell], [name, order], f"__r_{name}")
+            out = prefix.row_numbers(out, keys, prefix.tie_levels(name, order, *span), [name, order], f"__r_{name}")
         else:
-            counts = prefix.running_totals(prefix.value_counts(out, keys, name), keys, [cell], [name],
+            counts = prefix.running_totals(prefix.value_counts(out, keys, name), keys, prefix.value_levels(name, *span), [name],
                                            {"upto": F.col("n_value")})
             shared = counts.select(*keys, name, (F.col("upto") - (F.col("n_value") - 1) / 2).alias(f"__r_{name}"))
             out = out.join(shared, [*keys, name])
@@ -128,7 +127,7 @@ def positional_pairs(left: DataFrame, right: DataFrame, order: str, value: str,
     """Row i of one side with row i of the other, cut to the shorter side."""
     def numbered(df: DataFrame, name: str) -> DataFrame:
         one = df.select(F.lit(0).alias("__all"), order, F.col(value).alias(name))
-        return prefix.row_numbers(one, ["__all"], [prefix.block_of(order, size)], [order], "pos").select("pos", name)
+        return prefix.row_numbers(one, ["__all"], prefix.id_levels(order, size), [order], "pos").select("pos", name)
     return numbered(left, "a").join(numbered(right, "b"), "pos")
 
 

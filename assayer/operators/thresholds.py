@@ -19,7 +19,7 @@ def cumulated(scored: DataFrame, keys: list[str], low: float = 0.0, high: float
     """Per distinct score: positives and negatives there, at or below, and in total."""
     hist = scored.groupBy(*keys, "score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    run = prefix.running_totals(hist, keys, [prefix.cell_of("score", low, high)], ["score"],
+    run = prefix.running_totals(hist, keys, prefix.value_levels("score", low, high), ["score"],
                                 {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")})
     total = hist.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return run.join(total, keys)

@@ -54,7 +54,7 @@ def test_order_statistics(spark):
     data = [("a", x / 10) for x in (5, 1, 1, 9, 3)] + [("b", 0.5)]
     df = spark.createDataFrame(data, "k string, v double")
     got = {r.k: (r.n, r.lo, r.mid) for r in prefix.order_statistics(
-        df, ["k"], "v", prefix.cell_of("v"), {"lo": F.lit(0), "mid": F.floor(F.col("n") / 2)}).collect()}
+        df, ["k"], "v", prefix.value_levels("v"), {"lo": F.lit(0), "mid": F.floor(F.col("n") / 2)}).collect()}
     assert got == {"a": (5, 0.1, 0.3), "b": (1, 0.5, 0.5)}
 
 
