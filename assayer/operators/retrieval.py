@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import text as X
+from assayer.session import collect_bounded, materialise, scratch_path
 
 # ---- fixed values -----------------------------------------------------------------
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -83,27 +84,31 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
 def dense(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, slice_rows: int = 4096) -> DataFrame:
     """The ``k`` nearest documents by cosine, exact, per layer and query.
 
-    Queries (``query_id, vector``) go to the tasks in slices of a bounded number
-    of rows; each slice is one pass over the vectors with a matrix product per
-    Arrow batch. A batch keeps k rows per query and layer, so what is shuffled
+    Queries (``query_id, vector``) go to the tasks in slices of about
+    ``slice_rows``; each slice is one pass over the vectors with a matrix product
+    per Arrow batch. A batch keeps k rows per query and layer, so what is shuffled
     is batches x queries x k, never all pairs.
     """
-    n = queries.count()
-    slices = max(1, ceil(n / slice_rows))
-    passes = []
+    def one_pass(rows: pd.DataFrame) -> DataFrame:
+        return _dense_pass(vectors, rows["query_id"].to_numpy(), np.stack(rows["vector"].to_numpy()).astype("float64"), k)
+    schema = "layer string, query_id long, doc_id long, score double"
+    spark = vectors.sparkSession
+
+    def best(scored: DataFrame) -> DataFrame:
+        return top_k(scored, ["layer", "query_id"], "score", "doc_id", k, positive=False)
+    wanted = queries.select("query_id", "vector")
+    rows = collect_bounded(wanted, slice_rows)
+    if rows is not None:
+        return best(one_pass(rows) if len(rows) else spark.createDataFrame([], schema))
+    # a larger batch: one slice at a time is in the driver, its answer is written before the next one
+    wanted = materialise(wanted, "query-vectors")
+    slices = ceil(wanted.count() / slice_rows)
+    base = scratch_path(spark, "nearest")
     for s in range(slices):
-        part = queries if slices == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s)
-        rows = part.select("query_id", "vector").toPandas()
-        if rows.empty:
-            continue
-        passes.append(_dense_pass(vectors, rows["query_id"].to_numpy(), np.stack(rows["vector"].to_numpy()).astype("float64"), k))
-    if not passes:
-        schema = "layer string, query_id long, doc_id long, score double"
-        return top_k(vectors.sparkSession.createDataFrame([], schema), ["layer", "query_id"], "score", "doc_id", k, False)
-    out = passes[0]
-    for p in passes[1:]:
-        out = out.unionByName(p)
-    return top_k(out, ["layer", "query_id"], "score", "doc_id", k, positive=False)
+        part = wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s).toPandas()
+        if len(part):
+            best(one_pass(part)).write.parquet(f"{base}/slice={s}")
+    return spark.read.schema(schema + ", rank int").parquet(base).select("layer", "query_id", "doc_id", "score", "rank")
 
 
 def _dense_pass(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) -> DataFrame:

@@ -8,6 +8,7 @@ from assayer.operators import retrieval as R
 from assayer.plans.metrics import rounded
 from assayer.plans.registry import query
 from assayer.plans.text import TOKENS_SQL
+from assayer.session import collect_bounded
 
 BM25_SQL = f"""tok AS (SELECT @ AS layer, doc_id, {TOKENS_SQL} AS t FROM corpus),
 ds AS (SELECT layer, count(*) AS n_docs, avg(len(t)) AS avg_len FROM tok GROUP BY layer),
@@ -241,7 +242,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(z / 10, 9)
 def udf_scorer(spark, d):
     import numpy as np
     e = B.table(spark, d, "embeddings")
-    c = V.centroids(e).orderBy("label").toPandas()  # one row per class
+    c = collect_bounded(V.centroids(e).orderBy("label"), 1000)  # one row per class
     rows = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     s = scorers.run_scorer(rows, "nearest_centroid", labels=[str(x) for x in c["label"]], matrix=np.stack(c["vector"].to_numpy()))
     return rounded(s, "confidence")

@@ -50,6 +50,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or pattern matches anything, asked of its own file system (nothing is listed)."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    return bool(found)
+
+
+def collect_bounded(df: DataFrame, limit: int):
+    """Rows as pandas if there are at most ``limit`` of them, else ``None``; never more than ``limit + 1`` are fetched."""
+    rows = df.limit(limit + 1).toPandas()
+    return rows if len(rows) <= limit else None
+
+
 def values_frame(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
     """A fixed dimension as a local relation (its size is known to the planner)."""
     return spark.sql(values_sql(rows, columns))

@@ -7,12 +7,12 @@ split large files; the parsing is the same.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer import schemas
 from assayer.functions import text as X
+from assayer.session import path_exists
 
 # ---- fixed values -----------------------------------------------------------------
 LAW_NAME, OTHER = "中華民國刑法", "Other"
@@ -42,18 +42,9 @@ def annotation_pieces(intervals: DataFrame, size: int = 4096) -> DataFrame:
         F.col("s.description").alias("sentences"))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether the path can be read; asked of the file system the path names."""
-    try:
-        spark.read.format("binaryFile").load(path).schema  # resolves the path, reads no file
-        return True
-    except AnalysisException:
-        return False
-
-
 def documents(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
     """``value, path`` with one row per document; bytes that are no UTF-8 are replaced."""
-    if not exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], "value string, path string")
     reader = spark.read.option("recursiveFileLookup", "true")
     df = reader.text(path, wholetext=True) if separator is None else reader.text(path, lineSep=separator)

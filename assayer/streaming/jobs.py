@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from assayer.sources.readers import exists
+from assayer.session import path_exists
 
 
 def files(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
@@ -26,7 +26,7 @@ def files(spark: SparkSession, path: str, schema, max_files: int | None = None)
 
 def _earlier(spark: SparkSession, path: str, schema, batch: int) -> DataFrame:
     """Rows of the batches before this one."""
-    if not exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("basePath", path).parquet(path).filter(F.col("batch") < batch)
 
