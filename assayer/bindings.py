@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.operators import prefix
-from assayer.session import materialise, values_frame, values_sql
+from assayer.session import materialise, spread, values_frame, values_sql
 from assayer import dims
 
 # event types stand for these classes
@@ -156,7 +156,7 @@ CROSS JOIN ({values_sql(QUESTIONS, ['q_key', 'qn', 'max_score'])}) q"""
 
 
 def reports_by_model(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select(
+    return spread(table(spark, d, "conversations")).select(
         (F.col("conv_id") * 1000 + F.expr("turn div 2")).alias("item_id"),
         F.col("role").alias("model"), F.col("text").alias("body"))
 
@@ -180,7 +180,7 @@ SELECT doc_id, CASE WHEN lang = 'en' THEN 'law' ELSE 'judgment' END AS layer, la
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         "doc_id", F.when(F.col("lang") == "en", "law").otherwise("judgment").alias("layer"),
         "lang", "source", "text")
 

@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import text as X
-from assayer.session import collect_bounded, materialise, scratch_path
+from assayer.session import broadcast_if_small, collect_bounded, materialise, scratch_path
 
 # ---- fixed values -----------------------------------------------------------------
 K1, B, EPSILON = 1.5, 0.75, 0.25
 TOP_K, RRF_K = 5, 60
+EVERY = "\u0001"  # the mark in a term index, never a token
 # ---- end of fixed values ------------------------------------------------------------
 
 
@@ -38,43 +39,72 @@ def tokenised(corpus: DataFrame) -> DataFrame:
     return corpus.select("layer", "doc_id", X.tokens(F.col("text")).alias("tokens"))
 
 
-def lengths(tokens: DataFrame) -> DataFrame:
+def term_index(tokens: DataFrame) -> DataFrame:
+    """Document frequency of every term per layer, written once as a table.
+
+    Every document also counts for one mark that is no term: its row holds the
+    number of documents and their total length, so one pass over the texts
+    gives all statistics.
+    """
+    marked = tokens.select("layer", F.size("tokens").alias("len"), F.explode_outer(
+        F.concat(F.array_distinct("tokens"), F.array(F.lit(EVERY)))).alias("term"))
+    counts = marked.groupBy("layer", "term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == EVERY, F.col("len")).otherwise(0)).alias("total_len"))
+    return materialise(counts, "term-index")
+
+
+def lengths(index: DataFrame) -> DataFrame:
     """Documents and mean length per layer."""
-    return tokens.groupBy("layer").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
+    return index.filter(F.col("term") == EVERY).select(
+        "layer", F.col("df").alias("n_docs"), (F.col("total_len") / F.col("df")).alias("avg_len"))
 
 
-def term_statistics(tokens: DataFrame) -> DataFrame:
+def term_statistics(index: DataFrame) -> DataFrame:
     """Document frequency and idf of every term; a negative idf becomes a quarter of the layer's mean idf."""
-    df = (tokens.select("layer", F.explode(F.array_distinct("tokens")).alias("term"))
-          .groupBy("layer", "term").agg(F.count(F.lit(1)).alias("df")))
-    sizes = tokens.groupBy("layer").agg(F.count(F.lit(1)).alias("n_docs"))
-    raw = df.join(F.broadcast(sizes), "layer").withColumn(  # one row per layer
+    raw = index.filter(F.col("term") != EVERY).join(F.broadcast(lengths(index)), "layer").withColumn(  # one row per layer
         "raw_idf", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = raw.groupBy("layer").agg(F.avg("raw_idf").alias("mean_idf"))
-    return raw.join(F.broadcast(mean), "layer").select("layer", "term", "df", F.when(
+    return raw.join(F.broadcast(mean), "layer").select("layer", "term", "df", "n_docs", "avg_len", F.when(
         F.col("raw_idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
 
 
 def postings(tokens: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """``layer, doc_id, doc_len, term, tf``; with a vocabulary only its terms are counted."""
-    long = tokens.select("layer", "doc_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
-    if vocabulary is not None:
-        long = long.join(vocabulary, "term", "left_semi")
-    return long.groupBy("layer", "doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``layer, doc_id, doc_len, term, tf``; with a vocabulary only its terms are counted.
+
+    ``explode_outer`` keeps the optimiser from testing the size of the token
+    list before the explode, which would cut every text into tokens twice. Rows
+    are placed by document: the term counts here and any later sums per document
+    and query then need no shuffle of their own.
+    """
+    long = tokens.select("layer", "doc_id", F.size("tokens").alias("doc_len"), F.explode_outer("tokens").alias("term"))
+    long = long.filter(F.col("term").isNotNull()) if vocabulary is None else long.join(vocabulary, "term", "left_semi")
+    return long.repartition("doc_id").groupBy("layer", "doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """``query_id, term, qtf`` as a table (the batch of queries is read by several joins)."""
+    asked = (queries.select("query_id", F.explode_outer(X.tokens(F.col("text"))).alias("term"))
+             .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
+    return materialise(asked.filter(F.col("term").isNotNull()), "query-terms")
 
 
 def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """Okapi score of every document that shares a term with a query; repeated query terms count again."""
+    """Okapi score of every document that shares a term with a query; repeated query terms count again.
+
+    Query terms carry their idf and the layer's mean length, so the postings are
+    joined once. Terms and weighted terms of a checked size are broadcast;
+    larger batches take the shuffle join.
+    """
     tokens = tokenised(corpus)
-    asked = (queries.select("query_id", F.explode(X.tokens(F.col("text"))).alias("term"))
-             .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
-    terms = asked.select("term").distinct()
-    idf = term_statistics(tokens).join(terms, "term", "left_semi").select("layer", "term", "idf")
-    p = postings(tokens, terms).join(F.broadcast(lengths(tokens)), "layer")  # one row per layer
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    weighted = p.join(idf, ["layer", "term"]).select("layer", "doc_id", "term", (F.col("idf") * weight).alias("w"))
-    return (weighted.join(asked, "term").groupBy("layer", "query_id", "doc_id")
-            .agg(F.round(F.sum(F.col("qtf") * F.col("w")), 9).alias("score")))
+    asked = query_terms(queries)
+    vocabulary = broadcast_if_small(asked.select("term").distinct())
+    stats = term_statistics(term_index(tokens)).join(vocabulary, "term", "left_semi")
+    weights = materialise(stats.join(asked, "term").select(
+        "layer", "term", "query_id", (F.col("qtf") * F.col("idf")).alias("weight"), "avg_len"), "query-weights")
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
+    hits = postings(tokens, vocabulary).join(broadcast_if_small(weights), ["layer", "term"])
+    return (hits.groupBy("layer", "query_id", "doc_id")
+            .agg(F.round(F.sum(F.col("weight") * tf), 9).alias("score")))
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:

@@ -8,7 +8,7 @@ from assayer.operators import retrieval as R
 from assayer.plans.metrics import rounded
 from assayer.plans.registry import query
 from assayer.plans.text import TOKENS_SQL
-from assayer.session import collect_bounded
+from assayer.session import broadcast_if_small, collect_bounded
 
 BM25_SQL = f"""tok AS (SELECT @ AS layer, doc_id, {TOKENS_SQL} AS t FROM corpus),
 ds AS (SELECT layer, count(*) AS n_docs, avg(len(t)) AS avg_len FROM tok GROUP BY layer),
@@ -49,16 +49,16 @@ def doc_vectors(spark, d):
 @query("agg_bm25_stats", B.ctes("corpus") + ", " + BM25_SQL.replace("@", "layer") + """
 SELECT i.layer, term, df, round(idf, 6) AS idf, n_docs, round(avg_len, 6) AS avg_len FROM idf i JOIN ds USING (layer)""")
 def agg_bm25_stats(spark, d):
-    t = R.tokenised(B.corpus(spark, d))
-    return rounded(R.term_statistics(t).join(F.broadcast(R.lengths(t)), "layer"), "idf", "avg_len")
+    stats = R.term_statistics(R.term_index(R.tokenised(B.corpus(spark, d))))
+    return rounded(stats, "idf", "avg_len")
 
 
 @query("jn_postings", B.ctes("corpus") + ", " + BM25_SQL.replace("@", "'all'") + """
 SELECT query_id, doc_id, term, tf FROM q JOIN post USING (term)""")
 def jn_postings(spark, d):
-    asked = B.questions(spark, d).select("query_id", F.explode(F.array_distinct(R.X.tokens(F.col("text")))).alias("term"))
-    p = R.postings(R.tokenised(one_layer(B.corpus(spark, d))), asked.select("term").distinct())
-    return p.join(asked, "term").select("query_id", "doc_id", "term", "tf")
+    asked = R.query_terms(B.questions(spark, d))
+    p = R.postings(R.tokenised(one_layer(B.corpus(spark, d))), broadcast_if_small(asked.select("term").distinct()))
+    return p.join(broadcast_if_small(asked), "term").select("query_id", "doc_id", "term", "tf")
 
 
 @query("ret_bm25", B.ctes("corpus") + ", " + BM25_SQL.replace("@", "'all'") + """

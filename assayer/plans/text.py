@@ -18,7 +18,7 @@ TOKENS_SQL = "list_filter(string_split_regex(lower(text), '[^\\p{L}]+'), lambda
 @query("tx_tokenize", B.ctes("corpus") + f"""
 SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM corpus) x GROUP BY ALL""")
 def tx_tokenize(spark, d):
-    t = B.corpus(spark, d).select("doc_id", F.explode(X.tokens(F.col("text"))).alias("term"))
+    t = B.corpus(spark, d).select("doc_id", F.explode_outer(X.tokens(F.col("text"))).alias("term")).filter(F.col("term").isNotNull())
     return t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

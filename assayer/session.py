@@ -50,6 +50,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan over all task slots, for work that is heavy per row.
+
+    A table of few row groups gives few splits; only then its rows are dealt
+    out. A scan that already has enough splits is left as it is.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
+
+
+def broadcast_if_small(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """A broadcast hint for a side whose row count has been checked; else the side as it is (a shuffle join).
+
+    The side should be a table or cheap to compute: it is read up to ``limit + 1`` rows for the check.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path or pattern matches anything, asked of its own file system (nothing is listed)."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
