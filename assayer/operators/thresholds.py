@@ -10,9 +10,9 @@ from assayer.operators import prefix
 
 
 def labelled(cases: DataFrame, score: str = "score", normal: str = "Normal") -> DataFrame:
-    """Rows that carry a score; label 1 = the truth is an anomaly."""
-    return cases.filter(F.col(score).isNotNull()).withColumn(
-        "label", F.when(F.col("ground_truth") != normal, 1).otherwise(0))
+    """Rows that carry a score, with columns ``score`` and ``label`` (1 = the truth is an anomaly)."""
+    return cases.filter(F.col(score).isNotNull()).withColumns({
+        "score": F.col(score), "label": F.when(F.col("ground_truth") != normal, 1).otherwise(0)})
 
 
 def cumulated(scored: DataFrame, keys: list[str], low: float = 0.0, high: float = 1.0) -> DataFrame:

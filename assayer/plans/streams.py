@@ -24,6 +24,15 @@ def deliveries(df, part, source, run):
         run().awaitTermination()
 
 
+def stream_session(spark):
+    """A session for streams with no more state partitions than task slots (their number is fixed at the first start)."""
+    other = spark.newSession()
+    slots = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    other.conf.set("spark.sql.shuffle.partitions", str(slots))
+    other.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    return other
+
+
 def third(column):
     """0, 1, 2 for the first, second and last ten days."""
     return F.least(F.floor((F.dayofmonth(column) - 1) / 10), F.lit(2))
@@ -32,6 +41,7 @@ def third(column):
 @query("st_resume_scoring", B.ctes("cases") + "SELECT case_id, round(confidence, 6) AS confidence, ground_truth = predicted AS correct FROM cases")
 def st_resume_scoring(spark, d):
     c = B.cases(spark, d).select("case_id", "ground_truth", "predicted", "confidence", "ts")
+    own = stream_session(spark)
     source, out, state = (scratch_path(spark, n) for n in ("resume-in", "resume-out", "resume-state"))
 
     def score(rows):
@@ -40,7 +50,7 @@ def st_resume_scoring(spark, d):
     again = c.withColumn("part", F.explode(F.sequence(third("ts"), F.lit(2).cast("bigint"))))
     schema = again.drop("part").schema
     deliveries(again, F.col("part"), source, lambda: jobs.resume_scoring(
-        jobs.files(spark, source, schema), "case_id", "ts", score, out, state))
+        jobs.files(own, source, schema), "case_id", "ts", score, out, state))
     return rounded(spark.read.parquet(out).select("case_id", "confidence", "correct"), "confidence")
 
 
@@ -49,8 +59,9 @@ SELECT video_id, min(idx) AS first_idx, 1 AS emitted FROM snippets WHERE score >
 def st_first_crossing(spark, d):
     e = B.table(spark, d, "events").select(F.col("event_id"), "ts")
     s = B.snippets(spark, d).join(e, "event_id").select("video_id", "idx", "score", "ts")
+    own = stream_session(spark)
     source, out, state = (scratch_path(spark, n) for n in ("crossing-in", "crossing-out", "crossing-state"))
-    deliveries(s, third("ts"), source, lambda: jobs.first_crossing(jobs.files(spark, source, s.schema), out, state))
+    deliveries(s, third("ts"), source, lambda: jobs.first_crossing(jobs.files(own, source, s.schema), out, state))
     told = spark.read.schema("video_id bigint, first_idx bigint").parquet(out)
     return told.groupBy("video_id").agg(F.min("first_idx").alias("first_idx"), F.count(F.lit(1)).alias("emitted"))
 
@@ -61,8 +72,9 @@ SELECT strftime(ts, '%Y-%m-%d') AS day, run_id, count(*) AS n, count(*) FILTER (
        count(*) FILTER (WHERE conflict_type = 'NONE') AS n_none FROM cases GROUP BY ALL""")
 def st_running_metrics(spark, d):
     c = B.cases(spark, d).select("run_id", "ground_truth", "predicted", "conflict_type", "ts")
+    own = stream_session(spark)
     source, out, state = (scratch_path(spark, n) for n in ("metrics-in", "metrics-out", "metrics-state"))
-    deliveries(c, third("ts"), source, lambda: jobs.running_metrics(jobs.files(spark, source, c.schema), out, state))
+    deliveries(c, third("ts"), source, lambda: jobs.running_metrics(jobs.files(own, source, c.schema), out, state))
     # a window starts at midnight UTC; its middle is on that day in every zone near UTC
     m = jobs.latest(spark, out, ["start", "run_id"])
     day = F.date_format(F.to_utc_timestamp("start", F.current_timezone()), "yyyy-MM-dd")
@@ -77,9 +89,10 @@ def st_budget_guard(spark, d):
     prices = F.broadcast(dims.prices(spark))  # fixed price list
     calls = judge_calls(spark, d).join(prices, "backend").select(
         "item_id", "backend", ((F.col("input_tokens") * F.col("input_price") + F.col("output_tokens") * F.col("output_price")) / 1_000_000).alias("cost"))
+    own = stream_session(spark)
     source, out, state = (scratch_path(spark, n) for n in ("budget-in", "budget-out", "budget-state"))
     deliveries(calls, F.pmod("item_id", F.lit(3)), source, lambda: jobs.budget_guard(
-        jobs.files(spark, source, calls.schema), F.col("cost"), 0.05, out, state))
+        jobs.files(own, source, calls.schema), F.col("cost"), 0.05, out, state))
     last = jobs.latest(spark, out, ["backend"]).drop("raised", "batch")
     flags = spark.read.parquet(out).groupBy("backend").agg(F.count_if("raised").alias("times"))
     return rounded(last.join(flags, "backend").select("backend", "calls", "cost", (F.col("times") == 1).alias("raised")), "cost")

@@ -3,6 +3,7 @@
 import json
 
 from assayer import dims
+from assayer.operators import thresholds as T
 from assayer.sources import readers as R
 from assayer.sources import writers as W
 
@@ -53,6 +54,8 @@ def test_run_stats_of_uneven_age(spark, tmp_path):
         (tmp_path / run / "stats.json").write_text(text)
     got = {r.run_id: (r.video_id, r.confidence, r.correct) for r in R.run_stats(spark, str(tmp_path)).collect()}
     assert got == {"new": ("v", 0.5, None), "old": ("w", None, True)}
+    scored = T.labelled(R.run_stats(spark, str(tmp_path)), "confidence", "x")
+    assert [(r.score, r.label) for r in scored.collect()] == [(0.5, 0)]
     named = R.run_stats(spark, {"L": str(tmp_path / "new")}).collect()
     assert [(r.run_id, r.video_id) for r in named] == [("L", "v")]
 
