@@ -69,7 +69,7 @@ def cohens_d(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> D
 
 def correlation(x: str, y: str) -> Column:
     """Pearson; NULL for fewer than two rows or no variance."""
-    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    spread = F.sqrt(F.var_pop(x) * F.var_pop(y))  # one root: equal columns give exactly 1
     return F.when((F.count(F.lit(1)) >= 2) & (spread > 0), F.covar_pop(x, y) / spread)
 
 
