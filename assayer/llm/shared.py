@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame
 
@@ -17,6 +18,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of finished jobs now instead of at some later collection."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of finished jobs now instead of at some later collection.
+
+    Twice: the first round frees the plans that Python still named, the second what only these plans held.
+    """
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
