@@ -1,12 +1,12 @@
 """Repeated passages removed: suffixes sorted into buckets that are refined by bucket identifiers of later offsets.
 
-A bucket identifier names the suffixes that agree in their first q bytes. The initial buckets have q = 16; an
-identifier of 32 bytes is made from the identifiers at an offset and 16 bytes later, one of 50 bytes from those of 32
-bytes at an offset and 18 bytes later, and so on: no byte is compared twice. Identifiers are fingerprints of content, so that
+A bucket identifier names the suffixes that agree in their first q bytes. The initial buckets have q = 24; an
+identifier of 32 bytes is made from the identifiers at an offset and 8 bytes later, one of 50 bytes from those of 32
+bytes at an offset and 18 bytes later, and so on, down to single bytes. Identifiers are fingerprints of content, so that
 they are the same in every task, and a sort on them brings a bucket together.
 
 Only suffixes that some window of the length sought picks (its smallest identifier) enter the sort, about one in
-nineteen; equal windows pick equal suffixes at equal places. What a block of documents knows of a bucket is combined
+fourteen; equal windows pick equal suffixes at equal places. What a block of documents knows of a bucket is combined
 before the sort, so a passage in every document is one row per block, not one per document.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from assayer.llm.arrowio import bound_batches
 from assayer.llm.shared import release, stored
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 REACH = LENGTH - GRAM + 1  # suffixes among which a window picks
 RIGHT = LENGTH - 33  # windows that begin up to this far before the pick hold the 33 bytes from it on
 PIECE = 1 << 21
@@ -48,14 +48,16 @@ class Piece:
         n = len(data) - LENGTH + 1
         none = np.zeros(0, np.int64)
         self.first = self.last = self.pick = none
-        self.id16 = np.zeros(0, np.uint64)
+        self.gram = np.zeros(0, np.uint64)
         if n <= 0:
             return
         ids, size = BYTES[data], 1
-        while size < GRAM:
+        while 2 * size <= GRAM:
             ids = pair(ids[:-size], ids[size:])
             size *= 2
-        self.id16 = ids
+        if size < GRAM:
+            ids = pair(ids[:size - GRAM], ids[GRAM - size:])
+        self.gram = ids
         least = (ids & ~LOW) | np.arange(len(ids), dtype=np.uint64)
         size = 1
         while 2 * size <= REACH:
@@ -72,7 +74,7 @@ class Piece:
         self.pick = (least[self.first] & LOW).astype(np.int64)
 
     def id32(self, at):
-        return pair(self.id16[at], self.id16[at + 16])
+        return pair(self.gram[at], self.gram[at + 32 - GRAM])
 
     def id50(self, at):
         return pair(self.id32(at), self.id32(at + 18))
@@ -91,7 +93,7 @@ class Piece:
     def halves(self, chosen: np.ndarray):
         """(name, first, last, context) of the two kinds of windows around each chosen suffix.
 
-        Windows that begin near the suffix share the 33 bytes from it on, those that begin earlier the 34 bytes
+        Windows that begin near the suffix share the 33 bytes from it on, those that begin earlier the 42 bytes
         that end with its gram: the name is the identifier of these bytes. The context names all bytes of all the windows.
         """
         p, first, last = self.pick[chosen], self.first[chosen], self.last[chosen]
@@ -101,7 +103,7 @@ class Piece:
             b = last if near else np.minimum(last, p - RIGHT - 1)
             some = a <= b
             a, b, at = a[some], b[some], p[some]
-            name = pair(self.id32(at), self.id32(at + 1)) if near else ~pair(self.id32(at - 18), self.id32(at - 16))
+            name = pair(self.id32(at), self.id32(at + 1)) if near else ~pair(self.id32(at - RIGHT - 1), self.id32(at + GRAM - 32))
             place = ((at - a) * 64 + (b - a)).astype(np.uint64)
             out.append((name, a, b, pair(pair(self.id50(a), self.id50(b)), place)))
         return [np.concatenate(x) for x in zip(*out)]
@@ -186,7 +188,7 @@ def _block_of(table: pa.Table) -> int:
 def _grams(table: pa.Table) -> pa.Table:
     """The buckets of a block, and whether more than one of its documents is in each."""
     ids = table.column("id").to_numpy()
-    found = [(p.id16[p.pick], ids[row + p.owner[p.pick]]) for row, _, p in pieces(table)]
+    found = [(p.gram[p.pick], ids[row + p.owner[p.pick]]) for row, _, p in pieces(table)]
     gram, doc = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     order, runs = _groups(gram)
     several = np.minimum.reduceat(doc[order], runs) != np.maximum.reduceat(doc[order], runs) if len(runs) else np.zeros(0, bool)
@@ -201,7 +203,7 @@ def _names(docs: pa.Table, grams: pa.Table) -> pa.Table:
     ids, shared = docs.column("id").to_numpy(), np.unique(_unsigned(grams, "gram"))
     parts = []
     for row, _, p in pieces(docs):
-        name, a, _, context = p.halves(_held(shared, p.id16[p.pick]) >= 0)
+        name, a, _, context = p.halves(_held(shared, p.gram[p.pick]) >= 0)
         parts.append((name, context, ids[row + p.owner[a]]))
     name, context, doc = (np.concatenate(x) for x in zip(*parts))
     order, runs = _groups(name)
