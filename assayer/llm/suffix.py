@@ -23,7 +23,7 @@ from assayer.llm.shared import release, stored
 LENGTH, GRAM = 50, 24
 REACH = LENGTH - GRAM + 1  # suffixes among which a window picks
 RIGHT = LENGTH - 33  # windows that begin up to this far before the pick hold the 33 bytes from it on
-PIECE = 1 << 21
+PIECE = 1 << 17  # arrays of a piece stay in a core's cache
 BLOCK_BYTES = 4 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 BYTES = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
@@ -80,7 +80,7 @@ class Piece:
         return pair(self.id32(at), self.id32(at + 18))
 
     def other50(self, at: np.ndarray) -> np.ndarray:
-        """A second fingerprint of the windows, straight from their bytes."""
+        """A second fingerprint of 32 bits, straight from the bytes of the windows."""
         out = np.zeros(len(at), np.uint64)
         view = sliding_window_view(self.data, LENGTH)
         for i in range(0, len(at), 100_000):
@@ -88,13 +88,13 @@ class Piece:
             wide[:, :LENGTH] = view[at[i:i + 100_000]]
             for column in wide.view("<u8").T:
                 out[i:i + 100_000] = pair(out[i:i + 100_000] + PRIME, column)
-        return out
+        return out >> np.uint64(32)
 
-    def halves(self, chosen: np.ndarray):
-        """(name, first, last, context) of the two kinds of windows around each chosen suffix.
+    def halves(self, chosen):
+        """(name, first, last, suffix) of the two kinds of windows around each chosen suffix.
 
         Windows that begin near the suffix share the 33 bytes from it on, those that begin earlier the 42 bytes
-        that end with its gram: the name is the identifier of these bytes. The context names all bytes of all the windows.
+        that end with its gram: the name is the identifier of these bytes.
         """
         p, first, last = self.pick[chosen], self.first[chosen], self.last[chosen]
         out = []
@@ -104,10 +104,14 @@ class Piece:
             some = a <= b
             a, b, at = a[some], b[some], p[some]
             name = pair(self.id32(at), self.id32(at + 1)) if near else ~pair(self.id32(at - RIGHT - 1), self.id32(at + GRAM - 32))
-            place = ((at - a) * 64 + (b - a)).astype(np.uint64)
-            out.append((name, a, b, pair(pair(self.id50(a), self.id50(b)), place)))
+            out.append((name, a, b, at))
         return [np.concatenate(x) for x in zip(*out)]
 
+    def contexts(self, a, b, at):
+        """Identifiers of all bytes of the windows from a to b and of the place of the suffix in them."""
+        place = ((at - a) * 64 + (b - a)).astype(np.uint64)
+        return pair(pair(self.id50(a), self.id50(b)), place)
+
 
 def pieces(table: pa.Table):
     """(first row, offset in it, piece) over the rows of a block, a few megabytes at a time."""
@@ -176,8 +180,8 @@ def _schema(text: str) -> pa.Schema:
 
 
 GRAMS = "block long, gram long, several boolean"
-NAMES = "block long, name long, low long, high long, context long, several boolean"
-WINDOWS = "block long, one long, two long, low long, high long"
+NAMES = "block long, name long, low long, several boolean, context long, mixed boolean"
+WINDOWS = "block long, one long, two long, low long, several boolean"
 RESULT = "id long, n_bytes long, starts array<long>, ends array<long>, kept binary"
 
 
@@ -196,23 +200,25 @@ def _grams(table: pa.Table) -> pa.Table:
 
 
 def _names(docs: pa.Table, grams: pa.Table) -> pa.Table:
-    """Refined buckets of the suffixes whose gram is shared: smallest and largest document, and the common context."""
+    """Refined buckets of the suffixes whose gram is shared: smallest document, and whether it is one of several; the
+    context, and whether it is one of several."""
     schema = _schema(NAMES)
     if not docs.num_rows or not grams.num_rows:
         return schema.empty_table()
     ids, shared = docs.column("id").to_numpy(), np.unique(_unsigned(grams, "gram"))
     parts = []
     for row, _, p in pieces(docs):
-        name, a, _, context = p.halves(_held(shared, p.gram[p.pick]) >= 0)
-        parts.append((name, context, ids[row + p.owner[a]]))
+        name, a, b, at = p.halves(_held(shared, p.gram[p.pick]) >= 0)
+        parts.append((name, p.contexts(a, b, at), ids[row + p.owner[a]]))
     name, context, doc = (np.concatenate(x) for x in zip(*parts))
     order, runs = _groups(name)
     if not len(runs):
         return schema.empty_table()
     doc, context = doc[order], context[order]
     least, most = np.minimum.reduceat(context, runs), np.maximum.reduceat(context, runs)
-    return _table(schema, np.full(len(runs), _block_of(docs)), _signed(name[order][runs]), np.minimum.reduceat(doc, runs),
-                  np.maximum.reduceat(doc, runs), _signed(least), least != most)
+    low = np.minimum.reduceat(doc, runs)
+    return _table(schema, np.full(len(runs), _block_of(docs)), _signed(name[order][runs]), low,
+                  low != np.maximum.reduceat(doc, runs), _signed(least), least != most)
 
 
 def _windows(docs: pa.Table, names: pa.Table) -> pa.Table:
@@ -223,7 +229,7 @@ def _windows(docs: pa.Table, names: pa.Table) -> pa.Table:
     ids, mixed = docs.column("id").to_numpy(), np.unique(_unsigned(names, "name"))
     grams = []
     for row, _, p in pieces(docs):
-        name, a, b, _ = p.halves(np.ones(len(p.pick), bool))
+        name, a, b, _ = p.halves(slice(None))
         in_ = _held(mixed, name) >= 0
         at = _spread(a[in_], b[in_])
         grams.append((p.id50(at), p.other50(at), ids[row + p.owner[at]]))
@@ -231,8 +237,9 @@ def _windows(docs: pa.Table, names: pa.Table) -> pa.Table:
     order, runs = _groups(one, two)
     if not len(runs):
         return schema.empty_table()
-    return _table(schema, np.full(len(runs), _block_of(docs)), _signed(one[order][runs]), _signed(two[order][runs]),
-                  np.minimum.reduceat(doc[order], runs), np.maximum.reduceat(doc[order], runs))
+    low = np.minimum.reduceat(doc[order], runs)
+    return _table(schema, np.full(len(runs), _block_of(docs)), _signed(one[order][runs]), _signed(two[order][runs]), low,
+                  low != np.maximum.reduceat(doc[order], runs))
 
 
 def _spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -261,7 +268,7 @@ def _removed(docs: pa.Table, told: pa.Table) -> pa.Table:
     for row, offset, p in pieces(docs) if len(kind) else ():
         if not len(p.pick):
             continue
-        found, a, b, _ = p.halves(np.ones(len(p.pick), bool))
+        found, a, b, _ = p.halves(slice(None))
         doc = ids[row + p.owner[a]]
         at = _held(name, found)
         hit = (at >= 0) & (name_low[at] < doc) if len(name) else np.zeros(len(a), bool)
@@ -338,17 +345,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     names = some.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_names, NAMES)
     by = Window.partitionBy("name")
+    least = F.min("low").over(by)
     names = names.select(
-        "block", "name", F.min("low").over(by).alias("low"), F.max("high").over(by).alias("high"),
-        (F.max("several").over(by) | (F.min("context").over(by) != F.max("context").over(by))).alias("mixed"))
-    names = stored(names.filter("low < high"), "names")
+        "block", "name", least.alias("low"), (F.col("several") | (least < F.col("low"))).alias("later"),
+        (F.max("several").over(by) | (F.min("low").over(by) < F.max("low").over(by))).alias("shared"),
+        (F.max("mixed").over(by) | (F.min("context").over(by) != F.max("context").over(by))).alias("mixed"))
+    # a block in which no document comes later only matters as the source of single windows
+    names = stored(names.filter("shared AND (later OR mixed)").select("block", "name", "low", "mixed"), "names")
     release(names)
 
     windows = some.groupBy("block").cogroup(names.filter("mixed").select("block", "name").groupBy("block")).applyInArrow(
         _windows, WINDOWS)
     by = Window.partitionBy("one", "two")
-    windows = windows.select("block", "one", "two", F.min("low").over(by).alias("low"), "high").filter("low < high")
-    windows = stored(windows.select("block", "one", "two", "low"), "windows")
+    least = F.min("low").over(by)
+    windows = windows.select("block", "one", "two", least.alias("low"), (F.col("several") | (least < F.col("low"))).alias("later"))
+    windows = stored(windows.filter("later").select("block", "one", "two", "low"), "windows")
     release(windows)
 
     zero = F.lit(0).cast("long")
