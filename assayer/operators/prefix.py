@@ -6,13 +6,15 @@ stamp, a cell of a score, a block of an id). Rows are shuffled by key and
 level, a window runs inside each cell, and the totals of the earlier cells
 come from a summary with one row per cell. The summary is made with map-side
 aggregation, so a key that holds a third of all rows is spread over as many
-tasks as it has cells. Keys and levels must not be NULL.
+tasks as it has cells. NULL keys are a group of their own; NULL levels and NULL
+order values come first. No row is lost or added.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def minute_of(ts: str = "ts") -> Column:
@@ -54,9 +56,31 @@ def _as_columns(order) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def _cells(df: DataFrame, levels: list[Column]) -> tuple[DataFrame, list[str]]:
-    names = [f"__level{i}" for i in range(len(levels))]
-    return df.select("*", *[c.alias(n) for c, n in zip(levels, names)]), names
+def _present(name: str, kind: T.DataType) -> Column:
+    """A column as (is present, value or a default): equal and ordered like the column, NULL first, and never NULL."""
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        default = F.lit("1970-01-01").cast(kind)
+    elif isinstance(kind, T.BooleanType):
+        default = F.lit(False)
+    else:
+        default = F.lit(0).cast(kind)
+    return F.struct(F.col(name).isNotNull().alias("present"), F.coalesce(F.col(name), default).alias("value"))
+
+
+def _safe(df: DataFrame, columns: list[str], prefix: str) -> tuple[DataFrame, list[str]]:
+    """Stand-ins for key columns that may be NULL, so that plain joins and windows treat NULL as a value."""
+    names = [f"{prefix}{i}" for i in range(len(columns))]
+    fields = [df.schema[c] for c in columns]
+    return df.select("*", *[(_present(c, f.dataType) if f.nullable else F.col(c)).alias(n)
+                            for c, f, n in zip(columns, fields, names)]), names
+
+
+def _cells(df: DataFrame, keys: list[str], levels: list[Column]) -> tuple[DataFrame, list[str], list[str]]:
+    raw = [f"__raw{i}" for i in range(len(levels))]
+    cells = df.select("*", *[c.alias(n) for c, n in zip(levels, raw)])
+    cells, key_names = _safe(cells, keys, "__key")
+    cells, level_names = _safe(cells, raw, "__level")
+    return cells.drop(*raw), key_names, level_names
 
 
 def _window(keys: list[str]):
@@ -86,15 +110,16 @@ def _offsets(summary: DataFrame, keys: list[str], levels: list[str], sums: list[
 def running_totals(df: DataFrame, keys: list[str], levels: list[Column], order: list,
                    measures: dict[str, Column]) -> DataFrame:
     """Inclusive running totals of ``measures`` inside ``keys`` in level, then ``order`` order."""
-    cells, names = _cells(df, levels)
+    cells, groups, names = _cells(df, keys, levels)
     sums = [f"__m_{m}" for m in measures]
     cells = cells.select("*", *[c.alias(s) for c, s in zip(measures.values(), sums)])
-    path = keys + names
-    summary = cells.groupBy(*path).agg(*[F.sum(s).alias(s) for s in sums])
-    offsets = _offsets(summary, keys, names, sums)
+    path = groups + names
+    # a NULL measure adds nothing, as in a window sum
+    summary = cells.groupBy(*path).agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in sums])
+    offsets = _offsets(summary, groups, names, sums)
     upto = Window.partitionBy(*path).orderBy(*_as_columns(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    local = cells.select(*df.columns, *names, *[F.sum(s).over(upto).alias(s) for s in sums])
+    local = cells.select(*df.columns, *path, *[F.sum(s).over(upto).alias(s) for s in sums])
     return local.join(offsets, path).select(
         *[local[c] for c in df.columns],
         *[(F.col(s) + F.col(f"__before_{s}")).alias(m) for m, s in zip(measures, sums)],
@@ -109,18 +134,18 @@ def row_numbers(df: DataFrame, keys: list[str], levels: list[Column], order: lis
 
 def _neighbour(df: DataFrame, keys: list[str], level: Column, order: list,
                columns: dict[str, str], forward: bool) -> DataFrame:
-    cells, (name,) = _cells(df, [level])
-    path = keys + [name]
+    cells, groups, (name,) = _cells(df, keys, [level])
+    path = groups + [name]
     sort = _as_columns(order)
     local = Window.partitionBy(*path).orderBy(*sort)
     shift, edge = (F.lead, F.min_by) if forward else (F.lag, F.max_by)
     position = F.struct(*sort)
-    across = _window(keys).orderBy(name)
+    across = _window(groups).orderBy(name)
     summary = cells.groupBy(*path).agg(
         edge(F.struct(*[F.col(c).alias(o) for o, c in columns.items()]), position).alias("__edge"))
     carried = summary.select(*path, shift("__edge").over(across).alias("__carry"))
     near = cells.select(
-        *df.columns, name,
+        *df.columns, *path,
         shift(F.struct(*[F.col(c).alias(o) for o, c in columns.items()])).over(local).alias("__near"))
     return near.join(carried, path).select(
         *[near[c] for c in df.columns],
@@ -156,7 +181,9 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, levels: list[Co
     counts = value_counts(df, keys, value)
     ranked = running_totals(counts, keys, levels, [value], {"upto": F.col("n_value")})
     totals = counts.groupBy(*keys).agg(F.sum("n_value").alias("n"))
-    joined = ranked.join(totals, keys)
+    ranked, names = _safe(ranked, keys, "__key")
+    totals, _ = _safe(totals, keys, "__key")
+    joined = ranked.join(totals.drop(*keys), names)
     picks = [
         F.min(F.when(F.col("upto") > ix, F.col(value))).alias(name)
         for name, ix in indexes.items()

@@ -72,3 +72,27 @@ def test_hot_key_is_spread(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert sum(sizes) == 20000 and max(sizes) < 20000 / 3
+
+
+def test_null_keys_levels_and_order(spark):
+    rows = [(k, v, o) for k in (None, "a", "b") for v in (None, 1, 2, 500) for o in (None, 3, 4)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, k string, v long, o long")
+    df.createOrReplaceTempView("null_rows")
+    level, order = prefix.block_of("v", 4), ["v", "o", "id"]
+    over = "OVER (PARTITION BY k ORDER BY v NULLS FIRST, o NULLS FIRST, id)"
+    want = {r.id: r for r in spark.sql(f"""SELECT id, row_number() {over} AS rn, sum(o) {over.replace(')', ' ROWS UNBOUNDED PRECEDING)')} AS upto,
+        lag(id) {over} AS before, lead(id) {over} AS after FROM null_rows""").collect()}
+    number = prefix.row_numbers(df, ["k"], [level], order).collect()
+    total = prefix.running_totals(df, ["k"], [level, F.col("v")], order, {"upto": F.coalesce("o", F.lit(0))}).collect()
+    before = prefix.previous(df, ["k"], level, order, {"before": "id"}).collect()
+    after = prefix.following(df, ["k"], level, order, {"after": "id"}).collect()
+    assert all(len(x) == len(rows) for x in (number, total, before, after))
+    assert all(r.rn == want[r.id].rn for r in number)
+    assert all(r.upto == (want[r.id].upto or 0) for r in total)
+    assert all(r.before == want[r.id].before for r in before) and all(r.after == want[r.id].after for r in after)
+
+
+def test_order_statistics_with_a_null_key(spark):
+    df = spark.createDataFrame([(None, 0.5), (None, 0.1), (None, 0.9), ("a", 0.3), ("a", None)], "k string, v double")
+    got = prefix.order_statistics(df, ["k"], "v", prefix.value_levels("v"), {"mid": F.floor(F.col("n") / 2)}).collect()
+    assert sorted((str(r.k), r.n, r.mid) for r in got) == [("None", 3, 0.5), ("a", 1, 0.3)]
