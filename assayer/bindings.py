@@ -145,7 +145,7 @@ QUESTIONS = [("q1", 1, 3), ("q2", 2, 4), ("q3", 3, 3), ("q4", 4, 4), ("q5", 5, 3
 JUDGES = [("ja", 0), ("jb", 1)]
 
 REPORTS_SQL = """
-SELECT conv_id * 1000 + turn // 2 AS item_id, role AS model, text AS body FROM conversations"""
+SELECT conv_id * 1000000000 + turn // 2 AS item_id, role AS model, text AS body FROM conversations"""
 
 JUDGE_SQL = f"""
 SELECT c.item_id, c.model, j.judge, q.q_key, q.max_score,
@@ -157,7 +157,7 @@ CROSS JOIN ({values_sql(QUESTIONS, ['q_key', 'qn', 'max_score'])}) q"""
 
 def reports_by_model(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "conversations")).select(
-        (F.col("conv_id") * 1000 + F.expr("turn div 2")).alias("item_id"),
+        (F.col("conv_id") * 1_000_000_000 + F.expr("turn div 2")).alias("item_id"),
         F.col("role").alias("model"), F.col("text").alias("body"))
 
 
@@ -207,8 +207,10 @@ def intervals(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- agents --------------------------------------------------------------------
+# a case is a user and a day since 1970
+CASE_DAYS = 1_000_000
 AGENTS_SQL = """
-SELECT user_id * 100 + extract(day FROM ts) AS case_id,
+SELECT user_id * 1000000 + datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS case_id,
        row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS pos,
        event_type AS category,
        CAST(event_id * 7919 % 1000 AS DOUBLE) / 1000 AS confidence,
@@ -234,7 +236,7 @@ def agents(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
     labels = F.array(*[F.lit(v) for v in ("view", "click", "purchase", "error", "signup")])
     return e.select(
-        (F.col("user_id") * 100 + F.dayofmonth("day")).alias("case_id"), "pos",
+        (F.col("user_id") * CASE_DAYS + F.unix_date("day")).alias("case_id"), "pos",
         F.col("event_type").alias("category"), _d(i * 7919 % 1000, 1000).alias("confidence"),
         (i % 4).alias("n_frames"), (i % 32).alias("first_frame"),
         (i * 11 % 320).alias("escalation_start_frame"), (i % 3).alias("n_pre"), (i % 2).alias("n_post"), i,

@@ -69,24 +69,26 @@ def mil_conflict(primary: Column, normal: str) -> Column:
 
 
 def mismatch_pairs(reports: DataFrame, keys: list[str], normal: str = "Normal", chunk: int = 4096) -> DataFrame:
-    """Pairs of a case with different classes and confidences more than 0.5 apart.
+    """Pairs of a case with different classes and confidences more than 0.5 apart, on any scale.
 
-    Confidences lie in [0, 1], so one report of a hit is under 0.5 and the other
-    above: only these two sides meet. A case with more than ``chunk`` low
-    reports is cut into chunks by a hash of the position, so its pairs are
-    made by many tasks.
+    Confidences are cut into bands of width 0.5. Two reports in one band are never far enough apart, so a report meets
+    only those of lower bands. Both sides of a large case are cut into chunks by hashes of the
+    position, and a pair of chunks is one join key, so the pairs of one case are made by many tasks. (In [0, 1] there are two
+    bands and the report of exactly 1.)
     """
-    r = reports.filter(~F.col("is_env") & (F.col("category") != normal)).select(
-        *keys, "pos", "category", "confidence", _first_frames().alias("frames"))
-    low = r.filter(F.col("confidence") < 1 - GAP_CONFIDENCE)
-    chunks = low.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("__n"))
-    low = low.join(chunks, keys).withColumn("__chunk", F.pmod(F.xxhash64("pos"), F.col("__n")))
-    high = (r.filter(F.col("confidence") > GAP_CONFIDENCE).join(chunks, keys)
-            .withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).drop("__n"))
+    r = reports.filter(~F.col("is_env") & (F.col("category") != normal) & F.col("confidence").isNotNull()).select(
+        *keys, "pos", "category", "confidence", _first_frames().alias("frames"),
+        F.floor(F.col("confidence") / GAP_CONFIDENCE).alias("__band"))
+    sizes = r.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("__n"), F.collect_set("__band").alias("__bands"))
+    r = r.join(sizes, keys).withColumn("__part", F.pmod(F.xxhash64("pos"), F.col("__n")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)
     cols = ["pos", "category", "confidence", "frames"]
-    low = low.select(*keys, "__chunk", *[F.col(c).alias(f"l_{c}") for c in cols])
-    high = high.select(*keys, "__chunk", *[F.col(c).alias(f"h_{c}") for c in cols])
-    hits = low.join(high, [*keys, "__chunk"]).filter(
+    low = r.select(*keys, "__band", F.col("__part").alias("__low"), F.explode(every).alias("__high"),
+                   *[F.col(c).alias(f"l_{c}") for c in cols])
+    below = F.filter("__bands", lambda x: x < F.col("__band"))
+    high = (r.select(*keys, F.col("__part").alias("__high"), "__n", F.explode(below).alias("__band"), *cols)
+            .select(*keys, "__band", "__high", F.explode(every).alias("__low"), *[F.col(c).alias(f"h_{c}") for c in cols]))
+    hits = low.join(high, [*keys, "__band", "__low", "__high"]).filter(
         (F.col("l_category") != F.col("h_category"))
         & (F.abs(F.col("h_confidence") - F.col("l_confidence")) > GAP_CONFIDENCE))
     low_first = F.col("l_pos") < F.col("h_pos")
@@ -120,16 +122,23 @@ def causal_rules(severity: Column, escalation_trusted: bool = ESCALATION_TRUSTED
     return _keep(*rules)
 
 
+def first_classifying() -> Column:
+    """Place of the first report of a case that is not about the environment (an aggregate)."""
+    return F.min(F.when(~F.col("is_env"), F.col("pos")))
+
+
 def annotated(reports: DataFrame, keys: list[str], classes: DataFrame, normal: str = "Normal") -> DataFrame:
     """Reports with severity, rule hits and the environment of their case."""
     severity = F.broadcast(classes.select(F.col("class").alias("category"), F.col("severity").alias("class_severity")))
     r = reports.join(severity, "category", "left")
-    primary = F.col("pos") == 1
-    # one row per case: the first environment report
-    env = reports.filter("is_env").groupBy(*keys).agg(
-        F.min_by(F.struct("pos", "confidence", "env_contribution"), "pos").alias("env"))
-    r = r.join(env, keys, "left")
+    # one row per case: its first environment report and the place of its first classifying one
+    heads = reports.groupBy(*keys).agg(
+        F.min_by(F.when(F.col("is_env"), F.struct("pos", "confidence", "env_contribution")),
+                 F.when(F.col("is_env"), F.col("pos"))).alias("env"),
+        first_classifying().alias("__first"))
+    r = r.join(heads, keys, "left")
     sees = ~F.col("is_env")
+    primary = F.col("pos") == F.col("__first")
     none = F.filter(causal_rules(F.col("class_severity")), lambda x: F.lit(False))
     drop = F.coalesce(F.col("env.env_contribution"), (F.col("confidence") - F.col("env.confidence")) * 0.5)
     return r.withColumns({
@@ -332,7 +341,9 @@ def audit(reports: DataFrame, keys: list[str], classes: DataFrame, normal: str =
 
 def final_class(reports: DataFrame, audited: DataFrame, keys: list[str], revote) -> DataFrame:
     """Class after gate, second opinion and consensus; ``revote`` is the column rule."""
-    primary = reports.filter("pos = 1").select(*keys, "category", "confidence", "vlm_used", "gated")
+    fields = F.struct("category", "confidence", "vlm_used", "gated")
+    primary = (reports.filter(~F.col("is_env")).groupBy(*keys).agg(F.min_by(fields, "pos").alias("first"))
+               .select(*keys, "first.*"))
     j = audited.join(primary, keys)
     return j.select(*keys, revote(F.col("gated"), F.col("vlm_used"), F.col("category"), F.col("confidence"),
                                   F.col("conflict_type"), F.col("consensus")).alias("final_class"))
@@ -378,7 +389,9 @@ def rounds(reports: DataFrame, keys: list[str], round_column: str, classes: Data
     by_round = [*keys, round_column]
     r = classify(reports, by_round, classes, normal, F.col(round_column))
     high = F.broadcast(classes.filter("severity = 'HIGH'").select(F.col("class").alias("category"), F.lit(2).alias("__limit")))
-    limit = (reports.filter((F.col("pos") == 1) & (F.col(round_column) == 0)).join(high, "category", "left")
+    first = (reports.filter(~F.col("is_env") & (F.col(round_column) == 0)).groupBy(*keys)
+             .agg(F.min_by("category", "pos").alias("category")))
+    limit = (first.join(high, "category", "left")
              .select(*keys, F.coalesce("__limit", F.lit(1)).alias("limit")))
     last = r.groupBy(*keys).agg(F.max(round_column).alias("last"))
     j = r.join(limit, keys, "left").join(last, keys).withColumn("limit", F.coalesce("limit", F.lit(1)))

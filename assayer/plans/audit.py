@@ -13,12 +13,22 @@ NORMAL = "view"
 KEYS = ["case_id"]
 
 
+def is_env():
+    """The environment report stands first, second, nowhere, or first and third in a case."""
+    kind = F.col("case_id") % 4
+    return F.when(kind == 0, F.col("pos") == 1).when(kind == 1, F.col("pos") == 2).when(kind == 2, F.lit(False)).otherwise(
+        F.col("pos").isin(1, 3))
+
+
+IS_ENV_SQL = "CASE case_id % 4 WHEN 0 THEN pos = 1 WHEN 1 THEN pos = 2 WHEN 2 THEN false ELSE pos IN (1, 3) END"
+
+
 def reports(spark, d, agents=None):
     a = B.agents(spark, d) if agents is None else agents
     refs = F.when(F.col("n_frames") > 0, F.sequence(
         F.col("first_frame").cast("int"), (F.col("first_frame") + F.col("n_frames") - 1).cast("int"))).otherwise(
         F.array().cast("array<int>"))
-    return a.withColumns({"is_env": F.col("pos") == 2, "frame_refs": refs, "video_fps": F.lit(30.0)})
+    return a.withColumns({"is_env": is_env(), "frame_refs": refs, "video_fps": F.lit(30.0)})
 
 
 def parts(spark, d):
@@ -27,22 +37,23 @@ def parts(spark, d):
 
 
 SEV_SQL = "CASE category WHEN 'error' THEN 'HIGH' WHEN 'purchase' THEN 'MEDIUM' WHEN 'click' THEN 'LOW_PLANNED' WHEN 'signup' THEN 'MEDIUM' END"
-BASE = """g AS (SELECT *, pos = 2 AS is_env, %s AS severity, escalation_start_frame - first_frame AS gap FROM agents),
-cat AS (SELECT * FROM g WHERE NOT is_env), env AS (SELECT * FROM g WHERE is_env),
-temporal AS (SELECT case_id, pos, 'attack_first' AS rule, 0.9 AS severity, gap FROM cat WHERE pos = 1 AND n_frames > 0 AND gap > 30
-  UNION ALL SELECT case_id, pos, 'far_apart', 0.7, gap FROM cat WHERE pos = 1 AND n_frames > 0 AND abs(gap) > 90),
+BASE = """g AS (SELECT *, %s AS is_env, %s AS severity, escalation_start_frame - first_frame AS gap FROM agents),
+cat AS (SELECT *, min(pos) OVER (PARTITION BY case_id) AS first_pos FROM g WHERE NOT is_env), env AS (SELECT * FROM g WHERE is_env),
+env1 AS (SELECT * FROM env QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY pos) = 1), ids AS (SELECT DISTINCT case_id FROM agents),
+temporal AS (SELECT case_id, pos, 'attack_first' AS rule, 0.9 AS severity, gap FROM cat WHERE pos = first_pos AND n_frames > 0 AND gap > 30
+  UNION ALL SELECT case_id, pos, 'far_apart', 0.7, gap FROM cat WHERE pos = first_pos AND n_frames > 0 AND abs(gap) > 90),
 pairs AS (SELECT a.case_id, a.pos AS pos_a, b.pos AS pos_b, a.category AS category_a, b.category AS category_b,
        a.confidence AS confidence_a, b.confidence AS confidence_b
   FROM cat a JOIN cat b ON a.case_id = b.case_id AND a.pos < b.pos AND a.category <> b.category
    AND a.category <> 'view' AND b.category <> 'view' AND abs(a.confidence - b.confidence) > 0.5),
-mil AS (SELECT case_id, pos FROM cat WHERE pos = 1 AND vlm_used AND mil_category NOT IN ('view', '') AND category NOT IN ('view', '')
+mil AS (SELECT case_id, pos FROM cat WHERE pos = first_pos AND vlm_used AND mil_category NOT IN ('view', '') AND category NOT IN ('view', '')
    AND mil_category <> category AND mil_confidence >= 0.4 AND abs(confidence - mil_confidence) > 0.5),
 causal AS (SELECT case_id, pos, 1 AS rule_order, 'no_antecedent_high' AS rule, true AS hard, 0.85 AS severity FROM cat WHERE severity = 'HIGH' AND n_pre = 0 AND confidence > 0.96
   UNION ALL SELECT case_id, pos, 2, 'few_antecedents', false, 0.4 FROM cat WHERE severity = 'MEDIUM' AND n_pre < 2 AND confidence > 0.81
   UNION ALL SELECT case_id, pos, 3, 'no_watching', false, 0.35 FROM cat WHERE severity = 'LOW_PLANNED' AND n_pre = 0 AND confidence > 0.81
   UNION ALL SELECT case_id, pos, 5, 'element_mismatch', false, 0.5 FROM cat WHERE rag_match_ratio < 0.3 AND confidence > 0.7),
 spurious AS (SELECT c.case_id, c.pos, e.pos AS env_pos, coalesce(e.env_contribution, (c.confidence - e.confidence) * 0.5) AS env_drop
-  FROM cat c JOIN env e ON e.case_id = c.case_id
+  FROM cat c JOIN env1 e ON e.case_id = c.case_id
   WHERE e.confidence < 0.4 AND c.confidence > 0.75 AND coalesce(e.env_contribution, (c.confidence - e.confidence) * 0.5) > 0.3),
 lowp AS (SELECT a.case_id, a.pos AS p1, b.pos AS p2, CASE WHEN a.confidence < b.confidence THEN a.pos ELSE b.pos END AS weaker
   FROM cat a JOIN cat b ON a.case_id = b.case_id AND a.pos < b.pos AND a.category = b.category AND a.confidence < 0.7 AND b.confidence < 0.7
@@ -58,9 +69,10 @@ cls AS (SELECT case_id, CASE WHEN l1 OR h2 THEN 'HARD' WHEN low IS NOT NULL OR l
             WHEN l2 THEN 'CAUSAL' ELSE 'NONE' END AS layer,
        CASE WHEN l1 OR h2 THEN '' ELSE coalesce('agent' || CAST(coalesce(low, l3, s2) AS STRING), '') END AS target FROM flags),
 v AS (SELECT case_id, category, round(sum(confidence), 9) AS votes, min(pos) AS first FROM cat GROUP BY ALL),
-cons AS (SELECT case_id, category AS consensus, round(votes / total, 9) >= 0.8 AS is_convergent FROM (
+cons AS (SELECT ids.case_id, coalesce(consensus, 'view') AS consensus, coalesce(is_convergent, false) AS is_convergent FROM ids LEFT JOIN (
+   SELECT case_id, category AS consensus, round(votes / total, 9) >= 0.8 AS is_convergent FROM (
    SELECT *, nullif(sum(votes) OVER (PARTITION BY case_id), 0) AS total FROM v) x
-   QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY votes DESC, first) = 1),
+   QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY votes DESC, first) = 1) y ON y.case_id = ids.case_id),
 frames AS (SELECT case_id, pos, unnest(range(first_frame, first_frame + n_frames)) AS frame FROM g WHERE n_frames > 0),
 ov AS (SELECT n.case_id, n_reports, n_reports >= 2 AND holders = n_reports AS overlap FROM
    (SELECT case_id, count(*) AS n_reports FROM g WHERE n_frames > 0 GROUP BY case_id) n
@@ -71,11 +83,11 @@ mass2 AS (SELECT *, greatest(0, 1 - mc - u) AS mn, greatest(0, 1 - ec - (u + (1
 kk AS (SELECT c.case_id, avg(least(c.mc * e.en + c.mn * e.ec, 1)) AS k FROM mass2 c JOIN mass2 e
    ON e.case_id = c.case_id AND NOT c.is_env AND e.is_env GROUP BY c.case_id),
 kd AS (SELECT case_id, avg(least(mc * (0.88 - 0.85 * confidence) + mn * 0.95 * confidence, 1)) AS k FROM mass2 WHERE NOT is_env GROUP BY case_id),
-bonus AS (SELECT case_id, CASE WHEN bool_or(has_causal_chain AND n_pre > 0 AND n_post > 0) THEN 0.2 ELSE 0 END
-       + CASE WHEN bool_or(rlegal > 0.8) THEN 0.1 ELSE 0 END AS b FROM cat GROUP BY case_id),
-ds AS (SELECT b.case_id, coalesce(kk.k, kd.k) AS k, CAST(b.b + CASE WHEN ov.overlap THEN 0.2 ELSE 0 END AS DOUBLE) AS bonus,
-       least(greatest(1 - coalesce(kk.k, kd.k) + b.b + CASE WHEN ov.overlap THEN 0.2 ELSE 0 END, 0), 1.3) AS rcons, kd.k AS k_default
-   FROM bonus b LEFT JOIN kk ON kk.case_id = b.case_id LEFT JOIN kd ON kd.case_id = b.case_id LEFT JOIN ov ON ov.case_id = b.case_id)""" % SEV_SQL
+bonus AS (SELECT case_id, CASE WHEN bool_or(NOT is_env AND has_causal_chain AND n_pre > 0 AND n_post > 0) THEN 0.2 ELSE 0 END
+       + CASE WHEN bool_or(NOT is_env AND rlegal > 0.8) THEN 0.1 ELSE 0 END AS b FROM g GROUP BY case_id),
+ds AS (SELECT b.case_id, coalesce(kk.k, kd.k, 0) AS k, CAST(b.b + CASE WHEN ov.overlap THEN 0.2 ELSE 0 END AS DOUBLE) AS bonus,
+       least(greatest(1 - coalesce(kk.k, kd.k, 0) + b.b + CASE WHEN ov.overlap THEN 0.2 ELSE 0 END, 0), 1.3) AS rcons, coalesce(kd.k, 0) AS k_default
+   FROM bonus b LEFT JOIN kk ON kk.case_id = b.case_id LEFT JOIN kd ON kd.case_id = b.case_id LEFT JOIN ov ON ov.case_id = b.case_id)""" % (IS_ENV_SQL, SEV_SQL)
 AUDIT_SQL = B.ctes("agents") + ", " + BASE
 
 
@@ -100,8 +112,8 @@ def aud_temporal(spark, d):
 @query("aud_category", AUDIT_SQL + """
 SELECT case_id, 'category_mismatch' AS rule, 'agent' || CAST(pos_a AS STRING) AS agent_a, 'agent' || CAST(pos_b AS STRING) AS agent_b,
        category_a || '（信心 ' || printf('%.2f', confidence_a) || '）' AS claim_a, category_b || '（信心 ' || printf('%.2f', confidence_b) || '）' AS claim_b FROM pairs
-UNION ALL SELECT m.case_id, 'second_opinion', 'agent1', 'second opinion', category || '（信心 ' || printf('%.2f', confidence) || '）',
-       mil_category || '（信心 ' || printf('%.2f', mil_confidence) || '）' FROM mil m JOIN cat ON cat.case_id = m.case_id AND cat.pos = 1""")
+UNION ALL SELECT m.case_id, 'second_opinion', 'agent' || CAST(m.pos AS STRING), 'second opinion', category || '（信心 ' || printf('%.2f', confidence) || '）',
+       mil_category || '（信心 ' || printf('%.2f', mil_confidence) || '）' FROM mil m JOIN cat ON cat.case_id = m.case_id AND cat.pos = m.pos""")
 def aud_category(spark, d):
     c = A.conflicts(*parts(spark, d))
     return c.filter(F.col("rule").isin("category_mismatch", "second_opinion")).select(
@@ -138,7 +150,8 @@ def aud_focus(spark, d):
 
 
 @query("aud_null", AUDIT_SQL + """
-SELECT case_id, 'NONE' AS conflict_type, CAST(1 AS DOUBLE) AS rcons, min_by(category, pos) AS consensus FROM cat GROUP BY case_id""")
+SELECT case_id, 'NONE' AS conflict_type, CAST(1 AS DOUBLE) AS rcons, coalesce(arg_min(category, pos) FILTER (WHERE NOT is_env), 'view') AS consensus
+FROM g GROUP BY case_id""")
 def aud_null(spark, d):
     return A.null_audit(reports(spark, d), KEYS, NORMAL)
 
@@ -147,11 +160,11 @@ def aud_null(spark, d):
 SELECT k.case_id, 0 AS section, concat('reports=', CAST(n AS STRING), ' type=', conflict_type, ' consensus=', consensus, ' Rcons=', printf('%.3f', rcons)) AS line
 FROM (SELECT case_id, count(*) AS n FROM agents GROUP BY case_id) k JOIN cls ON cls.case_id = k.case_id
 JOIN cons ON cons.case_id = k.case_id JOIN ds ON ds.case_id = k.case_id
-UNION ALL SELECT case_id, 1, concat('[', upper(rule), '] agent1 ↔ agent1 severity=', printf('%.2f', severity)) FROM temporal
+UNION ALL SELECT case_id, 1, concat('[', upper(rule), '] agent', CAST(pos AS STRING), ' ↔ agent', CAST(pos AS STRING), ' severity=', printf('%.2f', severity)) FROM temporal
 UNION ALL SELECT case_id, 2, concat('[CATEGORY_MISMATCH] agent', CAST(pos_a AS STRING), ' ↔ agent', CAST(pos_b AS STRING), ' severity=0.85') FROM pairs
-UNION ALL SELECT case_id, 3, '[SECOND_OPINION] agent1 ↔ second opinion severity=0.85' FROM mil
+UNION ALL SELECT case_id, 3, concat('[SECOND_OPINION] agent', CAST(pos AS STRING), ' ↔ second opinion severity=0.85') FROM mil
 UNION ALL SELECT case_id, rule_order + 3, concat('[', upper(rule), '] agent', CAST(pos AS STRING), ' ↔ rule severity=', printf('%.2f', severity)) FROM causal
-UNION ALL SELECT case_id, 10, concat('[WEAK_ENVIRONMENT] agent', CAST(pos AS STRING), ' ↔ agent2 severity=0.40') FROM spurious""")
+UNION ALL SELECT case_id, 10, concat('[WEAK_ENVIRONMENT] agent', CAST(pos AS STRING), ' ↔ agent', CAST(env_pos AS STRING), ' severity=0.40') FROM spurious""")
 def aud_log(spark, d):
     return A.audit_log(*parts(spark, d))
 
@@ -172,7 +185,7 @@ def agg_ds_conflict(spark, d):
 @query("prj_revote", AUDIT_SQL + """
 SELECT p.case_id, CASE WHEN gated THEN 'view' WHEN vlm_used AND conflict_type = 'HARD' AND confidence < 0.6 AND consensus <> category AND consensus <> 'view'
        THEN consensus WHEN vlm_used THEN category ELSE consensus END AS final_class
-FROM cat p JOIN cls ON cls.case_id = p.case_id JOIN cons ON cons.case_id = p.case_id WHERE p.pos = 1""")
+FROM cat p JOIN cls ON cls.case_id = p.case_id JOIN cons ON cons.case_id = p.case_id WHERE p.pos = p.first_pos""")
 def prj_revote(spark, d):
     r, keys, classes, normal = parts(spark, d)
     audited = A.classify(r, keys, classes, normal).join(A.consensus(r, keys, normal), keys)
@@ -192,10 +205,10 @@ def prj_uncertainty(spark, d):
 
 
 # three days in a row are the three passes over one case of a user
-ROUND_AGENTS = "SELECT * REPLACE ((case_id // 100) * 100 + (case_id % 100 - 1) // 3 AS case_id), case_id % 100 AS day FROM agents0"
-ROUNDS_SQL = B.ctes(agents0=B.AGENTS_SQL, dayrank="""
-SELECT case_id AS daycase, (case_id // 100) * 100 + (case_id % 100 - 1) // 3 AS grp,
-       dense_rank() OVER (PARTITION BY (case_id // 100) * 100 + (case_id % 100 - 1) // 3 ORDER BY case_id) - 1 AS rnd
+DAYS = B.CASE_DAYS
+GROUP_SQL = f"(case_id // {DAYS}) * {DAYS} + (case_id % {DAYS}) // 3"
+ROUNDS_SQL = B.ctes(agents0=B.AGENTS_SQL, dayrank=f"""
+SELECT case_id AS daycase, {GROUP_SQL} AS grp, dense_rank() OVER (PARTITION BY {GROUP_SQL} ORDER BY case_id) - 1 AS rnd
 FROM (SELECT DISTINCT case_id FROM agents0) x""", agents="SELECT * FROM agents0") + ", " + BASE
 
 
@@ -204,8 +217,8 @@ SELECT d.*, f.l1, f.h2, f.l2, f.l3, c.conflict_type, c.layer FROM dayrank d JOIN
 k AS (SELECT grp, rnd, CASE WHEN rnd >= 2 AND (l1 OR l2 OR l3 IS NOT NULL) THEN 'HARD' ELSE conflict_type END AS kind,
        CASE WHEN rnd >= 2 AND (l1 OR l2 OR l3 IS NOT NULL) THEN CASE WHEN l1 THEN 'TEMPORAL' WHEN l2 THEN 'CAUSAL' ELSE 'SPURIOUS' END ELSE layer END AS layer,
        max(rnd) OVER (PARTITION BY grp) AS last FROM anyc),
-lim AS (SELECT grp, CASE WHEN category = 'error' THEN 2 ELSE 1 END AS lim FROM dayrank d JOIN cat ON cat.case_id = d.daycase AND pos = 1 WHERE rnd = 0),
-e AS (SELECT k.*, kind = 'NONE' OR rnd = last OR (kind = 'SOFT' AND rnd >= 2) OR (kind = 'HARD' AND rnd >= lim) AS stop FROM k JOIN lim ON lim.grp = k.grp),
+lim AS (SELECT grp, CASE WHEN category = 'error' THEN 2 ELSE 1 END AS lim FROM dayrank d JOIN cat ON cat.case_id = d.daycase AND pos = first_pos WHERE rnd = 0),
+e AS (SELECT k.*, kind = 'NONE' OR rnd = last OR (kind = 'SOFT' AND rnd >= 2) OR (kind = 'HARD' AND rnd >= coalesce(lim, 1)) AS stop FROM k LEFT JOIN lim ON lim.grp = k.grp),
 s AS (SELECT grp, min(rnd) AS r FROM e WHERE stop GROUP BY grp)
 SELECT s.grp AS case_id, s.r AS rounds_used, max(CASE WHEN e.rnd = s.r THEN kind END) AS conflict_type, max(CASE WHEN e.rnd = s.r THEN layer END) AS layer,
        CAST(sum(CASE WHEN e.rnd < s.r THEN CASE kind WHEN 'HARD' THEN 2 WHEN 'SOFT' THEN 1 ELSE 0 END ELSE 0 END) AS BIGINT) AS extra_turns
@@ -213,8 +226,8 @@ FROM s JOIN e ON e.grp = s.grp GROUP BY s.grp, s.r""")
 def aud_rounds(spark, d):
     from pyspark.sql import Window
     a = reports(spark, d)
-    day = F.col("case_id") % 100
-    group = (F.col("case_id") - day + F.floor((day - 1) / 3)).cast("long")
+    day = F.col("case_id") % DAYS
+    group = (F.col("case_id") - day + F.floor(day / 3)).cast("long")
     # at most three days per group: number those that exist
     days = a.select("case_id").distinct().withColumn("grp", group)
     days = days.withColumn("round", F.row_number().over(Window.partitionBy("grp").orderBy("case_id")) - 1)

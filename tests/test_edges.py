@@ -221,3 +221,26 @@ def test_cover_and_guided_picks(spark):
             event = [frames[int(i * len(frames) / k)] for i in range(k)] if len(frames) >= k else frames
             want = sorted(set(event + [int(i * total / (n - k)) for i in range(n - k)]))[:n]
         assert sorted(picks[v]) == want
+
+
+def test_environment_report_may_come_first(spark):
+    """The verdict of a case does not depend on where its environment report stands."""
+    rows = []
+    for case, order in enumerate(("AE", "EA", "A", "EAE", "E")):
+        for pos, kind in enumerate(order, 1):
+            rows.append(report(case, pos, "Stealing", 0.9, (10,), esc=100) if kind == "A" else report(case, pos, "E", 0.8, env=True))
+    got = {r.case_id: (r.conflict_type, r.layer) for r in A.classify(spark.createDataFrame(rows, REPORT), ["case_id"], dims.classes(spark)).collect()}
+    assert got[0] == ("HARD", "TEMPORAL") and got[1] == got[0] and got[2] == got[0] and got[3] == got[0]
+    assert got[4] == ("NONE", "NONE")
+
+
+def test_mismatch_pairs_on_any_scale(spark):
+    rows = [(1, i, False, c, conf) for i, (c, conf) in enumerate(
+        [("Assault", 10.0), ("Arson", 90.0), ("Arson", 10.3), ("Assault", -3.0), ("Normal", 50.0), ("Robbery", 10.5), ("Robbery", None)])]
+    df = spark.createDataFrame(rows, "case_id int, pos int, is_env boolean, category string, confidence double").withColumn(
+        "frame_refs", F.array().cast("array<int>"))
+    want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and "Normal" not in (a[3], b[3]) and a[3] != b[3]
+            and None not in (a[4], b[4]) and abs(a[4] - b[4]) > 0.5}
+    for chunk in (1, 2, 4096):
+        got = A.mismatch_pairs(df, ["case_id"], chunk=chunk).collect()
+        assert len(got) == len(want) and {(r.pos_a, r.pos_b) for r in got} == want
