@@ -42,9 +42,10 @@ def run_scorer(rows: DataFrame, name: str, default: str = "Normal", **settings)
     with the default class and the error text, so no row is lost.
     """
     make = REGISTRY[name]
+    held = rows.sparkSession.sparkContext.broadcast(settings)  # one copy per executor, not one per task
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = make(**settings)  # once per task
+        score = make(**held.value)  # once per task
         for batch in batches:
             try:
                 yield score(batch)

@@ -8,7 +8,6 @@ and all layers are answered in one job. ``queries`` rows are ``query_id, text``
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import text as X
-from assayer.session import broadcast_if_small, collect_bounded, materialise, scratch_path
+from assayer.session import materialise
 
 # ---- fixed values -----------------------------------------------------------------
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -92,17 +91,17 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """Okapi score of every document that shares a term with a query; repeated query terms count again.
 
     Query terms carry their idf and the layer's mean length, so the postings are
-    joined once. Terms and weighted terms of a checked size are broadcast;
-    larger batches take the shuffle join.
+    joined once. Terms and weighted terms are written tables, so the optimiser knows
+    their size and broadcasts them only below its own limit.
     """
     tokens = tokenised(corpus)
     asked = query_terms(queries)
-    vocabulary = broadcast_if_small(asked.select("term").distinct())
+    vocabulary = asked.select("term").distinct()
     stats = term_statistics(term_index(tokens)).join(vocabulary, "term", "left_semi")
     weights = materialise(stats.join(asked, "term").select(
         "layer", "term", "query_id", (F.col("qtf") * F.col("idf")).alias("weight"), "avg_len"), "query-weights")
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    hits = postings(tokens, vocabulary).join(broadcast_if_small(weights), ["layer", "term"])
+    hits = postings(tokens, vocabulary).join(weights, ["layer", "term"])
     return (hits.groupBy("layer", "query_id", "doc_id")
             .agg(F.round(F.sum(F.col("weight") * tf), 9).alias("score")))
 
@@ -111,53 +110,55 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     return top_k(bm25_scores(corpus, queries), ["layer", "query_id"], "score", "doc_id", k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, slice_rows: int = 4096) -> DataFrame:
-    """The ``k`` nearest documents by cosine, exact, per layer and query.
+BLOCK_BYTES = 2 << 20
 
-    Queries (``query_id, vector``) go to the tasks in slices of about
-    ``slice_rows``; each slice is one pass over the vectors with a matrix product
-    per Arrow batch. A batch keeps k rows per query and layer, so what is shuffled
-    is batches x queries x k, never all pairs.
+
+def _blocks(rows: DataFrame, id_column: str, keys: list[str]) -> DataFrame:
+    """``keys, ids, matrix``: unit vectors packed to rows of about two megabytes, a scan without a shuffle."""
+    out = ", ".join([*[f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys], "ids array<long>", "matrix binary"])
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, group in batch.groupby(keys, sort=False, dropna=False) if keys else [((), batch)]:
+                v = np.stack(group["vector"].to_numpy()).astype("float64")
+                size = np.linalg.norm(v, axis=1, keepdims=True)
+                v = v / np.where(size == 0, 1.0, size)
+                ids, step = group[id_column].to_numpy(), max(1, BLOCK_BYTES // (8 * v.shape[1]))
+                for i in range(0, len(v), step):
+                    yield pd.DataFrame({**{k: [x] for k, x in zip(keys, key)}, "ids": [ids[i:i + step]],
+                                        "matrix": [v[i:i + step].tobytes()]})
+    return rows.filter(F.col("vector").isNotNull()).select(*keys, id_column, "vector").mapInPandas(pack, out)
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The ``k`` nearest documents by cosine, exact, per layer and query, in one lazy job for any number of queries.
+
+    Both sides are packed into blocks of bounded bytes; every block of documents meets every block of queries (that is what
+    exact search is), and a pair of blocks is one matrix product that keeps k rows per query. So what is shuffled is
+    document blocks x queries x k, never all pairs, and no query vector passes through the driver.
     """
-    def one_pass(rows: pd.DataFrame) -> DataFrame:
-        return _dense_pass(vectors, rows["query_id"].to_numpy(), np.stack(rows["vector"].to_numpy()).astype("float64"), k)
-    schema = "layer string, query_id long, doc_id long, score double"
-    spark = vectors.sparkSession
-
-    def best(scored: DataFrame) -> DataFrame:
-        return top_k(scored, ["layer", "query_id"], "score", "doc_id", k, positive=False)
-    wanted = queries.select("query_id", "vector")
-    rows = collect_bounded(wanted, slice_rows)
-    if rows is not None:
-        return best(one_pass(rows) if len(rows) else spark.createDataFrame([], schema))
-    # a larger batch: one slice at a time is in the driver, its answer is written before the next one
-    wanted = materialise(wanted, "query-vectors")
-    slices = ceil(wanted.count() / slice_rows)
-    base = scratch_path(spark, "nearest")
-    for s in range(slices):
-        part = wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s).toPandas()
-        if len(part):
-            best(one_pass(part)).write.parquet(f"{base}/slice={s}")
-    return spark.read.schema(schema + ", rank int").parquet(base).select("layer", "query_id", "doc_id", "score", "rank")
-
-
-def _dense_pass(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) -> DataFrame:
-    lengths_ = np.linalg.norm(matrix, axis=1, keepdims=True)
-    unit = matrix / np.where(lengths_ == 0, 1.0, lengths_)
+    docs = _blocks(vectors, "doc_id", ["layer"])
+    asked = _blocks(queries, "query_id", []).select(F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for layer, rows in batch.groupby("layer", sort=False):
-                v = np.stack(rows["vector"].to_numpy()).astype("float64")
-                size = np.linalg.norm(v, axis=1, keepdims=True)
-                sims = np.round((v / np.where(size == 0, 1.0, size)) @ unit.T, 9)
-                docs = rows["doc_id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(docs[:, None], sims.shape), -sims), axis=0)[:k]
-                yield pd.DataFrame({
-                    "layer": layer, "query_id": np.broadcast_to(ids, order.shape).ravel(),
-                    "doc_id": docs[order].ravel(), "score": np.take_along_axis(sims, order, axis=0).ravel()})
-    return vectors.select("layer", "doc_id", "vector").mapInPandas(
-        nearest, "layer string, query_id long, doc_id long, score double")
+            for layer, ids, matrix, query_ids, query_matrix in batch.itertuples(index=False):
+                d = np.frombuffer(matrix).reshape(len(ids), -1)
+                q = np.frombuffer(query_matrix).reshape(len(query_ids), -1)
+                sims = np.round(d @ q.T, 9)
+                # the k-th best of each query, then everything that reaches it, ties by document
+                least = -np.partition(-sims, k - 1, axis=0)[k - 1] if len(ids) > k else np.full(len(query_ids), -np.inf)
+                row, column = np.nonzero(sims >= least)
+                score, doc = sims[row, column], np.asarray(ids)[row]
+                order = np.lexsort((doc, -score, column))
+                column, score, doc = column[order], score[order], doc[order]
+                first = np.searchsorted(column, np.arange(len(query_ids)))
+                keep = np.arange(len(column)) - first[column] < k
+                yield pd.DataFrame({"layer": layer, "query_id": np.asarray(query_ids)[column[keep]], "doc_id": doc[keep], "score": score[keep]})
+    pairs = docs.crossJoin(asked).select("layer", "ids", "matrix", "query_ids", "query_matrix")
+    layer = vectors.schema["layer"].dataType.simpleString()
+    found = pairs.mapInPandas(nearest, f"layer {layer}, query_id long, doc_id long, score double")
+    return top_k(found, ["layer", "query_id"], "score", "doc_id", k, positive=False)
 
 
 def fuse(lists: list[DataFrame], keys: list[str], k: int = TOP_K, constant: int = RRF_K) -> DataFrame:

@@ -8,7 +8,6 @@ from assayer.operators import retrieval as R
 from assayer.plans.metrics import rounded
 from assayer.plans.registry import query
 from assayer.plans.text import TOKENS_SQL
-from assayer.session import broadcast_if_small, collect_bounded
 
 BM25_SQL = f"""tok AS (SELECT @ AS layer, doc_id, {TOKENS_SQL} AS t FROM corpus),
 ds AS (SELECT layer, count(*) AS n_docs, avg(len(t)) AS avg_len FROM tok GROUP BY layer),
@@ -57,8 +56,8 @@ def agg_bm25_stats(spark, d):
 SELECT query_id, doc_id, term, tf FROM q JOIN post USING (term)""")
 def jn_postings(spark, d):
     asked = R.query_terms(B.questions(spark, d))
-    p = R.postings(R.tokenised(one_layer(B.corpus(spark, d))), broadcast_if_small(asked.select("term").distinct()))
-    return p.join(broadcast_if_small(asked), "term").select("query_id", "doc_id", "term", "tf")
+    p = R.postings(R.tokenised(one_layer(B.corpus(spark, d))), asked.select("term").distinct())
+    return p.join(asked, "term").select("query_id", "doc_id", "term", "tf")
 
 
 @query("ret_bm25", B.ctes("corpus") + ", " + BM25_SQL.replace("@", "'all'") + """
@@ -242,7 +241,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(z / 10, 9)
 def udf_scorer(spark, d):
     import numpy as np
     e = B.table(spark, d, "embeddings")
-    c = collect_bounded(V.centroids(e).orderBy("label"), 1000)  # one row per class
+    c = V.centroids(e).orderBy("label").toPandas()  # one row per class of the model
     rows = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     s = scorers.run_scorer(rows, "nearest_centroid", labels=[str(x) for x in c["label"]], matrix=np.stack(c["vector"].to_numpy()))
     return rounded(s, "confidence")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -33,14 +35,26 @@ def build_session(name: str = "assayer", master: str | None = None, **conf: str)
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder of ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary folder
-    is made and recorded in the session, so later calls share it.
+    Without that setting a session on one machine gets a temporary folder, which goes when the program ends; on a
+    cluster, where executors would not see it, it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(base, f"assayer-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex}")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application has written under ``spark.checkpoint.dir``; its results must have been read."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(os.path.join(base, f"assayer-{spark.sparkContext.applicationId}"))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -60,14 +74,6 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
 
 
-def broadcast_if_small(df: DataFrame, limit: int = 200_000) -> DataFrame:
-    """A broadcast hint for a side whose row count has been checked; else the side as it is (a shuffle join).
-
-    The side should be a table or cheap to compute: it is read up to ``limit + 1`` rows for the check.
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path or pattern matches anything, asked of its own file system (nothing is listed)."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -75,12 +81,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(found)
 
 
-def collect_bounded(df: DataFrame, limit: int):
-    """Rows as pandas if there are at most ``limit`` of them, else ``None``; never more than ``limit + 1`` are fetched."""
-    rows = df.limit(limit + 1).toPandas()
-    return rows if len(rows) <= limit else None
-
-
 def values_frame(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
     """A fixed dimension as a local relation (its size is known to the planner)."""
     return spark.sql(values_sql(rows, columns))

@@ -48,7 +48,7 @@ def test_bm25_against_brute_force(spark):
     assert got == {q: brute_bm25(docs, t) for q, t in asked.items() if brute_bm25(docs, t)}
 
 
-def test_dense_in_slices(spark):
+def test_dense_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(40, 6))
     base[7] = base[3]  # an exact copy: the lower id comes first
@@ -56,7 +56,8 @@ def test_dense_in_slices(spark):
     asked = rng.normal(size=(9, 6))
     queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(asked)], "query_id long, vector array<double>")
     whole = [tuple(r) for r in R.dense(vectors, queries, 4).orderBy("layer", "query_id", "rank").collect()]
-    sliced = [tuple(r) for r in R.dense(vectors, queries, 4, slice_rows=2).orderBy("layer", "query_id", "rank").collect()]
+    monkeypatch.setattr(R, "BLOCK_BYTES", 100)  # blocks of two vectors
+    sliced = [tuple(r) for r in R.dense(vectors, queries, 4).orderBy("layer", "query_id", "rank").collect()]
     assert whole == sliced and len(whole) == 2 * 9 * 4
     f32 = base.astype("float32").astype("float64")
     sims = np.round((f32 / np.linalg.norm(f32, axis=1, keepdims=True)) @ (asked / np.linalg.norm(asked, axis=1, keepdims=True)).T, 9)
