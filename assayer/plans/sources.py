@@ -24,7 +24,8 @@ NORMAL = "view"
 def text_files(df, column, name, by=None, separator="\n"):
     """Write one text column to scratch storage and give the path."""
     path = scratch_path(df.sparkSession, name)
-    out = df.select(*([by] if by else []), F.col(column).alias("value")).write.option("lineSep", separator)
+    value = R.escaped(F.col(column)) if separator == R.SEPARATOR else F.col(column)
+    out = df.select(*([by] if by else []), value.alias("value")).write.option("lineSep", separator)
     (out.partitionBy(by) if by else out).text(path)
     return path
 
@@ -75,12 +76,13 @@ WITH s AS (SELECT page_id, html, string_split(regexp_replace(html, '(<h1>|<p>|<f
 p AS (SELECT page_id, unnest(range(1, len(l))) AS section_no, unnest(l[2:]) AS piece FROM s),
 k AS (SELECT page_id, CAST(section_no AS INTEGER) AS section_no, CASE WHEN starts_with(piece, '<h1>') THEN 'title' WHEN starts_with(piece, '<p>') THEN 'text' ELSE 'footer' END AS type,
   trim(piece, ' ') AS content FROM p WHERE length(trim(piece, ' ')) >= 50)
-SELECT CAST(page_id AS STRING) AS case_id, 'Assault' AS crime_category, section_no, type, content FROM k""")
+SELECT CAST(page_id AS STRING) AS case_id, 'Assault' AS crime_category, section_no, type, content FROM (
+  SELECT * FROM k UNION ALL SELECT page_id, 0, 'full', substr(html, 1, 1000) FROM pages WHERE page_id NOT IN (SELECT page_id FROM k)) x""")
 def src_judgments_json(spark, d):
     p = B.table(spark, d, "pages")
     record = F.struct(F.col("page_id").cast("string").alias("case_id"), F.lit("Assault").alias("crime_category"), F.col("html").alias("content"))
     path = text_files(p.select(F.to_json(F.array(record)).alias("doc")), "doc", "judgments")
-    return R.judgments(spark, path, PAGE_TYPES, lines=True).filter("type <> 'full'")
+    return R.judgments(spark, path, PAGE_TYPES, lines=True)
 
 
 @query("src_judgment_text", """

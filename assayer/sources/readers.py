@@ -26,6 +26,16 @@ CUE_DIRECT = "直接證據"
 # ---- end of fixed values ------------------------------------------------------------
 
 SEPARATOR = "\f"
+MARK = "\x1a"
+
+
+def escaped(text: Column) -> Column:
+    """A text without the separator, for files of many texts: the mark becomes mark 1, the separator mark 2."""
+    return F.replace(F.replace(text, F.lit(MARK), F.lit(MARK + "1")), F.lit(SEPARATOR), F.lit(MARK + "2"))
+
+
+def unescaped(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(MARK + "2"), F.lit(SEPARATOR)), F.lit(MARK + "1"), F.lit(MARK))
 
 
 def annotation_pieces(intervals: DataFrame, size: int = 4096) -> DataFrame:
@@ -48,7 +58,8 @@ def documents(spark: SparkSession, path: str, separator: str | None = None) -> D
         return spark.createDataFrame([], "value string, path string")
     reader = spark.read.option("recursiveFileLookup", "true")
     df = reader.text(path, wholetext=True) if separator is None else reader.text(path, lineSep=separator)
-    return df.select(F.make_valid_utf8("value").alias("value"), F.col("_metadata.file_path").alias("path"))
+    text = F.make_valid_utf8("value")
+    return df.select((unescaped(text) if separator == SEPARATOR else text).alias("value"), F.col("_metadata.file_path").alias("path"))
 
 
 def _json_documents(spark: SparkSession, path: str, lines: bool) -> DataFrame:

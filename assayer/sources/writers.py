@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.operators.text_format import fixed
-from assayer.sources.readers import SEPARATOR
+from assayer.sources.readers import SEPARATOR, escaped
 
 # ---- fixed values: lines of a case report ------------------------------------------------
 BAR, RULE = "=" * 70, "─" * 70
@@ -87,30 +90,52 @@ def appendix_line(s: Column) -> Column:
 
 def write_reports(df: DataFrame, text: str, path: str, by: str = "run_id", mode: str = "errorifexists") -> None:
     """Report texts in one directory per run, many per file, divided by the separator."""
-    df.select(by, F.col(text).alias("value")).write.mode(mode).partitionBy(by).option("lineSep", SEPARATOR).text(path)
+    df.select(by, escaped(F.col(text)).alias("value")).write.mode(mode).partitionBy(by).option("lineSep", SEPARATOR).text(path)
 
 
 # ---- snapshots -------------------------------------------------------------------------------
 
 def write_snapshot(df: DataFrame, base: str) -> int:
-    """A new version next to the old ones. It counts only when its job has committed."""
-    version = (latest_version(df.sparkSession, base) or 0) + 1
-    df.write.mode("overwrite").parquet(f"{base}/version={version}")
-    return version
+    """A new version next to the old ones.
+
+    The rows go to a folder of this attempt alone; only when its job has committed, a file with the next free number
+    that names the folder is created. Creating fails if another writer took the number, which then tries the next
+    one, so no committed version is ever written over.
+    """
+    spark = df.sparkSession
+    folder = f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{base}/{folder}")
+    jvm = spark.sparkContext._jvm
+    version = (latest_version(spark, base) or 0) + 1
+    while True:
+        mark = jvm.org.apache.hadoop.fs.Path(f"{base}/versions/{version:09d}")
+        fs = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            out = fs.create(mark, False)
+        except Py4JJavaError:
+            if not fs.exists(mark):
+                raise
+            version += 1
+            continue
+        out.write(folder.encode())
+        out.close()
+        return version
 
 
 def latest_version(spark: SparkSession, base: str) -> int | None:
-    """Highest committed version: the one whose success mark is there."""
+    """Highest published version (the listing holds one short name per version, and only the largest comes back)."""
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(base)
+    root = jvm.org.apache.hadoop.fs.Path(f"{base}/versions")
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    marks = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{base}/version=*/_SUCCESS")) or []
-    versions = [int(m.getPath().getParent().getName().split("=")[1]) for m in marks]
-    return max(versions) if versions else None
+    if not fs.exists(root):
+        return None
+    marks = fs.listStatus(root)
+    return max((int(m.getPath().getName()) for m in marks), default=None)
 
 
 def read_snapshot(spark: SparkSession, base: str) -> DataFrame:
     version = latest_version(spark, base)
     if version is None:
         raise FileNotFoundError(base)
-    return spark.read.parquet(f"{base}/version={version}")
+    folder = spark.read.text(f"{base}/versions/{version:09d}").first()[0]
+    return spark.read.parquet(f"{base}/{folder}")

@@ -93,7 +93,24 @@ def test_snapshot_counts_only_when_committed(spark, tmp_path):
     base = str(tmp_path / "snap")
     assert W.latest_version(spark, base) is None
     W.write_snapshot(spark.range(3), base)
-    (tmp_path / "snap" / "version=2").mkdir()  # a job that never committed
+    spark.range(9).write.parquet(f"{base}/data-lost")  # a job that was never published
     assert W.latest_version(spark, base) == 1 and W.read_snapshot(spark, base).count() == 3
     W.write_snapshot(spark.range(5), base)
     assert W.read_snapshot(spark, base).count() == 5
+
+
+def test_two_writers_never_take_one_version(spark, tmp_path, monkeypatch):
+    base = str(tmp_path / "snap2")
+    W.write_snapshot(spark.range(3), base)
+    monkeypatch.setattr(W, "latest_version", lambda *_: None)  # a writer that did not see the first version
+    assert W.write_snapshot(spark.range(7), base) == 2
+    monkeypatch.undo()
+    assert W.read_snapshot(spark, base).count() == 7
+
+
+def test_form_feeds_survive(spark, tmp_path):
+    texts = ["a\fb", "plain", "\x1a1 \x1a2\f\f", ""]
+    df = spark.createDataFrame([("r", t) for t in texts], "run_id string, text string")
+    W.write_reports(df, "text", str(tmp_path / "ff"))
+    got = R.documents(spark, str(tmp_path / "ff"), R.SEPARATOR)
+    assert sorted(r.value for r in got.collect()) == sorted(texts)
