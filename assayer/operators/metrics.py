@@ -21,10 +21,10 @@ def correct() -> Column:
 def run_metrics(cases: DataFrame) -> DataFrame:
     """Per run: size, accuracy and means; a missing number counts as 0."""
     def mean(c: str, digits: int) -> Column:
-        return F.round(F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))), digits)
+        return F.round(F.round(F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))), 12), digits)
     return cases.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(correct().cast("double")), 4).alias("accuracy"),
+        F.round(F.round(F.avg(correct().cast("double")), 12), 4).alias("accuracy"),
         mean("confidence", 4).alias("mean_confidence"),
         mean("rcons", 4).alias("mean_rcons"),
         mean("rlegal", 4).alias("mean_rlegal"),

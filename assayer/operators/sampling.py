@@ -217,8 +217,7 @@ def key_frames(snippets: DataFrame, total_frames: int, top: int = 3, n: int = 8)
     best = snippets.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= top).join(counts, "video_id")
     starts = best.select("video_id", (F.col("idx") * F.floor(F.lit(total_frames) / F.col("__n"))).alias("frame"), F.lit(0).alias("p"))
     step = max(1, total_frames // 5)
-    # never more than n fill frames can be used
-    fill = [f for f in range(0, total_frames, step)][: n + top]
+    fill = list(range(0, total_frames, step))
     fills = counts.select("video_id", F.explode(F.array(*[F.lit(f).cast("long") for f in fill])).alias("frame"), F.lit(1).alias("p"))
     once = starts.unionByName(fills).groupBy("video_id", "frame").agg(F.min("p").alias("p"))
     rank = Window.partitionBy("video_id").orderBy("p", "frame")

@@ -14,13 +14,15 @@ LABEL_VALUES = "(VALUES " + ", ".join(f"('{x}')" for x in LABELS) + ") AS v(clas
 
 
 def rounded(df, *columns, digits=6):
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    """Rounded columns. A float sum depends on the order of its rows in the last place, so a value is first rounded at
+    twelve places: ties at the wanted digit then fall the same way in every run."""
+    return df.withColumns({c: F.round(F.round(c, 12), digits) for c in columns})
 
 
 @query("agg_run_metrics", B.ctes("cases") + """
-SELECT run_id, count(*) AS n, round(avg(CASE WHEN ground_truth = predicted THEN 1.0 ELSE 0.0 END), 4) AS accuracy,
-       round(avg(confidence), 4) AS mean_confidence, round(avg(rcons), 4) AS mean_rcons,
-       round(avg(rlegal), 4) AS mean_rlegal, round(avg(total_turns), 2) AS mean_turns
+SELECT run_id, count(*) AS n, round(round(avg(CASE WHEN ground_truth = predicted THEN 1.0 ELSE 0.0 END), 12), 4) AS accuracy,
+       round(round(avg(confidence), 12), 4) AS mean_confidence, round(round(avg(rcons), 12), 4) AS mean_rcons,
+       round(round(avg(rlegal), 12), 4) AS mean_rlegal, round(round(avg(total_turns), 12), 2) AS mean_turns
 FROM cases GROUP BY run_id""")
 def agg_run_metrics(spark, d):
     return M.run_metrics(B.cases(spark, d))
@@ -134,7 +136,7 @@ ece AS (SELECT run_id, sum(n * abs(accuracy - mean_conf)) / sum(n) AS ece FROM r
 
 
 @query("agg_reliability", B.ctes("cases") + ", " + RELIABILITY_SQL + """
-SELECT run_id, bin, n, round(mean_conf, 6) AS mean_conf, round(accuracy, 6) AS accuracy FROM rel""")
+SELECT run_id, bin, n, round(round(mean_conf, 12), 6) AS mean_conf, round(round(accuracy, 12), 6) AS accuracy FROM rel""")
 def agg_reliability(spark, d):
     return rounded(M.reliability(B.cases(spark, d)), "mean_conf", "accuracy")
 

@@ -1,6 +1,6 @@
 """Streams over the driver tables, run to their end and compared with the batch result.
 
-The rows arrive in three deliveries by day; the stream is stopped and started
+The rows arrive in three deliveries by time; the stream is stopped and started
 again from its checkpoint after each.
 """
 
@@ -33,9 +33,12 @@ def stream_session(spark):
     return other
 
 
-def third(column):
-    """0, 1, 2 for the first, second and last ten days."""
-    return F.least(F.floor((F.dayofmonth(column) - 1) / 10), F.lit(2))
+def third(df, column="ts"):
+    """0, 1, 2 for the first, second and last third of the days that the rows cover (a NULL time comes last)."""
+    day = F.unix_date(F.col(column).cast("date"))
+    low, high = df.agg(F.min(day), F.max(day)).first()
+    low, high = low or 0, high or 0
+    return F.coalesce(F.floor((day - low) * 3 / (high - low + 1)), F.lit(2)).cast("bigint")
 
 
 @query("st_resume_scoring", B.ctes("cases") + "SELECT case_id, round(confidence, 6) AS confidence, ground_truth = predicted AS correct FROM cases")
@@ -47,7 +50,7 @@ def st_resume_scoring(spark, d):
     def score(rows):
         return rows.select("case_id", "confidence", (F.col("ground_truth") == F.col("predicted")).alias("correct"))
     # later deliveries bring every earlier row again
-    again = c.withColumn("part", F.explode(F.sequence(third("ts"), F.lit(2).cast("bigint"))))
+    again = c.withColumn("part", F.explode(F.sequence(third(c), F.lit(2).cast("bigint"))))
     schema = again.drop("part").schema
     deliveries(again, F.col("part"), source, lambda: jobs.resume_scoring(
         jobs.files(own, source, schema), "case_id", "ts", score, out, state))
@@ -61,7 +64,7 @@ def st_first_crossing(spark, d):
     s = B.snippets(spark, d).join(e, "event_id").select("video_id", "idx", "score", "ts")
     own = stream_session(spark)
     source, out, state = (scratch_path(spark, n) for n in ("crossing-in", "crossing-out", "crossing-state"))
-    deliveries(s, third("ts"), source, lambda: jobs.first_crossing(jobs.files(own, source, s.schema), out, state))
+    deliveries(s, third(s), source, lambda: jobs.first_crossing(jobs.files(own, source, s.schema), out, state))
     told = spark.read.schema("video_id bigint, first_idx bigint").parquet(out)
     return told.groupBy("video_id").agg(F.min("first_idx").alias("first_idx"), F.count(F.lit(1)).alias("emitted"))
 
@@ -74,7 +77,7 @@ def st_running_metrics(spark, d):
     c = B.cases(spark, d).select("run_id", "ground_truth", "predicted", "conflict_type", "ts")
     own = stream_session(spark)
     source, out, state = (scratch_path(spark, n) for n in ("metrics-in", "metrics-out", "metrics-state"))
-    deliveries(c, third("ts"), source, lambda: jobs.running_metrics(jobs.files(own, source, c.schema), out, state))
+    deliveries(c, third(c), source, lambda: jobs.running_metrics(jobs.files(own, source, c.schema), out, state))
     # a window starts at midnight UTC; its middle is on that day in every zone near UTC
     m = jobs.latest(spark, out, ["start", "run_id"])
     day = F.date_format(F.to_utc_timestamp("start", F.current_timezone()), "yyyy-MM-dd")
