@@ -31,10 +31,8 @@ def ablation_table(cases: DataFrame, normal: str = "Normal") -> DataFrame:
         *[F.avg(c).alias(f"mean_{a}") for a, c in (("turns", "total_turns"), ("rcons", "rcons"), ("rlegal", "rlegal"))])
     f1 = M.macro_f1(cases).select("run_id", "macro_f1")
     scored = T.labelled(cases, "score", normal)
-    area = T.auroc(scored, ["run_id"]).filter("n_pos > 0 AND n_neg > 0").select("run_id", "auroc")
-    costs = T.min_ndcf(scored, ["run_id"], [(5.0, 1.0), (10.0, 1.0)]).groupBy("run_id").agg(
-        *[F.max(F.when(F.col("c_miss") == m, F.col("ndcf"))).alias(f"min_ndcf_{int(m)}_1") for m in (5.0, 10.0)])
-    area = area.join(costs, "run_id")
+    area = T.area_and_costs(scored, ["run_id"], [(5.0, 1.0), (10.0, 1.0)]).filter("n_pos > 0 AND n_neg > 0").select(
+        "run_id", "auroc", F.col("best_0.ndcf").alias("min_ndcf_5_1"), F.col("best_1.ndcf").alias("min_ndcf_10_1"))
     ece = M.calibration_error(cases)
     out = means.join(f1, "run_id", "left").join(area, "run_id", "left").join(ece, "run_id", "left")
     return out.select("run_id", "n", *METRICS)

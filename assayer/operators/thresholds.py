@@ -111,13 +111,35 @@ def curve_points(scored: DataFrame, keys: list[str]) -> DataFrame:
     return c.select(*keys, F.col("score").alias("tau"), fpr.alias("fpr"), (1 - fnr).alias("tpr"), fnr.alias("fnr"))
 
 
+def area_and_costs(scored: DataFrame, keys: list[str], ratios: list[tuple[float, float]], p_target: float = 0.5) -> DataFrame:
+    """Area and, per cost ratio, ``best_<i>`` (lowest cost and its threshold) from one cumulative pass.
+
+    The thresholds at both infinities follow from the totals and are compared after the aggregation.
+    """
+    c = cumulated(scored, keys)
+    p_miss = _share(F.col("pos_upto") - F.col("pos"), F.col("n_pos"))
+    p_fa = _share(F.col("n_neg") - F.col("neg_upto") + F.col("neg"), F.col("n_neg"))
+
+    def priced(miss: Column, fa: Column, ratio: tuple[float, float], tau: Column) -> Column:
+        return F.struct(F.round(cost(miss, fa, *ratio, p_target), 12).alias("ndcf"), tau.alias("tau"))
+    s = c.groupBy(*keys).agg(
+        F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2)).alias("wins"),
+        F.first("n_pos").alias("n_pos"), F.first("n_neg").alias("n_neg"),
+        *[F.min(priced(p_miss, p_fa, r, F.col("score"))).alias(f"best_{i}") for i, r in enumerate(ratios)])
+    all_ = F.when(F.col("n_neg") > 0, 1.0).otherwise(0.0)
+    none = F.when(F.col("n_pos") > 0, 1.0).otherwise(0.0)
+    pairs = F.col("n_pos").cast("double") * F.col("n_neg")
+    return s.select(
+        *keys, "n_pos", "n_neg", F.when(pairs == 0, F.lit(0.5)).otherwise(F.col("wins") / pairs).alias("auroc"),
+        *[F.least(F.col(f"best_{i}"), priced(F.lit(0.0), all_, r, F.lit(float("-inf"))),
+                  priced(none, F.lit(0.0), r, F.lit(float("inf")))).alias(f"best_{i}") for i, r in enumerate(ratios)])
+
+
 def detection_summary(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Area, best cost with its threshold and the sweep, where both classes are present."""
-    area = auroc(scored, keys).filter("n_pos > 0 AND n_neg > 0")
-    sweep = min_ndcf(scored, keys, COST_RATIOS)
-    wide = sweep.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("c_miss") == m, F.round("ndcf", 4))).alias(f"min_ndcf_{int(m)}_1") for m, _ in COST_RATIOS],
-        F.max(F.when(F.col("c_miss") == 5.0, F.round("tau", 4))).alias("tau_optimal"))
-    return area.join(wide, keys).select(
-        *keys, F.col("n_pos").alias("n_anomaly"), F.col("n_neg").alias("n_normal"),
-        F.round("auroc", 4).alias("auroc"), *[f"min_ndcf_{int(m)}_1" for m, _ in COST_RATIOS], "tau_optimal")
+    s = area_and_costs(scored, keys, COST_RATIOS).filter("n_pos > 0 AND n_neg > 0")
+    five = next(i for i, (m, _) in enumerate(COST_RATIOS) if m == 5.0)
+    return s.select(
+        *keys, F.col("n_pos").alias("n_anomaly"), F.col("n_neg").alias("n_normal"), F.round("auroc", 4).alias("auroc"),
+        *[F.round(F.col(f"best_{i}.ndcf"), 4).alias(f"min_ndcf_{int(m)}_1") for i, (m, _) in enumerate(COST_RATIOS)],
+        F.round(F.col(f"best_{five}.tau"), 4).alias("tau_optimal"))
