@@ -103,7 +103,7 @@ def harmonic_pack(docs: DataFrame, path: str, capacity: int = 2048, slack: int =
     """Pieces of all documents in sequences of at most ``capacity`` tokens: (doc_id, start, ids, doc_tokens, sequence_id, offset).
 
     A document is its ids by the tokenizers file at ``path`` and then ``end_id``. Pieces are cut so that class k of
-    the reciprocal capacities loses at most ``slack`` tokens a bin; each worker fills its bins alone, k pieces each, and
+    the reciprocal capacities loses at most ``slack`` tokens a bin (or k - 1 where k does not divide the capacity); each worker fills its bins alone, k pieces each, and
     lays the pieces of its unfinished bins end to end, the last ones in sequences of a power of two. No shuffle; the
     state of a worker is below one bin per class. ``capacity`` should be a power of two.
 

@@ -81,12 +81,12 @@ def _incidence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(cols)
 
 
-def fit(examples: list[tuple[str, int]], smooth: float = 1.0, features: int = 1 << 15, rounds: int = 100,
+def fit(examples: list[tuple[str, int]], smooth: float = 1.0, features: int = 1 << 15, least_z: float = 4.0, rounds: int = 100,
         rate: float = 0.5, ridge: float = 1e-4) -> NaiveBayesLinear:
     """Log-count ratios from documents that hold a feature, then logistic regression over the scaled features.
 
-    The ``features`` n-grams whose share of documents differs most between the classes, measured against the noise
-    of such a difference, are used. Without examples of both classes every score is one half.
+    At most ``features`` n-grams are used, those whose share of documents differs most between the classes, by at least
+    ``least_z`` times the noise of such a difference. Without examples of both classes every score is one half.
     """
     size = 1 << BITS
     y = np.array([c for _, c in examples], float)
@@ -101,7 +101,8 @@ def fit(examples: list[tuple[str, int]], smooth: float = 1.0, features: int = 1
     ratio = np.log(held[0] / n[0]) - np.log(held[1] / n[1])
     both = (held[0] + held[1]) / (n[0] + n[1])
     told = np.abs(held[0] / n[0] - held[1] / n[1]) / np.sqrt(both * (1 - np.minimum(both, 0.999)))
-    told[held[0] + held[1] <= 2 * smooth] = 0
+    told *= np.sqrt(1 / (1 / n[0] + 1 / n[1]))
+    told[(held[0] + held[1] <= 2 * smooth) | (told < least_z)] = 0
     chosen = np.zeros(size, bool)
     chosen[np.argsort(-told, kind="stable")[:features]] = True
     chosen &= told > 0
