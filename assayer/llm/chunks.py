@@ -19,22 +19,30 @@ def parts(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """Ids of parts, computed when first asked for, forgotten all at once when ``limit`` parts are held."""
+    """Ids of parts, computed when first asked for, forgotten all at once when ``limit`` parts are held.
 
-    def __init__(self, compute, limit: int = 300_000):
+    A comma or full stop after a letter at the end of a part is a pre-token of its own, so the ids of the part are those
+    of the rest and of the mark.
+    """
+
+    def __init__(self, compute, limit: int = 800_000):
         super().__init__()
         self.compute, self.limit = compute, limit
+        self.marks = dict(zip(",.", compute([",", "."])))
 
     def ids(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         first, *rest = parts(text)
-        new = list({p for p in rest if p not in self})
-        if len(self) + len(new) > self.limit:
+        new = [p for p in set(rest) if p not in self]
+        if len(self) + 2 * len(new) > self.limit:
             self.clear()
             new = list(set(rest))
         if new:
-            self.update(zip(new, self.compute([" " + p for p in new])))
+            marked = [p for p in new if p[-1:] in self.marks and p[-2:-1].isalpha()]
+            plain = [p for p in {*new, *[p[:-1] for p in marked]}.difference(marked) if p not in self]
+            self.update(zip(plain, self.compute([" " + p for p in plain])))
+            self.update([(p, self[p[:-1]] + self.marks[p[-1]]) for p in marked])
         head = self.compute([first])[0] if first else b""
         return head + b"".join(map(self.__getitem__, rest))
