@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm.arrowio import SLICE_BYTES, bound_batches, rows
+from assayer.llm.shared import release
 
 END = "\r\n\r\n"
 ANCHORS = ("response", "revisit", "resource")
@@ -97,9 +98,10 @@ def page_records(pages: DataFrame, page_col: str = "page_id", url_col: str = "ur
 
 
 def write_archives(records: DataFrame, path: str, records_per_file: int = 12288) -> None:
-    """Archives of bounded length under ``path``."""
+    """Archives of bounded length under ``path``; the shuffle files of the writing job are freed."""
     (records.write.option("lineSep", END).option("compression", "gzip")
      .option("maxRecordsPerFile", records_per_file).text(path))
+    release(records)
 
 
 def _unpacked(content: bytes):
