@@ -12,37 +12,26 @@ CITED = "第\\s*([0-9]+(?:\\s*-\\s*[A-Za-z0-9]+)?)\\s*條"
 CITED_CHINESE = "第\\s*([〇零一二三四五六七八九十百千]+)\\s*條"
 SCORED = "第\\s*([0-9]+(?:-[0-9]+)?)\\s*條"
 DIGITS = {"〇": 0, "零": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+UNITS = {"十": 10, "百": 100, "千": 1000}
+NUMERAL = "^(?=.)(?:[一二三四五六七八九]?千)?[〇零]*(?:[一二三四五六七八九]?百)?[〇零]*(?:[一二三四五六七八九]?十)?[〇零]*[一二三四五六七八九]?$"
 WINDOW = 160
 DEFAULT_ELEMENTS = 4
 # ---- end of fixed values ----------------------------------------------------------------
 
 
-def _digit(s: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in DIGITS.items() for x in kv])
-    return F.try_element_at(table, s)
-
-
-def _halves(s: Column, unit: str) -> tuple[Column, Column]:
-    return F.substring_index(s, unit, 1), F.substring(s, F.locate(unit, s) + 1, F.length(s))
+def _value(table: dict[str, int], s: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), s)
 
 
 def chinese_number(s: Column) -> Column:
-    """Value of a Chinese numeral up to thousands; NULL where it is not one."""
-    def ones(x: Column) -> Column:
-        tens, rest = _halves(x, "十")
-        return (F.when(_digit(x).isNotNull(), _digit(x))
-                .when(F.contains(x, F.lit("十")), F.coalesce(_digit(tens), F.lit(1)) * 10 + F.coalesce(_digit(rest), F.lit(0))))
-
-    def hundreds(x: Column) -> Column:
-        head, rest = _halves(x, "百")
-        rest = F.regexp_replace(rest, "^[〇零]+", "")
-        return (F.when(_digit(x).isNotNull(), _digit(x))
-                .when(F.contains(x, F.lit("百")), F.coalesce(_digit(head), F.lit(1)) * 100
-                      + F.when(rest == "", F.lit(0)).otherwise(ones(rest)))
-                .otherwise(ones(x)))
-    head, rest = _halves(s, "千")
-    return F.when(F.contains(s, F.lit("千")), F.coalesce(_digit(head), F.lit(1)) * 1000
-                  + F.when(rest == "", F.lit(0)).otherwise(hundreds(rest))).otherwise(hundreds(s))
+    """Value of a Chinese numeral up to thousands; NULL where it is not one.
+
+    The sum of all pairs of a digit (one, if it is missing) and a unit, and of a last digit without unit.
+    """
+    pairs = F.regexp_extract_all(s, F.lit("[一二三四五六七八九]?[千百十]"), F.lit(0))
+    total = F.aggregate(pairs, F.lit(0), lambda acc, p: acc + F.coalesce(
+        _value(DIGITS, F.substring(p, 1, 1)), F.lit(1)) * _value(UNITS, F.right(p, F.lit(1))))
+    return F.when(s.rlike(NUMERAL), total + F.coalesce(_value(DIGITS, F.regexp_extract(s, "[一二三四五六七八九]$", 0)), F.lit(0)))
 
 
 def cited_articles(text: Column) -> Column:

@@ -34,8 +34,13 @@ def backfill(df: DataFrame, label: str, key: str, priority: str, order: str, n:
             .select(label, key, F.col("__best")[priority].alias(priority), F.col("__best")[order].alias(order)))
 
 
-def stratified(df: DataFrame, stratum: str, key: str, k: int, seed: int = 42) -> DataFrame:
-    """k rows per stratum in the order of a seeded hash: the same rows on every run and engine."""
+def stratified(df: DataFrame, stratum: str, key: str, k: int, seed: int = 42, common: DataFrame | None = None) -> DataFrame:
+    """k rows per stratum in the order of a seeded hash: the same rows on every run and engine.
+
+    With ``common`` only keys that this second source also has are drawn.
+    """
+    if common is not None:
+        df = df.join(common.select(key).distinct(), key, "left_semi")
     w = Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= k).drop("__rn")
 

@@ -32,9 +32,11 @@ def win_backfill(spark, d):
 
 
 @query("win_stratified", B.ctes("cases") + """
-SELECT ground_truth, case_id FROM cases QUALIFY row_number() OVER (PARTITION BY ground_truth ORDER BY md5(concat('42:', CAST(case_id AS STRING))), case_id) <= 20""")
+SELECT ground_truth, case_id FROM cases WHERE case_id IN (SELECT l_orderkey FROM lineitem)
+QUALIFY row_number() OVER (PARTITION BY ground_truth ORDER BY md5(concat('42:', CAST(case_id AS STRING))), case_id) <= 20""")
 def win_stratified(spark, d):
-    return S.stratified(B.cases(spark, d).select("ground_truth", "case_id"), "ground_truth", "case_id", 20)
+    second = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"))
+    return S.stratified(B.cases(spark, d).select("ground_truth", "case_id"), "ground_truth", "case_id", 20, common=second)
 
 
 @query("win_threshold_suggest", B.ctes("cases") + """, s AS (

@@ -23,7 +23,14 @@ def agg_paired_ttest(spark, d):
     return rounded(S.paired_ttest(_paired(spark, d), ["scope"]), "mean_diff").drop("p_value")
 
 
-@query("agg_paired_ttest_exact")
+@query("agg_paired_ttest_exact", B.ctes("paired") + """, s AS (
+SELECT count(*) AS n, count(*) - 1 AS k, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) AS t FROM paired),
+h AS (SELECT *, atan(abs(t) / sqrt(k)) AS th FROM s),
+-- the finite series of Student's t for whole degrees of freedom
+e AS (SELECT h.*, unnest(range(0, CASE WHEN k % 2 = 0 THEN k // 2 ELSE greatest((k - 1) // 2, 1) END)) AS j FROM h),
+z AS (SELECT n, k, t, th, sum(CASE WHEN k % 2 = 0 THEN exp(lgamma(j + 0.5) - lgamma(j + 1) - lgamma(0.5)) * pow(cos(th), 2 * j)
+       WHEN k = 1 THEN 0 ELSE exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * pow(cos(th), 2 * j + 1) END) AS z FROM e GROUP BY ALL)
+SELECT 'all' AS scope, n, round(t, 4) AS t, round(1 - CASE WHEN k % 2 = 0 THEN sin(th) * z ELSE 2 / pi() * (th + sin(th) * z) END, 6) AS p_value FROM z""")
 def agg_paired_ttest_exact(spark, d):
     return S.paired_ttest(_paired(spark, d), ["scope"]).select("scope", "n", "t", "p_value")
 

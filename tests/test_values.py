@@ -71,7 +71,8 @@ def test_rubric_pack(spark):
 
 
 def test_chinese_numerals(spark):
-    words = {"第二百七十七條": "277", "第一百〇五條": "105", "第十條": "10", "第 八 條": "8", "第千二百條": "1200", "第三十一條": "31", "第二七條": None}
+    words = {"第二百七十七條": "277", "第一百〇五條": "105", "第十條": "10", "第 八 條": "8", "第千二百條": "1200", "第三十一條": "31", "第二七條": None,
+             "第一千〇五條": "1005", "第一千〇五十條": "1050", "第二千零一十條": "2010", "第百十條": "110", "第零條": "0", "第十百條": None}
     df = spark.createDataFrame([(w,) for w in words], "w string")
     got = {r.w: r.c for r in df.select("w", C.cited_articles(F.col("w")).alias("c")).collect()}
     assert got == {w: ([v] if v else []) for w, v in words.items()}
