@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm.arrowio import bound_batches, map_slices, rows, slices, texts_of
 from assayer.llm.components import components
+from assayer.llm.exact import matching_rows
 from assayer.llm.shared import release, stored
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -261,6 +262,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A class whose ids are all null keeps one row with a null id.
     """
-    stay = (near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-            .select(F.col("class_id").alias("__near_id")).distinct())
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__near_id")), "left_semi").dropDuplicates([id_col])
+    stay = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).select(F.col("class_id").alias(id_col))
+    return matching_rows(docs, stay, [id_col])

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.shared import release, stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,10 +56,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 8,
                 digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """The rows that stay, with all their columns; of rows that repeat id and text one stays."""
-    name = "__dedup_digest"
-    stay = (exact_groups(docs, id_col, text_col, salts, digest).filter("kept")
-            .select(F.col(id_col).alias("__dedup_id"), F.col("digest").alias("__dedup_keep")).distinct())
-    hashed = docs.withColumn(name, digest(normalised(text_col)))
-    left = hashed.join(stay, F.col(id_col).eqNullSafe(F.col("__dedup_id")) & (F.col(name) == F.col("__dedup_keep")),
-                       "left_semi")
-    return left.dropDuplicates([id_col, name]).drop(name)
+    stay = exact_groups(docs, id_col, text_col, salts, digest).filter("kept").select(id_col, "digest")
+    return matching_rows(docs.withColumn("__digest", digest(normalised(text_col))),
+                         stay.withColumnRenamed("digest", "__digest"), [id_col, "__digest"]).drop("__digest")
+
+
+def matching_rows(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of ``df`` for each key in ``wanted``, null equal to null.
+
+    ``wanted`` is written first, so that the shuffles behind it are gone when the rows themselves are shuffled, once,
+    for the join and for dropping repeated rows alike.
+    """
+    names = [n for i in range(len(keys)) for n in (f"__key{i}", f"__null{i}")]
+
+    def keyed(frame: DataFrame) -> DataFrame:
+        return frame.withColumns({n: c for i, k in enumerate(keys) for n, c in (
+            (f"__key{i}", F.coalesce(F.col(k), F.lit(0).cast(frame.schema[k].dataType))), (f"__null{i}", F.col(k).isNull()))})
+
+    wanted = stored(keyed(wanted).select(*names).distinct(), "wanted")
+    release(wanted)
+    return keyed(df).join(wanted, names, "left_semi").dropDuplicates(names).drop(*names)
