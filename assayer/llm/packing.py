@@ -18,18 +18,44 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.bin
                    ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if it prints, else the next from U+0100 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return {b: chr(b if b in prints else next(rest)) for b in range(256)}
+
+
+#: Letters below this one are letters in every version of Unicode, so a run of them is one pre-token.
+NEW_LETTERS = "\u0250"
+
+
 @lru_cache(maxsize=2)
 def tokens(path: str) -> Memo:
-    """Ids by the tokenizers library, one memo per worker process."""
+    """Ids by the tokenizers library, one memo per worker process.
+
+    A word of plain letters is one pre-token and goes straight to the library's model; all else takes its whole way.
+    """
     import numpy as np
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    model, letters = tokenizer.model, byte_letters()
 
     def compute(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes | None] = [None] * len(texts)
+        other = []
+        for i, text in enumerate(texts):
+            word = text[text[:1] == " ":]
+            if word.isalpha() and max(word) < NEW_LETTERS:
+                found = model.tokenize(text.encode().decode("latin-1").translate(letters))
+                out[i] = np.array([t.id for t in found], "<u4").tobytes()
+            else:
+                other.append(i)
+        for i, e in zip(other, tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     return Memo(compute)
 
