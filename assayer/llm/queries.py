@@ -22,11 +22,13 @@ def op1_warc_captures(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages")
     path = scratch_path(spark, "warc")
     warc.write_archives(warc.page_records(pages), path)
-    captures = warc.assemble(warc.read_archives(spark, path)).filter("part = 0")
-    payload = F.col("payload")
+    records = warc.read_archives(spark, path)
+    # sizes and digests are taken where a record is read, so that no payload is shuffled
+    records = records.withColumn("payload", F.struct(F.octet_length("payload").cast("long").alias("bytes"),
+                                                     warc.payload_digest(F.col("payload")).alias("digest")))
+    captures = warc.assemble(records).filter("part = 0")
     told = captures.select(
-        "capture_id", "record_type", "refers_to", F.octet_length(payload).cast("long").alias("bytes"),
-        warc.payload_digest(payload).alias("digest"),
+        "capture_id", "record_type", "refers_to", "payload.bytes", "payload.digest",
         warc.warc_field(F.col("metadata")[0]["block"], "page-id").cast(pages.schema["page_id"].dataType).alias("page_id"),
         "target_uri", F.size("requests").cast("long").alias("n_requests"))
     # a revisit takes size, digest and page of the response that it names
