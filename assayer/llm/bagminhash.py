@@ -185,22 +185,101 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, text_col: str
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, similarity double")
 
 
-def _pairs(rows: DataFrame, bucket: str, small: int, across: bool) -> DataFrame:
-    """Pairs (a, b) inside buckets of ``bucket, key, n, lead`` (and ``root``, ``lead_root`` for pairs across components).
+def _pairs(rows: DataFrame, bucket: str, small: int, fits: Column | None = None) -> DataFrame:
+    """Pairs (a, b) inside buckets of ``bucket, key, n, lead`` that meet ``fits``.
 
     Up to ``small`` texts meet each other, which is at most half as many pairs per text; in a larger bucket every text meets
-    the bucket's leader.
+    the bucket's leader. With ``fits``, a condition on the columns of two such texts (``size_1``, ``size_2``, ...), rows also
+    have ``root`` and ``lead_root``, and only texts of different components meet.
     """
     few = rows.filter(F.col("n") <= small)
-    left, right = (few.select(bucket, *[F.col(c).alias(f"{c}_{s}") for c in ("key", *(["root"] if across else []))]) for s in "12")
+    left, right = (few.select(bucket, *[F.col(c).alias(f"{c}_{s}") for c in few.columns if c != bucket]) for s in "12")
     met = left.join(right, bucket).filter(F.col("key_1") < F.col("key_2"))
     star = rows.filter((F.col("n") > small) & (F.col("key") != F.col("lead")))
-    if across:
-        met, star = met.filter("root_1 != root_2"), star.filter("root != lead_root")
+    if fits is not None:
+        met, star = met.filter("root_1 != root_2").filter(fits), star.filter("root != lead_root")
     return met.select(F.col("key_1").alias("a"), F.col("key_2").alias("b")).union(star.select(
         F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b"))).distinct()
 
 
+def tokens(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A multiset as a set: one token for the first, second, ... copy of each element."""
+    first = np.repeat(np.cumsum(weights) - weights, weights)
+    return _mix(np.repeat(elements, weights) ^ _mix((np.arange(len(first)) - first).astype(np.uint64)))
+
+
+def rare_tokens(hard: DataFrame, docs: DataFrame, threshold: float, text_col: str = "text") -> DataFrame:
+    """(token, key, root, size, pos): the rarest tokens of each text of ``hard`` (key, root) that others of these share.
+
+    Tokens are ordered by the number of texts that have them. Two texts of a similarity of at least ``threshold`` share a token
+    among the first size - ceil(threshold * size) + 1 of either, so texts that meet in none of these need no look. ``pos`` is
+    the number of tokens of the text before this one.
+    """
+    texts = (docs.select(text_key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+             .join(hard.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+    out = pa.schema([("key", pa.binary()), ("size", pa.int64()), ("token", pa.int64())])
+    words = Words()
+
+    def run(batch):
+        found = [tokens(*shingles(text, words)) for text in texts_of(batch)]
+        sizes = np.array([len(t) for t in found], np.int64)
+        return (batch.column("key").take(pa.array(np.repeat(np.arange(len(found)), sizes))), np.repeat(sizes, sizes),
+                np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))
+
+    every = stored(map_slices(texts, "text", run, "key binary, size long, token long", out), "tokens")
+    often = every.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    lists = every.join(often, "token").groupBy("key").agg(
+        F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "token"))).alias("l"))
+    alone = F.col("size") - F.size("l")  # tokens of no other text come first
+    first = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)) + 1
+    return (lists.withColumn("alone", alone).select("key", "size", "alone", F.posexplode(F.slice(
+        "l", F.lit(1), F.greatest(F.lit(0), first - F.col("alone")).cast("int"))).alias("at", "t"))
+            .join(hard, "key").select("t.token", "key", "root", "size", (F.col("alone") + F.col("at")).alias("pos")))
+
+
+#: Texts of a hot token that meet those of another part in one task.
+PART = 2048
+
+
+def hot_pairs(hot: DataFrame, sigs: DataFrame, threshold: float, least: float) -> DataFrame:
+    """Pairs (a, b) of different components among all texts of each ``token`` (``token, key, root, size, pos, n``).
+
+    The texts of a token are dealt into parts, and every two parts meet in one row, so that all pairs are looked at however many
+    texts there are. A pair whose sizes and places leave no room for ``threshold`` if this is its first common token
+    is passed over without a look at the signatures, which must agree in the share ``least``.
+    """
+    parts = F.ceil(F.col("n") / F.lit(PART))
+    dealt = (hot.join(sigs.select("key", "sig"), "key").withColumn("own", F.pmod(F.xxhash64("key"), parts))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))))
+    both = dealt.groupBy("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
+        F.collect_list(F.struct("key", "root", "size", "pos", "own", "sig")).alias("l"))
+    out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    share = threshold / (1 + threshold)
+
+    def run(batches):
+        for batch in batches:
+            for i, j, found in zip(*(batch.column(c) for c in ("i", "j", "l"))):
+                key, root, size, pos, own, sig = (found.values.field(c) for c in range(6))
+                key = key.to_pylist()
+                root = np.unique(np.array(root.to_pylist(), object), return_inverse=True)[1]
+                size, pos, own = (c.to_numpy() for c in (size, pos, own))
+                sig = np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(len(key), -1)
+                rest, within, pairs = size - pos, i.as_py() == j.as_py(), []
+                for x in range(len(key) - 1):
+                    y = slice(x + 1, None)
+                    fit = (root[y] != root[x]) & (np.minimum(rest[y], rest[x]) >= share * (size[y] + size[x]) - 1e-6)
+                    if not within:
+                        fit &= own[y] != own[x]
+                    near = np.flatnonzero(fit) + x + 1
+                    near = near[(sig[near] == sig[x]).mean(1) >= least] if len(near) else near
+                    pairs += [(min(key[x], key[k]), max(key[x], key[k])) for k in near]
+                if pairs:
+                    yield rows(out, *map(list, zip(*pairs)))
+
+    bound_batches(hot.sparkSession)
+    return both.mapInArrow(run, "a binary, b binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, per_band: int = 4, screen: float = 0.6,
                     small: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, class_id (the smallest id of its class) and class_size.
@@ -211,10 +290,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, pe
     is linked only by its exact overlap.
 
     In a bucket of up to ``small`` texts all meet. In a larger one each text meets a leader, another one in each sixth
-    of the bands, which joins a large group in linear work. Large buckets that still hold several components are
-    refined: their texts are bucketed again by every two bands they share (two texts at 0.8 share two of 24 bands all but six
-    times in 100 000), where texts of different components meet in the same way, now with up to 276 leaders, each of
-    which shares two bands with the texts it meets. So no step makes all pairs of a large group.
+    of the bands, which joins a large group in linear work. The texts of large buckets that still hold several components
+    are joined on their rarest shingles (``rare_tokens``), which finds every pair of different components: up to
+    ``small`` texts that share such a shingle all meet, more meet a leader first, and where components are still
+    several after that all pairs are looked at in parts (``hot_pairs``). So no pair of a shared bucket goes unseen.
 
     Null text counts as empty; texts without words are copies of each other only if they are equal. Null ids sort
     last for class_id. An empty table gives an empty result; other columns are left out.
@@ -231,24 +310,38 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, pe
     def linked(pairs: DataFrame) -> DataFrame:
         return stored(verified(stored(screened(pairs, sigs, screen), "pairs"), docs, threshold, text_col), "verified")
 
-    links = linked(_pairs(crowded, "bucket", small, across=False))
+    links = linked(_pairs(crowded, "bucket", small))
     release(links)
     roots = stored(components(links), "roots")
 
     placed = (crowded.filter(F.col("n") > small).join(roots.withColumnRenamed("id", "key"), "key", "left")
               .select("bucket", "key", F.coalesce("root", "key").alias("root")))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("bucket")
-    lists = (placed.join(mixed, "bucket", "left_semi").groupBy("key", "root")
-             .agg(F.sort_array(F.collect_list("bucket")).alias("l")))  # at most one entry per band
-    finer = stored(lists.select("key", "root", F.explode(F.expr(
-        "flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> xxhash64(x, y))))")).alias("sub")), "finer")
-    leader = finer.groupBy("sub").agg(
-        F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"),
-        F.min(F.struct(F.xxhash64("key", "sub").alias("h"), "key", "root")).alias("lead")).filter("r0 != r1")
-    again = finer.join(leader.select("sub", "n", F.col("lead.key").alias("lead"), F.col("lead.root").alias("lead_root")), "sub")
-    more = linked(_pairs(stored(again, "buckets"), "sub", small, across=True))
-    release(more)
-    all_roots = stored(components(links.select("a", "b").union(more.select("a", "b"))), "roots")
+    hard = stored(placed.join(mixed, "bucket", "left_semi").select("key", "root").distinct(), "hard")
+    release(hard)
+    all_roots = roots
+    if not hard.isEmpty():
+        rare = stored(rare_tokens(hard, docs, threshold, text_col), "rare")
+        release(rare)
+        leader = rare.groupBy("token").agg(
+            F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"),
+            F.min(F.struct(F.xxhash64("key", "token").alias("h"), "key", "root")).alias("lead")).filter("r0 != r1")
+        rare = stored(rare.join(leader.select("token", "n", F.col("lead.key").alias("lead"), F.col("lead.root").alias("lead_root")),
+                                "token"), "rare")
+        fits = (F.least(F.col("size_1") - F.col("pos_1"), F.col("size_2") - F.col("pos_2"))
+                >= (F.col("size_1") + F.col("size_2")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6))
+        more = linked(_pairs(rare, "token", small, fits))
+        release(more)
+        links = links.select("a", "b").union(more.select("a", "b"))
+        all_roots = stored(components(links), "roots")
+        hot = rare.filter(F.col("n") > small).drop("root", "lead", "lead_root").join(
+            all_roots.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        mixed = hot.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("token")
+        hot = stored(hot.join(mixed, "token", "left_semi"), "hot")
+        if not hot.isEmpty():
+            more = linked(hot_pairs(hot, sigs, threshold, screen))
+            release(more)
+            all_roots = stored(components(links.union(more.select("a", "b"))), "roots")
 
     named = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"))
     named = named.join(all_roots.select(F.col("id").alias("key"), "root"), "key", "left").select(

@@ -128,6 +128,52 @@ def test_near_duplicates(spark):
     assert bagminhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def template_rows(rng, n, fixed, own, planted):
+    """Texts of one template and own words each, about 0.6 alike, and pairs that are nearer to each other only."""
+    template = [f"t{i}" for i in range(fixed)]
+    rows = []
+    for g in range(n):
+        words = template + [f"o{g}x{i}" for i in range(own)]
+        rows.append((len(rows), " ".join(words)))
+        if g < planted:
+            words[-int(rng.integers(3, 9))] = f"p{g}"
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+def test_pairs_inside_a_large_group(spark):
+    rows = template_rows(np.random.default_rng(8), 2500, 78, 24, 60)
+    got = bagminhash.near_duplicates(frame(spark, rows)).collect()
+    assert sum(r.class_size == 2 for r in got) == 120
+    text = dict(rows)
+    words = bagminhash.Words()
+    for r in got:
+        if r.class_id != r.doc_id:
+            low, high = bagminhash.weighted_jaccard(*(bagminhash.shingles(text[i], words) for i in (r.doc_id, r.class_id)))
+            assert low >= 0.8 * high
+    few = rows[:160]
+    got = bagminhash.near_duplicates(frame(spark, few)).collect()
+    assert sorted(map(str, map(tuple, [(r.doc_id, r.class_id, r.class_size) for r in got]))) == near_truth(few)
+
+
+def test_hot_tokens_meet_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(bagminhash, "PART", 7)
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(40):
+        rows.append((f"k{i:02}".encode(), f"k{i:02}".encode(), 100, int(rng.integers(0, 20)), bytes(rng.integers(0, 2, 96, dtype=np.uint8))))
+    rows.append((b"z", b"k03", *rows[5][2:]))
+    hot = spark.createDataFrame([(1, *r[:4], len(rows)) for r in rows], "token long, key binary, root binary, size long, pos long, n long")
+    sigs = spark.createDataFrame([(r[0], bytearray(r[4])) for r in rows], "key binary, sig binary")
+    want = set()
+    for x, y in combinations(rows, 2):
+        same = (np.frombuffer(x[4], np.uint8) == np.frombuffer(y[4], np.uint8)).mean()
+        if x[1] != y[1] and min(100 - x[3], 100 - y[3]) >= 200 * 0.8 / 1.8 and same >= 0.5:
+            want.add((x[0], y[0]))
+    got = [(bytes(r.a), bytes(r.b)) for r in bagminhash.hot_pairs(hot, sigs, 0.8, 0.5).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
 def spans_truth(rows):
     first = {}
     for i, t in rows:
