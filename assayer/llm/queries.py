@@ -74,7 +74,7 @@ def packed(docs: DataFrame) -> DataFrame:
 def line_model(docs: DataFrame, labels: DataFrame) -> line_crf.LineCRF:
     """The field learned from a bounded sample of graded documents."""
     grade = F.when(F.col("quality").isin(0, 1), F.col("quality"))
-    return line_crf.weak_crf(labelled_sample(docs, labels, grade, [0, 1], sample=400, most_chars=20_000))
+    return line_crf.weak_crf(labelled_sample(docs, labels, grade, {0: 400, 1: 400}, most_chars=20_000))
 
 
 def op3_line_labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,8 +85,7 @@ def op3_line_labels(spark: SparkSession, folder: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
     toxic = F.when(F.col("toxic").isin(0, 1), F.col("toxic"))
-    sample = (labelled_sample(docs, labels, toxic, [0], sample=4000, most_chars=20_000)
-              + labelled_sample(docs, labels, toxic, [1], sample=1500, most_chars=20_000))
+    sample = labelled_sample(docs, labels, toxic, {0: 4000, 1: 1500}, most_chars=20_000)
     scored = toxicity.toxicity(docs, toxicity.fit(sample))
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
@@ -121,7 +120,7 @@ def op8_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
     grade = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when(
         (F.col("quality") == 1) & (F.col("toxic") == 0), 2)
-    model = ordinal.fit(labelled_sample(docs, labels, grade, [0, 1, 2], sample=800, most_chars=20_000), grades=3)
+    model = ordinal.fit(labelled_sample(docs, labels, grade, {0: 800, 1: 800, 2: 800}, most_chars=20_000), grades=3)
     return ordinal.grade(docs, model, tail=1).select("doc_id", held_out().alias("held_out"), "expected_grade",
                                                      "tail_probability", "selected")
 

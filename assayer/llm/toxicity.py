@@ -71,57 +71,51 @@ class NaiveBayesLinear:
         return (1 / (1 + np.exp(-np.clip(z, -40, 40)))).tolist()
 
 
-def _incidence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) of every n-gram of every distinct word, a text at a time."""
-    docs, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, text in enumerate(texts):
-        _, grams = word_grams(sorted(distinct_words(text)))
-        cols.append(grams)
-        docs.append(np.full(len(grams), i))
-    return np.concatenate(docs), np.concatenate(cols)
-
-
-def fit(examples: list[tuple[str, int]], smooth: float = 1.0, features: int = 1 << 15, least_z: float = 4.0, rounds: int = 100,
-        rate: float = 0.5, ridge: float = 1e-4) -> NaiveBayesLinear:
+def fit(examples: list[tuple[str, int]], smooth: float = 1.0, rounds: int = 100, rate: float = 0.5,
+        ridge: float = 3e-3) -> NaiveBayesLinear:
     """Log-count ratios from documents that hold a feature, then logistic regression over the scaled features.
 
-    At most ``features`` n-grams are used, those whose share of documents differs most between the classes, by at least
-    ``least_z`` times the noise of such a difference. Without examples of both classes every score is one half.
+    A document is its distinct words and a word its n-grams, so that the (document, n-gram) pairs are never listed: scores
+    go from n-grams to words to documents and gradients the other way. All n-grams of the examples take part; the ratios
+    and ``ridge`` shrink those that tell little. Without examples of both classes every score is one half.
     """
     size = 1 << BITS
     y = np.array([c for _, c in examples], float)
     model = NaiveBayesLinear(np.zeros(size, np.float32), 0.0)
     if not len(y) or y.min() == y.max():
         return model
-    rows, cols = _incidence([t for t, _ in examples])
-    pairs, value = np.unique(rows * size + cols, return_counts=True)
-    rows, cols = pairs // size, pairs % size
-    held = [np.bincount(cols[y[rows] == c], minlength=size) + smooth for c in (1, 0)]
-    n = [np.sum(y == 1) + 2 * smooth, np.sum(y == 0) + 2 * smooth]
-    ratio = np.log(held[0] / n[0]) - np.log(held[1] / n[1])
-    both = (held[0] + held[1]) / (n[0] + n[1])
-    told = np.abs(held[0] / n[0] - held[1] / n[1]) / np.sqrt(both * (1 - np.minimum(both, 0.999)))
-    told *= np.sqrt(1 / (1 / n[0] + 1 / n[1]))
-    told[(held[0] + held[1] <= 2 * smooth) | (told < least_z)] = 0
-    chosen = np.zeros(size, bool)
-    chosen[np.argsort(-told, kind="stable")[:features]] = True
-    chosen &= told > 0
-    kept = chosen[cols]
-    rows, cols, value = rows[kept], cols[kept], value[kept]
-    used, at = np.unique(cols, return_inverse=True)
-    value = value * ratio[used][at]
+    bags = [distinct_words(t) for t, _ in examples]
+    place = {w: i for i, w in enumerate(sorted(set().union(*bags)))}
+    doc = np.repeat(np.arange(len(bags), dtype=np.int32), [len(b) for b in bags])
+    word = np.fromiter((place[w] for bag in bags for w in sorted(bag)), np.int32, len(doc))
+    del bags
+    of, grams = (x.astype(np.int32) for x in word_grams(list(place)))
+    order = np.argsort(of, kind="stable")
+    of, grams = of[order], grams[order]
+    begins = np.searchsorted(of, np.arange(len(place) + 1))
+    held = np.full((2, size), smooth)
+    ends = np.searchsorted(doc, np.arange(len(y) + 1))
+    for i, c in enumerate(y.astype(int)):
+        words = word[ends[i]:ends[i + 1]]
+        if len(words):
+            held[c, np.unique(np.concatenate([grams[begins[w]:begins[w + 1]] for w in words]))] += 1
+    n = [np.sum(y == c) + 2 * smooth for c in (0, 1)]
+    used, at = np.unique(grams, return_inverse=True)
+    ratio = (np.log(held[1] / n[1]) - np.log(held[0] / n[0]))[used]
     share = 1 / len(y)
     w, b = np.zeros(len(used)), 0.0
     sq_w, sq_b = np.full(len(used), 1e-8), 1e-8
     for _ in range(rounds):
-        z = b + np.bincount(rows, weights=value * w[at], minlength=len(y))
+        told = np.bincount(of, weights=(w * ratio)[at], minlength=len(place))
+        z = b + np.bincount(doc, weights=told[word], minlength=len(y))
         off = share * (y - 1 / (1 + np.exp(-np.clip(z, -40, 40))))
-        grad = np.bincount(at, weights=value * off[rows], minlength=len(used)) - ridge * w
+        back = np.bincount(word, weights=off[doc], minlength=len(place))
+        grad = np.bincount(at, weights=back[of], minlength=len(used)) * ratio - ridge * w
         sq_w += grad ** 2
         w += rate * grad / np.sqrt(sq_w)
         sq_b += off.sum() ** 2
         b += rate * off.sum() / np.sqrt(sq_b)
-    model.weight[used] = w * ratio[used]
+    model.weight[used] = w * ratio
     model.bias = float(b)
     return model
 

@@ -103,9 +103,14 @@ def test_toxicity_edges(spark):
 def test_sample_has_no_held_out_rows(spark):
     docs = spark.range(200).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
-    got = hashing.labelled_sample(docs, labels, F.col("toxic"), [0, 1], 1000, 100)
+    got = hashing.labelled_sample(docs, labels, F.col("toxic"), {0: 1000, 1: 1000}, 100)
     held = {r.doc_id for r in docs.filter(hashing.held_out()).collect()}
     assert {int(t) for t, _ in got} == set(range(200)) - held and held
+    assert sorted(c for _, c in hashing.labelled_sample(docs, labels, F.col("toxic"), {0: 7, 1: 3}, 100)) == [0] * 7 + [1] * 3
+    odd = labels.union(labels.limit(3)).unionByName(labels.limit(1).withColumn("toxic", F.lit(None).cast("int")))
+    assert {int(t) for t, _ in hashing.labelled_sample(docs, odd, F.col("toxic"), {0: 1000, 1: 1000}, 2)} == {
+        i for i in range(100) if i not in held}
+    assert hashing.labelled_sample(docs.limit(0), labels, F.col("toxic"), {0: 5, 1: 5}, 100) == []
 
 
 def test_grades(spark):
