@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bagminhash, bpe, exact, html_blocks, line_crf, ordinal, packing, suffix, toxicity, warc
+from assayer.llm import alignment, bagminhash, bpe, exact, html_blocks, line_crf, mixing, ordinal, packing, spelling, suffix, toxicity, warc
 from assayer.llm.hashing import held_out, labelled_sample
 from assayer.session import scratch_path
 
 PACK_TOKENS = "byte_bpe_50k.json"
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -136,8 +137,22 @@ def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
                         F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(_table(spark, folder, "documents")))
+
+
+def op12_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return alignment.align_tokens(docs, public_tokenizers.path(PACK_TOKENS), public_tokenizers.path(PIECES))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc_captures, op2_harmonic_packing, op3_line_labels, op4_toxicity, op5_bpe_round_trip, op6_exact_groups, op7_bagminhash,
-    op8_ordinal_quality, op9_main_text, op10_repeated_passages)}
+    op8_ordinal_quality, op9_main_text, op10_repeated_passages, op11_spelling_variants, op12_mixing, op13_token_alignment)}
 ORACLES = {"op1_warc_captures": _OP1_SQL, "op6_exact_groups": _OP6_SQL}
 
