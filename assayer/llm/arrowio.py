@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +43,15 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def give_back() -> None:
+    """Free memory of finished work goes back to the system, where the worker would keep it for its next task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
@@ -53,6 +64,7 @@ def map_slices(df: DataFrame, column: str, fn, schema: str, out: pa.Schema) -> D
     def run(batches):
         for part in slices(batches, column):
             yield rows(out, *fn(part))
+        give_back()
 
     return df.mapInArrow(run, schema)
 

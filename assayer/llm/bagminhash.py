@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.arrowio import bound_batches, map_slices, rows, slices, texts_of
+from assayer.llm.arrowio import bound_batches, give_back, map_slices, rows, slices, texts_of
 from assayer.llm.components import components
 from assayer.llm.exact import matching_rows
 from assayer.llm.shared import release, stored
@@ -27,7 +27,7 @@ class Words(dict):
     """Hashes of words, forgotten when many are held."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
@@ -136,6 +136,29 @@ def signatures(docs: DataFrame, bands: int, per_band: int, text_col: str = "text
     return map_slices(narrow, "text", run, "key binary, bands array<long>, sig binary", out)
 
 
+#: Values of the longer signatures by which texts of crowded groups are told apart.
+SHARP = 256
+
+
+def screen_level(threshold: float, values: int) -> float:
+    """The share of ``values`` in which a pair at the threshold agrees but for one case in a million."""
+    return threshold - 4.8 * (threshold * (1 - threshold) / values) ** 0.5
+
+
+def sharp_signatures(keys: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(key, sig) of ``SHARP`` values for the texts of ``keys``."""
+    texts = (docs.select(text_key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+             .join(keys.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+    out = pa.schema([("key", pa.binary()), ("sig", pa.binary())])
+    words = Words()
+
+    def run(batch):
+        found = [_mix(bag_minhash(*shingles(text, words), SHARP)) for text in texts_of(batch)]
+        return batch.column("key"), [(x & np.uint64(255)).astype(np.uint8).tobytes() for x in found]
+
+    return map_slices(texts, "text", run, "key binary, sig binary", out)
+
+
 def screened(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose signatures agree in at least the share ``least`` of their values."""
     both = (pairs.join(sigs.select(F.col("key").alias("a"), F.col("sig").alias("sa")), "a")
@@ -155,34 +178,42 @@ def screened(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float, text_col: str = "text") -> DataFrame:
-    """Pairs whose exact weighted Jaccard similarity is at least ``threshold``, with it."""
+    """Pairs whose exact weighted Jaccard similarity is at least ``threshold``, with it.
+
+    The shingles of each text of a pair are counted once and written; a pair brings two sorted lists of hashes and counts,
+    and a worker holds a few megabytes of them.
+    """
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     texts = (docs.select(text_key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
              .join(wanted, "key", "left_semi").dropDuplicates(["key"]))
-    texts = stored(texts, "texts")
-    both = (pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b"))
-    out = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
     words = Words()
 
+    def count(batch):
+        found = [shingles(text, words) for text in texts_of(batch)]
+        return batch.column("key"), [e.tobytes() for e, _ in found], [w.astype("<u4").tobytes() for _, w in found]
+
+    held = pa.schema([("key", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary())])
+    bags = stored(map_slices(texts, "text", count, "key binary, hashes binary, counts binary", held), "bags")
+    release(bags)
+    first, second = (bags.select(F.col("key").alias(side), F.col("hashes").alias(f"h{side}"), F.col("counts").alias(f"c{side}")) for side in "ab")
+    both = pairs.join(first, "a").join(second, "b")
+    out = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
+
     def run(batches):
-        memo: dict[bytes, tuple] = {}
-        for batch in slices(slices(batches, "ta"), "tb"):
+        for batch in slices(slices(batches, "ha"), "hb"):
             kept = []
-            for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))):
-                if len(memo) > 2000:
-                    memo.clear()
-                for key, text in ((a, ta), (b, tb)):
-                    if key not in memo:
-                        memo[key] = shingles(text, words)
-                low, high = weighted_jaccard(memo[a], memo[b])
+            for a, b, ha, ca, hb, cb in zip(*(batch.column(c) for c in ("a", "b", "ha", "ca", "hb", "cb"))):
+                bag_a, bag_b = ((np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), "<u4").astype(np.int64))
+                                for h, c in ((ha, ca), (hb, cb)))
+                low, high = weighted_jaccard(bag_a, bag_b)
                 if high and low >= threshold * high - 1e-9:
-                    kept.append((a, b, low / high))
+                    kept.append((a.as_py(), b.as_py(), low / high))
             if kept:
                 yield rows(out, *map(list, zip(*kept)))
+        give_back()
 
     bound_batches(pairs.sparkSession)
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, similarity double")
+    return both.select("a", "b", "ha", "ca", "hb", "cb").mapInArrow(run, "a binary, b binary, similarity double")
 
 
 def _pairs(rows: DataFrame, bucket: str, small: int, fits: Column | None = None) -> DataFrame:
@@ -289,7 +320,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, pe
     whole band (at 0.8 and 24 bands of 4 all but one in ten million) and in the share ``screen`` of their values, and
     is linked only by its exact overlap.
 
-    In a bucket of up to ``small`` texts all meet. In a larger one each text meets a leader, another one in each sixth
+    In a bucket of up to ``small`` texts all meet. In a larger one each text meets a leader, another one in each half
     of the bands, which joins a large group in linear work. The texts of large buckets that still hold several components
     are joined on their rarest shingles (``rare_tokens``), which finds every pair of different components: up to
     ``small`` texts that share such a shingle all meet, more meet a leader first, and where components are still
@@ -298,9 +329,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, pe
     Null text counts as empty; texts without words are copies of each other only if they are equal. Null ids sort
     last for class_id. An empty table gives an empty result; other columns are left out.
     """
+    named, roots = _named(docs, threshold, bands, per_band, screen, small, id_col, text_col)
+    named = _rooted(named, roots)
+    classes = named.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return named.join(classes, "root").select(F.col("id").alias(id_col), "class_id", "class_size")
+
+
+def _rooted(named: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with the key of their class as ``root``: their own where no link leads elsewhere."""
+    return named.join(roots.select(F.col("id").alias("key"), "root"), "key", "left").select("id", "key", F.coalesce("root", "key").alias("root"))
+
+
+def _named(docs: DataFrame, threshold: float = 0.8, bands: int = 24, per_band: int = 4, screen: float = 0.6, small: int = 16,
+           id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(id, key) of every row and (id, root) of the linked keys."""
     sigs = stored(signatures(docs, bands, per_band, text_col).dropDuplicates(["key"]), "signatures")
     members = sigs.select("key", F.posexplode("bands").alias("band", "bucket"))
-    turn = F.floor(F.col("band") / F.lit(max(1, bands // 6)))
+    turn = F.floor(F.col("band") / F.lit(max(1, bands // 2)))
     leader = members.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", turn).alias("h"), "key")).alias("lead")).filter("n > 1")
     crowded = stored(members.select("bucket", "key").join(leader.select("bucket", "n", F.col("lead.key").alias("lead")), "bucket"),
@@ -308,9 +353,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, pe
     release(crowded)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return stored(verified(stored(screened(pairs, sigs, screen), "pairs"), docs, threshold, text_col), "verified")
+        return stored(verified(stored(pairs, "pairs"), docs, threshold, text_col), "verified")
 
-    links = linked(_pairs(crowded, "bucket", small))
+    links = linked(screened(_pairs(crowded, "bucket", small), sigs, screen))
     release(links)
     roots = stored(components(links), "roots")
 
@@ -321,6 +366,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, pe
     release(hard)
     all_roots = roots
     if not hard.isEmpty():
+        sharp, level = stored(sharp_signatures(hard, docs, text_col), "sharp"), screen_level(threshold, SHARP)
         rare = stored(rare_tokens(hard, docs, threshold, text_col), "rare")
         release(rare)
         leader = rare.groupBy("token").agg(
@@ -330,7 +376,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, pe
                                 "token"), "rare")
         fits = (F.least(F.col("size_1") - F.col("pos_1"), F.col("size_2") - F.col("pos_2"))
                 >= (F.col("size_1") + F.col("size_2")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6))
-        more = linked(_pairs(rare, "token", small, fits))
+        more = linked(screened(_pairs(rare, "token", small, fits), sharp, level))
         release(more)
         links = links.select("a", "b").union(more.select("a", "b"))
         all_roots = stored(components(links), "roots")
@@ -339,21 +385,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, pe
         mixed = hot.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("token")
         hot = stored(hot.join(mixed, "token", "left_semi"), "hot")
         if not hot.isEmpty():
-            more = linked(hot_pairs(hot, sigs, threshold, screen))
+            more = linked(hot_pairs(hot, sharp, threshold, level))
             release(more)
             all_roots = stored(components(links.union(more.select("a", "b"))), "roots")
 
-    named = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"))
-    named = named.join(all_roots.select(F.col("id").alias("key"), "root"), "key", "left").select(
-        "id", F.coalesce("root", "key").alias("root"))
-    classes = named.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return named.join(classes, "root").select(F.col("id").alias(id_col), "class_id", "class_size")
+    return docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key")), all_roots
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The row of the smallest id of each class, with all its columns; rows that repeat that id become one.
+    """One row of each class, with all its columns: that of the smallest id (null last; of one id, of the smallest text key).
 
-    A class whose ids are all null keeps one row with a null id.
+    Rows that repeat both id and text become one; other texts of the same id are judged by their own classes, and so are the
+    texts of null ids.
     """
-    stay = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).select(F.col("class_id").alias(id_col))
-    return matching_rows(docs, stay, [id_col])
+    named, roots = _named(docs, id_col=id_col, text_col=text_col, **options)
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best")
+    stay = _rooted(named, roots).groupBy("root").agg(best).select("best.id", "best.key")
+    return matching_rows(docs, stay, {"id": F.col(id_col), "key": text_key(text_col)})

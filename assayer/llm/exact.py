@@ -55,24 +55,35 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 8,
                 digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """The rows that stay, with all their columns; of rows that repeat id and text one stays."""
-    stay = exact_groups(docs, id_col, text_col, salts, digest).filter("kept").select(id_col, "digest")
-    return matching_rows(docs.withColumn("__digest", digest(normalised(text_col))),
-                         stay.withColumnRenamed("digest", "__digest"), [id_col, "__digest"]).drop("__digest")
+    """The rows that stay, with all their columns, whatever these are called; of rows that repeat id and text one stays."""
+    stay = exact_groups(docs, id_col, text_col, salts, digest).filter("kept").select(F.col(id_col).alias("id"), "digest")
+    return matching_rows(docs, stay, {"id": F.col(id_col), "digest": digest(normalised(text_col))})
 
 
-def matching_rows(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """One row of ``df`` for each key in ``wanted``, null equal to null.
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def matching_rows(df: DataFrame, wanted: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """One row of ``df`` for each row of ``wanted`` whose columns are equal to ``keys`` over ``df``, null equal to null.
 
     ``wanted`` is written first, so that the shuffles behind it are gone when the rows themselves are shuffled, once,
     for the join and for dropping repeated rows alike.
     """
-    names = [n for i in range(len(keys)) for n in (f"__key{i}", f"__null{i}")]
-
-    def keyed(frame: DataFrame) -> DataFrame:
-        return frame.withColumns({n: c for i, k in enumerate(keys) for n, c in (
-            (f"__key{i}", F.coalesce(F.col(k), F.lit(0).cast(frame.schema[k].dataType))), (f"__null{i}", F.col(k).isNull()))})
-
-    wanted = stored(keyed(wanted).select(*names).distinct(), "wanted")
-    release(wanted)
-    return keyed(df).join(wanted, names, "left_semi").dropDuplicates(names).drop(*names)
+    names = {n: unused(df, f"__{n}") for n in keys}
+    held = df.withColumns({names[n]: c for n, c in keys.items()})
+    on = []
+    for n, name in names.items():
+        default = F.lit("").cast(held.schema[name].dataType) if held.schema[name].dataType.typeName() == "binary" else F.lit(0).cast(held.schema[name].dataType)
+        for frame_name, c in ((unused(held, f"{name}_value"), F.coalesce(F.col(name), default)), (unused(held, f"{name}_none"), F.col(name).isNull())):
+            held = held.withColumn(frame_name, c)
+            on.append((frame_name, n, frame_name.rstrip("_").endswith("none"), default))
+    found = wanted.select(*[(F.col(n).isNull() if none else F.coalesce(F.col(n), default)).alias(name) for name, n, none, default in on])
+    found = stored(found.distinct(), "wanted")
+    release(found)
+    columns = [name for name, *_ in on]
+    return held.join(found, columns, "left_semi").dropDuplicates(columns).drop(*columns, *names.values())

@@ -10,6 +10,8 @@ fourteen; equal windows pick equal suffixes at equal places. What a block of doc
 before the sort, so a passage in every document is one row per block, not one per document.
 """
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -182,7 +184,7 @@ def _schema(text: str) -> pa.Schema:
 GRAMS = "block long, gram long, several boolean"
 NAMES = "block long, name long, low long, several boolean, context long, mixed boolean"
 WINDOWS = "block long, one long, two long, low long, several boolean"
-RESULT = "id long, n_bytes long, starts array<long>, ends array<long>, kept binary"
+RESULT = "id long, key binary, n_bytes long, starts array<long>, ends array<long>, kept binary"
 
 
 def _block_of(table: pa.Table) -> int:
@@ -298,7 +300,7 @@ def _removed(docs: pa.Table, told: pa.Table) -> pa.Table:
         for i, j in zip(cut, [*cut[1:], len(order)]):
             o = owner[order[i]]
             edges.setdefault(row + int(o), []).append((start[order[i:j]] - base[o] + offset, end[order[i:j]] - base[o] + offset))
-    out: list[list] = [[], [], [], []]
+    out: list[list] = [[], [], [], [], []]
     for i, text in enumerate(texts):
         starts, ends = [], []
         if i in edges:
@@ -312,13 +314,14 @@ def _removed(docs: pa.Table, told: pa.Table) -> pa.Table:
             kept = b"".join(text[x:y] for x, y in zip([0, *ends], [*starts, len(text)]))
         else:
             kept = text
-        for c, v in zip(out, (len(text), starts, ends, kept)):
+        for c, v in zip(out, (hashlib.sha256(text).digest()[:16], len(text), starts, ends, kept)):
             c.append(v)
     return _table(schema, ids, *out)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_bytes, starts and ends of the removed runs, and the kept bytes.
+    """One row per document: id, key (128 bits of the SHA-256 of its text), n_bytes, starts and ends of the removed runs,
+    and the kept bytes.
 
     A byte is removed if a string of 50 bytes over it also starts in a document of a smaller id; matches never cross
     documents and are judged on the texts as given. Four passes over the documents, grouped by a hash of the id into blocks of a
@@ -369,7 +372,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     done = some.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_removed, RESULT)
     none = F.array().cast("array<long>")
     free = flat.filter(F.col("id").isNull()).select(
-        "id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("starts"), none.alias("ends"),
+        "id", F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)).alias("key"),
+        F.octet_length("text").cast("long").alias("n_bytes"), none.alias("starts"), none.alias("ends"),
         F.col("text").cast("binary").alias("kept"))
     return done.union(free).withColumnRenamed("id", id_col)
 

@@ -14,6 +14,8 @@ from assayer.llm.arrowio import arrow_type, map_slices, texts_of
 from assayer.llm.hashing import WORD
 
 BITS = 20
+#: Words whose n-grams are worked on at once while learning.
+BLOCK = 20_000
 
 
 def word_grams(words: list[str], low: int = 2, high: int = 6) -> tuple[np.ndarray, np.ndarray]:
@@ -82,35 +84,53 @@ def fit(examples: list[tuple[str, int]], smooth: float = 1.0, rounds: int = 100,
     size = 1 << BITS
     y = np.array([c for _, c in examples], float)
     model = NaiveBayesLinear(np.zeros(size, np.float32), 0.0)
-    if not len(y) or y.min() == y.max():
+    if not len(y) or y.min() == y.max() or not any(map(distinct_words, (t for t, _ in examples))):
         return model
-    bags = [distinct_words(t) for t, _ in examples]
-    place = {w: i for i, w in enumerate(sorted(set().union(*bags)))}
-    doc = np.repeat(np.arange(len(bags), dtype=np.int32), [len(b) for b in bags])
-    word = np.fromiter((place[w] for bag in bags for w in sorted(bag)), np.int32, len(doc))
-    del bags
-    of, grams = (x.astype(np.int32) for x in word_grams(list(place)))
-    order = np.argsort(of, kind="stable")
-    of, grams = of[order], grams[order]
-    begins = np.searchsorted(of, np.arange(len(place) + 1))
+    place: dict[str, int] = {}
+    word, ends = [], [0]
+    for text, _ in examples:
+        ids = [place.setdefault(w, len(place)) for w in sorted(distinct_words(text))]
+        word.append(np.array(ids, np.int32))
+        ends.append(ends[-1] + len(ids))
+    names, word = list(place), np.concatenate(word)
+    del place
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(ends))
+    # the n-grams of each word, a block of words at a time
+    blocks, sizes = [], []
+    for i in range(0, len(names), BLOCK):
+        of, grams = word_grams(names[i:i + BLOCK])
+        order = np.argsort(of, kind="stable")
+        blocks.append(grams[order].astype(np.int32))
+        sizes.append(np.bincount(of, minlength=len(names[i:i + BLOCK])))
+    grams = np.concatenate(blocks or [np.zeros(0, np.int32)])
+    begins = np.r_[0, np.cumsum(np.concatenate(sizes or [np.zeros(0, np.int64)]))]
     held = np.full((2, size), smooth)
-    ends = np.searchsorted(doc, np.arange(len(y) + 1))
     for i, c in enumerate(y.astype(int)):
         words = word[ends[i]:ends[i + 1]]
         if len(words):
             held[c, np.unique(np.concatenate([grams[begins[w]:begins[w + 1]] for w in words]))] += 1
     n = [np.sum(y == c) + 2 * smooth for c in (0, 1)]
-    used, at = np.unique(grams, return_inverse=True)
+    used = np.unique(grams)
+    index = np.zeros(size, np.int32)
+    index[used] = np.arange(len(used))
+    stretch = [(i, min(i + BLOCK, len(names))) for i in range(0, len(names), BLOCK)]
+    blocks = [index[grams[begins[i]:begins[j]]] for i, j in stretch]
+    del grams
+    owners = [np.repeat(np.arange(j - i, dtype=np.int32), np.diff(begins[i:j + 1])) for i, j in stretch]
     ratio = (np.log(held[1] / n[1]) - np.log(held[0] / n[0]))[used]
     share = 1 / len(y)
     w, b = np.zeros(len(used)), 0.0
     sq_w, sq_b = np.full(len(used), 1e-8), 1e-8
     for _ in range(rounds):
-        told = np.bincount(of, weights=(w * ratio)[at], minlength=len(place))
+        scaled = w * ratio
+        told = np.concatenate([np.bincount(of, weights=scaled[at], minlength=j - i) for (i, j), at, of in zip(stretch, blocks, owners)])
         z = b + np.bincount(doc, weights=told[word], minlength=len(y))
         off = share * (y - 1 / (1 + np.exp(-np.clip(z, -40, 40))))
-        back = np.bincount(word, weights=off[doc], minlength=len(place))
-        grad = np.bincount(at, weights=back[of], minlength=len(used)) * ratio - ridge * w
+        back = np.bincount(word, weights=off[doc], minlength=len(names))
+        grad = np.zeros(len(used))
+        for (i, j), at, of in zip(stretch, blocks, owners):
+            grad += np.bincount(at, weights=back[i:j][of], minlength=len(used))
+        grad = grad * ratio - ridge * w
         sq_w += grad ** 2
         w += rate * grad / np.sqrt(sq_w)
         sq_b += off.sum() ** 2
