@@ -168,13 +168,20 @@ def preferences(outcomes: DataFrame, min_gap: float = 0.5, per_class: int = 15)
         F.greatest("score_a", "score_b").alias("score_chosen"), F.least("score_a", "score_b").alias("score_rejected"))
 
 
-def token_cost(calls: DataFrame, prices: DataFrame, budget: float) -> DataFrame:
-    """Tokens and money per backend, with what is left of the budget of each."""
+def call_cost() -> Column:
+    """Money of some tokens, exact in ten places; a missing price list entry counts 3 and 15 a million."""
+    def part(tokens: str, price: str, default: float) -> Column:
+        return F.col(tokens).cast("decimal(18,0)") * F.coalesce(price, F.lit(default)).cast("decimal(8,4)")
+    return ((part("input_tokens", "input_price", 3.0) + part("output_tokens", "output_price", 15.0))
+            * F.lit("0.000001").cast("decimal(6,6)")).cast("decimal(38,10)")
+
+
+def token_cost(calls: DataFrame, prices: DataFrame, budget: float | str) -> DataFrame:
+    """Tokens and money per backend, with what is left of the budget of each; money is decimal."""
     sums = calls.groupBy("backend").agg(
         F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"))
     j = sums.join(F.broadcast(prices), "backend", "left")  # fixed price list
-    spent = (F.col("input_tokens") * F.coalesce("input_price", F.lit(3.0))
-             + F.col("output_tokens") * F.coalesce("output_price", F.lit(15.0))) / 1_000_000
-    return j.select("backend", "calls", "input_tokens", "output_tokens", spent.alias("cost"),
-                    (F.lit(budget) - spent).alias("remaining"), (spent > budget).alias("over"))
+    limit = F.lit(str(budget)).cast("decimal(18,6)")
+    return j.withColumn("cost", call_cost()).select(
+        "backend", "calls", "input_tokens", "output_tokens", "cost", (limit - F.col("cost")).alias("remaining"), (F.col("cost") > limit).alias("over"))

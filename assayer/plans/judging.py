@@ -189,10 +189,16 @@ CALLS_SQL = """calls AS (SELECT item_id, CASE model WHEN 'user' THEN 'openai' WH
 prices AS (""" + B.values_sql(dims.PRICES, ["backend", "input_price", "output_price"]) + ")"
 
 
-@query("agg_token_cost", B.ctes("model_reports") + ", " + CALLS_SQL + """, s AS (
+#: Money is decimal on both sides: a price has four places, a token costs its millionth.
+COST_SQL = """(CAST(sum(input_tokens) AS DECIMAL(18, 0)) * CAST(any_value(input_price) AS DECIMAL(8, 4))
+       + CAST(sum(output_tokens) AS DECIMAL(18, 0)) * CAST(any_value(output_price) AS DECIMAL(8, 4))) * CAST(0.000001 AS DECIMAL(6, 6))"""
+
+
+@query("agg_token_cost", B.ctes("model_reports") + ", " + CALLS_SQL + f""", s AS (
 SELECT c.backend, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
-       (sum(input_tokens) * any_value(input_price) + sum(output_tokens) * any_value(output_price)) / 1000000 AS cost
-FROM calls c JOIN prices p ON p.backend = c.backend GROUP BY c.backend)
-SELECT backend, calls, input_tokens, output_tokens, round(cost, 6) AS cost, round(0.05 - cost, 6) AS remaining, cost > 0.05 AS over FROM s""")
+       {COST_SQL} AS cost FROM calls c JOIN prices p ON p.backend = c.backend GROUP BY c.backend)
+SELECT backend, calls, input_tokens, output_tokens, CAST(round(cost, 6) AS DOUBLE) AS cost,
+       CAST(round(CAST(0.05 AS DECIMAL(4, 2)) - cost, 6) AS DOUBLE) AS remaining, cost > CAST(0.05 AS DECIMAL(4, 2)) AS over FROM s""")
 def agg_token_cost(spark, d):
-    return rounded(J.token_cost(judge_calls(spark, d), dims.prices(spark), 0.05), "cost", "remaining")
+    c = J.token_cost(judge_calls(spark, d), dims.prices(spark), "0.05")
+    return c.withColumns({n: F.round(n, 6).cast("double") for n in ("cost", "remaining")})
