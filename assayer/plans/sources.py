@@ -34,9 +34,11 @@ def text_files(df, column, name, by=None, separator="\n"):
 SELECT CAST(video_id AS STRING) AS video_id, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, description, 3600.0::DOUBLE AS duration FROM intervals""")
 def src_annotations(spark, d):
     pieces = R.annotation_pieces(B.intervals(spark, d))
-    doc = F.to_json(F.create_map(F.col("video_id").cast("string"), F.struct(F.lit(3600.0).alias("duration"), "timestamps", "sentences")))
-    path = text_files(pieces.select(doc.alias("doc")), "doc", "annotations")
-    a = R.annotations(spark, path, lines=True)
+    one = F.struct(F.lit(3600.0).alias("duration"), "timestamps", "sentences")
+    member = F.concat(F.lit('"'), F.col("video_id").cast("string"), F.lit('": '), F.to_json(one))
+    path = scratch_path(spark, "annotations")
+    W.json_object(member, pieces, path)
+    a = R.annotations(spark, path)
     s = a.select("video_id", "duration", F.inline(P.segment_structs(F.col("timestamps"), F.col("sentences"))))
     return rounded(s.select("video_id", "start_s", "end_s", "description", "duration"), "start_s", "end_s")
 

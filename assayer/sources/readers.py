@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from assayer import schemas
 from assayer.functions import text as X
 from assayer.session import path_exists
+from assayer.sources import json_members
 
 # ---- fixed values -----------------------------------------------------------------
 LAW_NAME, OTHER = "中華民國刑法", "Other"
@@ -76,10 +77,28 @@ def parent(path: Column | str = "path") -> Column:
 
 
 def annotations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Objects keyed by video id: ``video_id, duration, timestamps, sentences``."""
-    d = _json_documents(spark, path, lines)
-    parsed = F.from_json("value", f"map<string,{schemas.ANNOTATION}>")
-    return d.select(F.explode(parsed).alias("video_id", "a")).select("video_id", "a.*")
+    """Objects keyed by video id: ``video_id, duration, timestamps, sentences``.
+
+    With ``lines`` every line is an object. The native form, one object a file, is cut into its members by many tasks; a member that
+    cannot be read, as the last one of a file that breaks off, is left out (``annotation_faults`` counts them).
+    """
+    kind = f"map<string,{schemas.ANNOTATION}>"
+    if lines:
+        parsed = F.from_json("value", kind)
+        return _json_documents(spark, path, lines).select(F.explode(parsed).alias("video_id", "a")).select("video_id", "a.*")
+    return _members(spark, path, kind).select(F.explode("m").alias("video_id", "a")).filter("a IS NOT NULL").select("video_id", "a.*")
+
+
+def _members(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    found = json_members.members(spark, path)
+    return found.withColumn("m", F.when(F.col("complete"), F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), kind)))
+
+
+def annotation_faults(spark: SparkSession, path: str) -> DataFrame:
+    """Members per file, and how many of them are no annotation or break off."""
+    m = _members(spark, path, f"map<string,{schemas.ANNOTATION}>")
+    good = F.coalesce(F.exists(F.map_values("m"), lambda a: a.isNotNull()), F.lit(False))
+    return m.groupBy("path").agg(F.count(F.lit(1)).alias("members"), F.count_if(~good).alias("faults"))
 
 
 def statutes(spark: SparkSession, path: str, article_classes: DataFrame, lines: bool = False) -> DataFrame:

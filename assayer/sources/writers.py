@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,20 @@ def json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def json_object(members: Column, df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One object per file of the members (texts ``"key": value``) of a partition, one a line, in the native form."""
+    def framed(batches):
+        first = True
+        for batch in batches:
+            texts = batch.column("value").to_pylist()
+            lines = [("{" if first else ",") + texts[0], *["," + t for t in texts[1:]]] if texts else []
+            first = first and not texts
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["{}" if first else "}"], pa.string())], names=["value"])
+
+    df.select(members.alias("value")).filter("value IS NOT NULL").mapInArrow(framed, "value string").write.mode(mode).text(path)
+
+
 def summary_json(df: DataFrame, key: str, path: str, mode: str = "errorifexists") -> None:
     """One nested document per key: the columns that share a prefix before ``__`` become one struct."""
     df.select(key, *nested(df, [c for c in df.columns if c != key])).write.mode(mode).json(path)
