@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -17,8 +18,8 @@ from assayer.llm.arrowio import arrow_type, bound_batches, map_slices, rows, sli
 from assayer.llm.packing import byte_letters
 from assayer.llm.shared import stored
 
-#: Window alignments that a worker keeps.
-WINDOWS = 100_000
+#: Window alignments that a worker keeps, and the tokens of a window that is worth keeping.
+WINDOWS, WORTH = 200_000, 64
 SLICE = 2 << 20
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -30,7 +31,9 @@ class Vocabulary:
     tokens: list[bytes]
 
     def __post_init__(self):
-        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
+        self.lengths = [len(t) for t in self.tokens]
+        self.sizes = np.array(self.lengths, np.int64)
+        self.names = [str(i) for i in range(len(self.tokens))]
         self.spaced = np.array([t[:1] == b" " for t in self.tokens])
 
 
@@ -84,9 +87,7 @@ class LinkPairs:
         self.base = len(b.tokens)
         self.keys = both[:, 0] * self.base + both[:, 1]
         self.b = both[:, 1]
-
-    def number(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.keys, a * self.base + b).astype("<i4")
+        self.place = dict(zip(self.keys.tolist(), range(len(self.keys))))
 
 
 @lru_cache(maxsize=2)
@@ -94,34 +95,36 @@ def link_pairs(path_a: str, path_b: str) -> LinkPairs:
     return LinkPairs(byte_level(path_a)[1], pieces(path_b)[1])
 
 
-def groups_of(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
-    """Groups of a stretch as text, and the ids of the tokens that end together; the last tokens do."""
-    shared, last_a, last_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-    out, i, j = [], 0, 0
-    for x, y in zip(last_a + 1, last_b + 1):
-        out.append(",".join(map(str, a[i:x].tolist())) + "|" + ",".join(map(str, b[j:y].tolist())))
-        i, j = x, y
-    return ";".join(out), a[last_a], b[last_b]
-
-
 class Aligner:
     """Both tokenizers, and the alignments of the windows that were met before, by their id tuples."""
 
     def __init__(self, path_a: str, path_b: str):
         (self.a, self.va), (self.b, self.vb) = byte_level(path_a), pieces(path_b)
         self.pairs = link_pairs(path_a, path_b)
-        self.memo: dict[tuple[bytes, bytes], tuple[str, int, bytes]] = {}
+        self.memo: dict[tuple[tuple, tuple], tuple[str, int, bytes]] = {}
 
-    def window(self, a: bytes, b: bytes) -> tuple[str, int, bytes]:
+    def window(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, int, bytes]:
         """(groups, their number, numbers of the linked pairs) of two stretches of ids with equal bytes."""
         found = self.memo.get((a, b))
         if found is None:
-            ids_a, ids_b = (np.frombuffer(x, "<i4").astype(np.int64) for x in (a, b))
-            text, at_a, at_b = groups_of(ids_a, ids_b, np.cumsum(self.va.sizes[ids_a]), np.cumsum(self.vb.sizes[ids_b]))
-            found = (text, len(at_a), self.pairs.number(at_a, at_b).tobytes())
-            if len(self.memo) >= WINDOWS:
-                self.memo.clear()
-            if len(a) + len(b) <= 256:
+            size_a, size_b, name_a, name_b = self.va.lengths, self.vb.lengths, self.va.names, self.vb.names
+            place, base = self.pairs.place, self.pairs.base
+            groups, links = [], array("i")
+            i = j = last_i = last_j = end_a = end_b = 0
+            while i < len(a):
+                end_a += size_a[a[i]]
+                i += 1
+                while end_b < end_a:
+                    end_b += size_b[b[j]]
+                    j += 1
+                if end_a == end_b:  # the last tokens of both end here
+                    links.append(place[a[i - 1] * base + b[j - 1]])
+                    groups.append(",".join([name_a[k] for k in a[last_i:i]]) + "|" + ",".join([name_b[k] for k in b[last_j:j]]))
+                    last_i, last_j = i, j
+            found = (";".join(groups), len(groups), links.tobytes())
+            if len(a) + len(b) <= WORTH:
+                if len(self.memo) >= WINDOWS:
+                    self.memo.clear()
                 self.memo[a, b] = found
         return found
 
@@ -135,13 +138,13 @@ class Aligner:
         # places where both tokens before end and both tokens after begin with a space
         open_a, open_b = np.flatnonzero(self.va.spaced[a[1:]]), np.flatnonzero(self.vb.spaced[b[1:]])
         _, x, y = np.intersect1d(ends_a[open_a], ends_b[open_b], assume_unique=True, return_indices=True)
-        cuts_a = [0, *(4 * (open_a[x] + 1)).tolist(), 4 * len(a)]
-        cuts_b = [0, *(4 * (open_b[y] + 1)).tolist(), 4 * len(b)]
-        bytes_a, bytes_b, memo = a.tobytes(), b.tobytes(), self.memo
+        cuts_a = [0, *(open_a[x] + 1).tolist(), len(a)]
+        cuts_b = [0, *(open_b[y] + 1).tolist(), len(b)]
+        ids_a, ids_b, memo = tuple(ids_a), tuple(ids_b), self.memo
         digest, links, groups = hashlib.sha256(), [], 0
         text_parts = []
         for i, j, k, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:]):
-            key = bytes_a[i:j], bytes_b[k:m]
+            key = ids_a[i:j], ids_b[k:m]
             told = memo.get(key) or self.window(*key)
             text_parts.append(told[0])
             groups += told[1]

@@ -247,11 +247,8 @@ def test_windows_give_what_the_whole_gives():
     own = alignment.Aligner(A, B)
     for text in ("The  quick brown fox, jumping over\n the lazy dogs' tails.", "naïve  café — 12,345 tokens ", "x" * 300 + " y" * 300):
         ids_a, ids_b = own.a.encode(" " + text, add_special_tokens=False).ids, own.b.encode(text)
-        a, b = np.array(ids_a), np.array(ids_b)
-        groups, x, y = alignment.groups_of(a, b, np.cumsum(own.va.sizes[a]), np.cumsum(own.vb.sizes[b]))
+        groups, n_groups, pairs = own.window(tuple(ids_a), tuple(ids_b))
         n_a, n_b, n, links, digest = own.align(text, ids_a, ids_b)
-        assert (n_a, n_b, n) == (len(a), len(b), len(x)) and digest == hashlib.sha256(groups.encode()).hexdigest()
-        assert np.array_equal(np.frombuffer(links, "<i4"), own.pairs.number(x, y))
-        keys = own.pairs.keys[own.pairs.number(x, y)]
-        assert np.array_equal(keys, x * own.pairs.base + y)
-    assert len(own.pairs.keys) < own.va.sizes.sum() + own.vb.sizes.sum()
+        assert (n_a, n_b, n, links) == (len(ids_a), len(ids_b), n_groups, pairs)
+        assert digest == hashlib.sha256(groups.encode()).hexdigest() and len(links) == 4 * n
+    assert len(own.memo) > 10 and len(own.pairs.keys) < own.va.sizes.sum() + own.vb.sizes.sum()
