@@ -101,11 +101,12 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         (self.a, self.va), (self.b, self.vb) = byte_level(path_a), pieces(path_b)
         self.pairs = link_pairs(path_a, path_b)
-        self.memo: dict[tuple[tuple, tuple], tuple[str, int, bytes]] = {}
+        #: Window alignments by both id tuples, packed with a mark between them that is no id.
+        self.memo: dict[bytes, tuple[str, int, bytes]] = {}
 
-    def window(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, int, bytes]:
+    def window(self, key: bytes, a: list[int], b: list[int]) -> tuple[str, int, bytes]:
         """(groups, their number, numbers of the linked pairs) of two stretches of ids with equal bytes."""
-        found = self.memo.get((a, b))
+        found = self.memo.get(key)
         if found is None:
             size_a, size_b, name_a, name_b = self.va.lengths, self.vb.lengths, self.va.names, self.vb.names
             place, base = self.pairs.place, self.pairs.base
@@ -125,7 +126,7 @@ class Aligner:
             if len(a) + len(b) <= WORTH:
                 if len(self.memo) >= WINDOWS:
                     self.memo.clear()
-                self.memo[a, b] = found
+                self.memo[key] = found
         return found
 
     def align(self, text: str, ids_a: list[int], ids_b: list[int]) -> tuple[int, int, int, bytes, str] | None:
@@ -140,22 +141,15 @@ class Aligner:
         _, x, y = np.intersect1d(ends_a[open_a], ends_b[open_b], assume_unique=True, return_indices=True)
         cuts_a = [0, *(open_a[x] + 1).tolist(), len(a)]
         cuts_b = [0, *(open_b[y] + 1).tolist(), len(b)]
-        ids_a, ids_b, memo = tuple(ids_a), tuple(ids_b), self.memo
-        digest, links, groups = hashlib.sha256(), [], 0
-        text_parts = []
+        wide = "<u2" if max(len(self.va.tokens), len(self.vb.tokens)) < 0xFFFF else "<u4"
+        mark, size = b"\xff" * np.dtype(wide).itemsize, np.dtype(wide).itemsize
+        bytes_a, bytes_b, memo, window = a.astype(wide).tobytes(), b.astype(wide).tobytes(), self.memo, self.window
+        told = []
         for i, j, k, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:]):
-            key = ids_a[i:j], ids_b[k:m]
-            told = memo.get(key) or self.window(*key)
-            text_parts.append(told[0])
-            groups += told[1]
-            links.append(told[2])
-            if len(text_parts) == 4096:
-                digest.update((";".join(text_parts) + ";").encode())
-                text_parts = []
-        joined = ";".join(text_parts).encode()
-        if joined:
-            digest.update(joined)
-        return len(a), len(b), groups, b"".join(links), digest.hexdigest()
+            key = bytes_a[size * i:size * j] + mark + bytes_b[size * k:size * m]
+            told.append(memo.get(key) or window(key, ids_a[i:j], ids_b[k:m]))
+        groups = ";".join([t[0] for t in told])
+        return (len(a), len(b), sum([t[1] for t in told]), b"".join([t[2] for t in told]), hashlib.sha256(groups.encode()).hexdigest())
 
 
 @lru_cache(maxsize=2)
