@@ -251,4 +251,4 @@ def test_windows_give_what_the_whole_gives():
         n_a, n_b, n, links, digest = own.align(text, ids_a, ids_b)
         assert (n_a, n_b, n, links) == (len(ids_a), len(ids_b), n_groups, pairs)
         assert digest == hashlib.sha256(groups.encode()).hexdigest() and len(links) == 4 * n
-    assert len(own.memo) > 10 and len(own.pairs.keys) < own.va.sizes.sum() + own.vb.sizes.sum()
+    assert len(own.memo) > 5 and len(own.pairs.keys) < own.va.sizes.sum() + own.vb.sizes.sum()
