@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from assayer import bindings as B
 from assayer.functions import scorers, vectors as V
+from assayer.operators import lsh as L
 from assayer.operators import retrieval as R
 from assayer.plans.metrics import rounded
 from assayer.plans.registry import query
@@ -85,6 +86,15 @@ def jn_knn_cross(spark, d):
     return r.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query("jn_knn_lsh")
+def jn_knn_lsh(spark, d):
+    """Every vector whose id is divisible by 20 against all vectors; recall against the exact search is tested."""
+    v = doc_vectors(spark, d)
+    q = v.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    r = L.dense_approx(one_layer(v), q)
+    return r.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 FUSED_SQL = B.ctes("corpus") + ", " + BM25_SQL.replace("@", "'all'") + ", " + DENSE_SQL.replace("@", "'all'").replace("#", "") + ", " + RRF_SQL
 
 
