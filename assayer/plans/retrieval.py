@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 from assayer import bindings as B
 from assayer.functions import scorers, vectors as V
 from assayer.operators import lsh as L
+from assayer.operators import postings
 from assayer.operators import retrieval as R
 from assayer.plans.metrics import rounded
 from assayer.plans.registry import query
 from assayer.plans.text import TOKENS_SQL
+from assayer.session import scratch_path
 
 BM25_SQL = f"""tok AS (SELECT @ AS layer, doc_id, {TOKENS_SQL} AS t FROM corpus),
 ds AS (SELECT layer, count(*) AS n_docs, avg(len(t)) AS avg_len FROM tok GROUP BY layer),
@@ -68,6 +70,15 @@ def ret_bm25(spark, d):
     return r.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query("ret_bm25_stored", B.ctes("corpus") + ", " + BM25_SQL.replace("@", "'all'") + """
+SELECT query_id, doc_id, rank, round(score, 6) AS score FROM bm WHERE score > 0""")
+def ret_bm25_stored(spark, d):
+    path = scratch_path(spark, "bm25")
+    postings.build(one_layer(B.corpus(spark, d)), path)
+    r = postings.Search(spark, path, B.questions(spark, d)).top()
+    return r.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query("ret_dense", "WITH " + DENSE_SQL.replace("@", "'all'").replace("#", "") + """
 SELECT query_id, doc_id, rank, round(score, 6) AS score FROM dn""")
 def ret_dense(spark, d):
