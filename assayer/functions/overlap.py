@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.pandas.types import to_arrow_type
 
 from assayer.functions.text import words
 
@@ -42,21 +45,47 @@ def bleu4(pairs: DataFrame, key: str, candidate: str, reference: str) -> DataFra
         brevity * F.exp(F.col("logs") / 4)).alias("bleu"))
 
 
-@F.pandas_udf(DoubleType())
-def rouge_l(candidate: pd.Series, reference: pd.Series) -> pd.Series:
-    """F-measure of the longest common subsequence of two token arrays, one numpy row per candidate token."""
-    def lcs(a: np.ndarray, b: np.ndarray) -> int:
-        row = np.zeros(len(b) + 1, dtype=np.int32)
-        for x in a:
-            take = np.where(b == x, row[:-1] + 1, 0)
-            row[1:] = np.maximum.accumulate(np.maximum(row[1:], take))
-        return int(row[-1])
-
-    def score(a, b) -> float:
-        if a is None or b is None or len(a) == 0 or len(b) == 0:
-            return 0.0
-        codes = pd.factorize(np.concatenate([np.asarray(a, dtype=object), np.asarray(b, dtype=object)]))[0]
-        n = lcs(codes[:len(a)], codes[len(a):])
-        p, r = n / len(a), n / len(b)
+def common_length(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence, a machine word of places at a time.
+
+    Bit j of ``row`` is 0 where the best length rises at place j of ``b``; a token of ``a`` moves such places by one addition
+    over the whole row.
+    """
+    places: dict[int, int] = {}
+    for j, token in enumerate(b):
+        places[token] = places.get(token, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for token in a:
+        hit = row & places.get(token, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(b) - row.bit_count()
+
+
+def rouge_l(pairs: DataFrame, key: str, candidate: str, reference: str) -> DataFrame:
+    """``key, rouge_l``: F-measure of the longest common subsequence of two columns of token arrays; NULL and empty give 0.
+
+    Tokens are numbered once per Arrow batch, for all its pairs together; a pair needs one bit per token of its shorter side.
+    """
+    kind = to_arrow_type(pairs.schema[key].dataType)
+    out = pa.schema([(key, kind), ("rouge_l", pa.float64())])
+
+    def score(a: list[int], b: list[int]) -> float:
+        n = common_length(*((a, b) if len(b) <= len(a) else (b, a))) if a and b else 0
+        p, r = (n / len(a), n / len(b)) if n else (0.0, 0.0)
         return 2 * p * r / (p + r) if n else 0.0
-    return pd.Series([score(a, b) for a, b in zip(candidate, reference)], dtype="float64")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [batch.column(c) for c in ("c", "r")]
+            codes = pa.concat_arrays([s.flatten() for s in sides]).dictionary_encode().indices.to_pylist()
+            lists, at = [], 0
+            for s in sides:
+                sizes = pc.fill_null(pc.list_value_length(s), 0).to_pylist()
+                ends = list(accumulate(sizes, initial=at))
+                lists.append([codes[i:j] for i, j in zip(ends, ends[1:])])
+                at = ends[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(list(map(score, *lists)), pa.float64())], schema=out)
+
+    narrow = pairs.select(key, F.col(candidate).alias("c"), F.col(reference).alias("r"))
+    return narrow.mapInArrow(run, f"`{key}` {pairs.schema[key].dataType.simpleString()}, rouge_l double")

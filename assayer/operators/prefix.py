@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayer.session import materialise
+
 
 def minute_of(ts: str = "ts") -> Column:
     """Minutes since 1970 for a time stamp without time zone."""
@@ -56,31 +58,44 @@ def _as_columns(order) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def _present(name: str, kind: T.DataType) -> Column:
-    """A column as (is present, value or a default): equal and ordered like the column, NULL first, and never NULL."""
+def _default(kind: T.DataType) -> Column:
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit("1970-01-01").cast(kind)
+    if isinstance(kind, T.BooleanType):
+        return F.lit(False)
+    return F.lit(0).cast(kind)
+
+
+def _lowest(kind: T.DataType) -> Column:
+    """A value before which none comes. The NULL level shares its cell with it; inside a cell the order puts NULL first."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.lit(float("-inf")).cast(kind)
+    if isinstance(kind, T.DecimalType):
+        return F.lit("-" + "9" * (kind.precision - kind.scale) + ".").cast(kind)
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        default = F.lit("1970-01-01").cast(kind)
-    elif isinstance(kind, T.BooleanType):
-        default = F.lit(False)
-    else:
-        default = F.lit(0).cast(kind)
-    return F.struct(F.col(name).isNotNull().alias("present"), F.coalesce(F.col(name), default).alias("value"))
+        return F.lit("0001-01-01").cast(kind)
+    if isinstance(kind, T.BooleanType):
+        return F.lit(False)
+    bits = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}.get(type(kind))
+    return F.lit(-2 ** (bits - 1) if bits else "").cast(kind)
 
 
 def _safe(df: DataFrame, columns: list[str], prefix: str) -> tuple[DataFrame, list[str]]:
-    """Stand-ins for key columns that may be NULL, so that plain joins and windows treat NULL as a value."""
-    names = [f"{prefix}{i}" for i in range(len(columns))]
-    fields = [df.schema[c] for c in columns]
-    return df.select("*", *[(_present(c, f.dataType) if f.nullable else F.col(c)).alias(n)
-                            for c, f, n in zip(columns, fields, names)]), names
+    """Two plain stand-ins for each key column, so that joins and windows treat NULL as a value: the value or a default, and
+    whether it is NULL."""
+    names = [f"{prefix}{i}{part}" for i in range(len(columns)) for part in ("", "n")]
+    kinds = [df.schema[c].dataType for c in columns]
+    stand_ins = [x for c, kind in zip(columns, kinds) for x in (F.coalesce(F.col(c), _default(kind)), F.col(c).isNull())]
+    return df.select("*", *[x.alias(n) for x, n in zip(stand_ins, names)]), names
 
 
 def _cells(df: DataFrame, keys: list[str], levels: list[Column]) -> tuple[DataFrame, list[str], list[str]]:
-    raw = [f"__raw{i}" for i in range(len(levels))]
+    raw, names = ([f"__{kind}{i}" for i in range(len(levels))] for kind in ("raw", "level"))
     cells = df.select("*", *[c.alias(n) for c, n in zip(levels, raw)])
-    cells, key_names = _safe(cells, keys, "__key")
-    cells, level_names = _safe(cells, raw, "__level")
-    return cells.drop(*raw), key_names, level_names
+    kinds = [cells.schema[n].dataType for n in raw]
+    cells = cells.select("*", *[F.coalesce(F.col(r), _lowest(kind)).alias(n) for r, n, kind in zip(raw, names, kinds)]).drop(*raw)
+    cells, groups = _safe(cells, keys, "__key")
+    return cells, groups, names
 
 
 def _window(keys: list[str]):
@@ -165,6 +180,35 @@ def following(df: DataFrame, keys: list[str], level: Column, order: list,
     return _neighbour(df, keys, level, order, columns, forward=True)
 
 
+def range_ranks(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """``df`` with the rank from 1 of each of ``columns`` inside ``keys``: ``rank_0``, ``rank_1``, ... in the order of (value, ``order``),
+    and ``mean_0``, ... where equal values share the mean of their ranks. NULL is a value, the first.
+
+    All columns are sorted at once by one range partitioning of (keys, column, value, order), which cuts hot keys and hot ties
+    alike. A row's place in its partition and a table with one row per partition and key give its rank.
+    """
+    kinds = {c: df.schema[c].dataType for c in columns}
+    value = F.explode(F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("value")) for i, c in enumerate(kinds)]))
+    long = df.withColumn("__row", F.monotonically_increasing_id()).select("__row", *df.columns, value.alias("__v")).select(
+        "__row", *df.columns, F.col("__v.column").alias("__column"), F.col("__v.value").alias("__value"))
+    long, names = _safe(long, [*keys, "__value"], "__key")
+    path = [*names[:2 * len(keys)], "__column"]
+    by = [*path, "__value", order]
+    placed = materialise(long.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()), "ranks")
+    # the upper bits are the partition's, the lower ones the place in it
+    placed = placed.withColumn("__part", F.shiftright("__at", 33)).withColumn("__place", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    cells = placed.groupBy("__part", *path).agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*path).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("__part", *path, "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    ranked = placed.join(cells, ["__part", *path]).withColumn("__rank", F.col("__place") - F.col("__first") + F.col("__before") + 1)
+    ties = [*path, *names[2 * len(keys):]]
+    shared = ranked.groupBy(*ties).agg(F.avg("__rank").alias("__mean"))
+    ranked = ranked.join(shared, ties)
+    wide = [F.max(F.when(F.col("__column") == i, F.col(source))).alias(f"{name}_{i}")
+            for i in range(len(columns)) for name, source in (("rank", "__rank"), ("mean", "__mean"))]
+    return ranked.groupBy("__row").agg(*[F.first(c).alias(c) for c in df.columns], *wide).drop("__row")
+
+
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Distinct values per key with their count (map-side combined)."""
     return (df.filter(F.col(value).isNotNull()).groupBy(*keys, value)

@@ -78,20 +78,17 @@ def pearson(df: DataFrame, keys: list[str], x: str = "a", y: str = "b") -> DataF
     return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), correlation(x, y).alias("r"))
 
 
-def spearman(df: DataFrame, keys: list[str], order: str, x: str = "a", y: str = "b",
-             span: tuple[float, float] = (0.0, 1.0), ties: str = "ordinal") -> DataFrame:
-    """Pearson of ranks. ``ordinal`` keeps the row order inside ties; ``average`` shares them."""
-    out = df
-    for name in (x, y):
-        if ties == "ordinal":
-            out = prefix.row_numbers(out, keys, prefix.tie_levels(name, order, *span), [name, order], f"__r_{name}")
-        else:
-            counts = prefix.running_totals(prefix.value_counts(out, keys, name), keys, prefix.value_levels(name, *span), [name],
-                                           {"upto": F.col("n_value")})
-            shared = counts.select(*keys, name, (F.col("upto") - (F.col("n_value") - 1) / 2).alias(f"__r_{name}"))
-            out = out.join(shared, [*keys, name])
-    return out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                  correlation(f"__r_{x}", f"__r_{y}").alias("rho"))
+def spearman(df: DataFrame, keys: list[str], order: str, x: str = "a", y: str = "b", ties: str | tuple[str, ...] = "ordinal") -> DataFrame:
+    """Pearson of ranks. ``ordinal`` keeps the row order inside ties; ``average`` shares them. Both from one sort: a tuple of
+    names gives a row for each, told apart by a column ``ties``."""
+    ranks = prefix.range_ranks(df.select(*keys, order, x, y), keys, order, [x, y])
+    every = (ties,) if isinstance(ties, str) else ties
+    kind = {"ordinal": "rank", "average": "mean"}
+    rho = ranks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[
+        correlation(f"{kind[t]}_0", f"{kind[t]}_1").alias(f"__{t}") for t in every])
+    if isinstance(ties, str):
+        return rho.withColumnRenamed(f"__{ties}", "rho")
+    return rho.select(*keys, "n", F.inline(F.array(*[F.struct(F.lit(t).alias("ties"), F.col(f"__{t}").alias("rho")) for t in every])))
 
 
 def icc21(ratings: DataFrame, keys: list[str]) -> DataFrame:

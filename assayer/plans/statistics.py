@@ -7,7 +7,6 @@ from assayer.operators import stats as S
 from assayer.plans.metrics import rounded
 from assayer.plans.registry import query
 
-SPAN = (0.0, 1000.0)
 
 
 def _paired(spark, d):
@@ -54,8 +53,7 @@ SELECT 'ordinal' AS ties, 'all' AS scope, count(*) AS n, round(corr(ra, rb), 6)
 UNION ALL SELECT 'average', 'all', count(*), round(corr(sa, sb), 6) FROM r""")
 def agg_spearman(spark, d):
     p = _paired(spark, d)
-    both = [S.spearman(p, ["scope"], "item_id", span=SPAN, ties=t).withColumn("ties", F.lit(t)) for t in ("ordinal", "average")]
-    return rounded(both[0].unionByName(both[1]), "rho")
+    return rounded(S.spearman(p, ["scope"], "item_id", ties=("ordinal", "average")), "rho")
 
 
 @query("agg_icc21", B.ctes("paired") + """, l AS (

@@ -106,7 +106,17 @@ def tx_bleu(spark, d):
     return rounded(L.bleu4(p, "item_id", "body_b", "body_a"), "bleu")
 
 
-@query("tx_rouge_l")
+ROUGE_SQL = f"""WITH p AS (SELECT a.item_id, {TOKENS_SQL.replace('text', 'b.body')} AS c, {TOKENS_SQL.replace('text', 'a.body')} AS r
+FROM model_reports a JOIN model_reports b ON a.item_id = b.item_id AND a.model = 'user' AND b.model = 'assistant'
+WHERE length(a.body) > 0 AND length(b.body) > 0)"""
+
+
+@query("tx_rouge_l", B.ctes("model_reports", p=ROUGE_SQL.removeprefix("WITH p AS (")[:-1]) + """
+SELECT item_id, round(CASE WHEN n = 0 THEN 0.0 ELSE 2.0 * n / (len(c) + len(r)) END, 6) AS rouge_l FROM (
+  SELECT item_id, c, r, CASE WHEN len(c) = 0 OR len(r) = 0 THEN 0 ELSE list_last(list_reduce(
+    list_concat([list_transform(r, lambda x: 0)], list_transform(c, lambda x: list_transform(r, lambda y: CASE WHEN x = y THEN 1 ELSE 0 END))),
+    lambda row, hit: list_transform(range(1, len(hit) + 1), lambda i: list_max(list_concat([0], list_transform(range(1, i + 1), lambda j:
+      greatest(row[j], CASE WHEN hit[j] = 1 THEN 1 + CASE WHEN j > 1 THEN row[j - 1] ELSE 0 END ELSE 0 END))))))) END AS n FROM p) x""")
 def tx_rouge_l(spark, d):
     p = J.report_pairs(B.reports_by_model(spark, d), "user", "assistant")
-    return p.select("item_id", F.round(L.rouge_l(words(F.col("body_b")), words(F.col("body_a"))), 6).alias("rouge_l"))
+    return rounded(L.rouge_l(p.select("item_id", words(F.col("body_b")).alias("c"), words(F.col("body_a")).alias("r")), "item_id", "c", "r"), "rouge_l")

@@ -96,3 +96,22 @@ def test_order_statistics_with_a_null_key(spark):
     df = spark.createDataFrame([(None, 0.5), (None, 0.1), (None, 0.9), ("a", 0.3), ("a", None)], "k string, v double")
     got = prefix.order_statistics(df, ["k"], "v", prefix.value_levels("v"), {"mid": F.floor(F.col("n") / 2)}).collect()
     assert sorted((str(r.k), r.n, r.mid) for r in got) == [("None", 3, 0.5), ("a", 1, 0.3)]
+
+
+def test_range_ranks(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, 0.5, 0.5, 0.5, rng.random()]), rng.randint(0, 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, i long, a double, b int").repartition(7)
+    got = {r.i: (r.k, r.a, r.b, r.rank_0, r.rank_1, r.mean_0, r.mean_1) for r in prefix.range_ranks(df, ["k"], "i", ["a", "b"]).collect()}
+    want = {}
+    for k in ("a", "b", None):
+        own = [r for r in rows if r[0] == k]
+        ranks = []
+        for c in (2, 3):
+            order = sorted(own, key=lambda r: (r[c] is not None, r[c] or 0, r[1]))
+            place = {r[1]: n for n, r in enumerate(order, 1)}
+            mean = {v: sum(x) / len(x) for v in {r[c] for r in own} for x in [[place[r[1]] for r in own if r[c] == v]]}
+            ranks.append((place, mean))
+        want |= {r[1]: (*r[:1], r[2], r[3], ranks[0][0][r[1]], ranks[1][0][r[1]], ranks[0][1][r[2]], ranks[1][1][r[3]]) for r in own}
+    assert got == want
+    assert prefix.range_ranks(df.limit(0), ["k"], "i", ["a", "b"]).count() == 0

@@ -1,11 +1,12 @@
 """Published values and hand-computed results."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
 from assayer.functions import citations as C
-from assayer.functions.overlap import bleu4, rouge_l
+from assayer.functions.overlap import bleu4, common_length, rouge_l
 from assayer.operators import judging as J
 from assayer.operators import metrics as M
 from assayer.operators import stats as S
@@ -98,11 +99,24 @@ def test_legal_score_window(spark):
     assert abs(got[5].tier2 - 0.3) < 1e-12 and got[5].tier1 == 1.0
 
 
+def test_common_length_of_long_lists():
+    rng = random.Random(9)
+    for n in (0, 1, 7, 63, 64, 65, 200):
+        a, b = ([rng.randint(0, 6) for _ in range(rng.randint(0, n))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert common_length(a, b) == common_length(b, a) == table[-1][-1]
+
+
 def test_overlap_scores(spark):
     df = spark.createDataFrame([(1, "a b c d e", "a b c d e"), (2, "x", "a b"), (3, "a c b d", "a b c d")], "id int, c string, r string")
     bleu = {r.id: r.bleu for r in bleu4(df, "id", "c", "r").collect()}
     assert abs(bleu[1] - 1) < 1e-12 and bleu[2] == 0.0
     want = math.exp((math.log(1) + math.log(1 / 4) + math.log(1 / 3) + math.log(1 / 2)) / 4)
     assert abs(bleu[3] - want) < 1e-12
-    rouge = {r.id: r.v for r in df.select("id", rouge_l(F.split("c", " "), F.split("r", " ")).alias("v")).collect()}
+    df = df.union(df.selectExpr("id + 10", "NULL", "r")).select("id", F.split("c", " ").alias("c"), F.split("r", " ").alias("r"))
+    rouge = {r.id: r.rouge_l for r in rouge_l(df, "id", "c", "r").collect()}
+    assert [rouge.pop(i) for i in (11, 12, 13)] == [0.0] * 3
     assert rouge == {1: 1.0, 2: 0.0, 3: 0.75}
