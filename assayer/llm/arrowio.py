@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,14 +14,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of one text column that a Python worker holds at once (one longer text is handled alone).
 SLICE_BYTES = 8 << 20
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Limit Arrow batches by bytes as well as rows, unless the session already says so."""
-    now = spark.conf.get(BATCH_SETTING, None)
-    if now is None or now.startswith(("-", "2147483647")):
+    """Limit Arrow batches by bytes as well as rows; a smaller limit of the session stays, Spark's own is eight times as large."""
+    now = int(re.match(r"\d+", spark.conf.get(BATCH_SETTING))[0])
+    if now > BATCH_BYTES:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 

@@ -1,6 +1,7 @@
 """Lines of a text labelled content or boilerplate by a linear-chain conditional random field."""
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.arrowio import arrow_type, map_slices, texts_of
+from assayer.llm.arrowio import arrow_type, give_back, map_slices, texts_of
 
 SPACES = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -215,7 +216,9 @@ def line_labels(docs: DataFrame, model: LineCRF, id_col: str = "doc_id", text_co
 def kept_text(model: LineCRF, **limits):
     """The verdict as a column function of a text, for filters that need no other column and no shuffle."""
     @F.pandas_udf("boolean")
-    def kept(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: verdict(t or "", model, **limits)["kept"]).astype(bool)
+    def kept(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in texts:
+            yield text.map(lambda t: verdict(t or "", model, **limits)["kept"]).astype(bool)
+        give_back()
 
     return kept

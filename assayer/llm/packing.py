@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.arrowio import bound_batches, rows, slices, texts_of
+from assayer.llm.arrowio import bound_batches, give_back, rows, slices, texts_of
 from assayer.llm.chunks import Memo
 
 SCHEMA = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -33,14 +33,14 @@ NEW_LETTERS = "\u0250"
 def tokens(path: str) -> Memo:
     """Ids by the tokenizers library, one memo per worker process.
 
-    A word of plain letters is one pre-token and goes straight to the library's model; all else takes its whole way.
+    A word of plain letters is one pre-token and goes straight to the library's model; all else takes its whole way, so the
+    string of a special token in a text gives that token, as the library does.
     """
     import numpy as np
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     model, letters = tokenizer.model, byte_letters()
 
     def compute(texts: list[str]) -> list[bytes]:
@@ -57,7 +57,7 @@ def tokens(path: str) -> Memo:
             out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    return Memo(compute)
+    return Memo(compute, limit=400_000)
 
 
 def cuts(length: int, capacity: int, slack: int) -> list[tuple[int, int]]:
@@ -151,6 +151,7 @@ def harmonic_pack(docs: DataFrame, path: str, capacity: int = 2048, slack: int =
         done = packer.finish()
         if done:
             yield rows(ARROW, *map(list, zip(*done)))
+        give_back()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(run, SCHEMA)

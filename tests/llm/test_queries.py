@@ -63,7 +63,6 @@ def test_pipeline(spark):
     assert {p.doc_id for p in pieces} == set(stay)
     left_bytes = kept_bytes([(i, kept[i].encode()) for i in stay])
     tokenizer = Tokenizer.from_file(queries.public_tokenizers.path(queries.PACK_TOKENS))
-    tokenizer.encode_special_tokens = True
     parts = {}
     for p in pieces:
         parts.setdefault(p.doc_id, []).append(p)
