@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.operators.text_format import fixed
+from assayer.session import materialise
 
 # ---- fixed values -----------------------------------------------------------------
 GAP_SECONDS, DEFAULT_FPS = 1.0, 30.0
@@ -264,6 +265,23 @@ def focus_frames(reports: DataFrame, keys: list[str], classes: DataFrame, normal
     return first.groupBy(*keys).agg(F.sort_array(F.collect_list("frame")).alias("frames"))
 
 
+def focus_pairs(reports: DataFrame, keys: list[str], classes: DataFrame, normal: str = "Normal", size: int = 256) -> DataFrame:
+    """The layer 1 and 2 conflicts of each HARD case as nested rows: ``keys, part, pairs``.
+
+    A pair has both agents, their claims and frames, the rule and what it says. All pairs of a case are one array in
+    the order of the rules and agents; a case with more than ``size`` is cut into parts of about that many by a hash
+    of the agents, so the array of a case with millions of pairs is not one row, and none is left out.
+    """
+    c = conflicts(reports, keys, classes, normal).filter(F.col("layer").isin("TEMPORAL", "CAUSAL"))
+    hard = classify(reports, keys, classes, normal).filter("conflict_type = 'HARD'").select(*keys)
+    told = F.concat(F.lit("["), F.upper("rule"), F.lit("] "), "claim_a", F.lit(" ↔ "), "claim_b", F.lit(" severity="), fixed(F.col("severity"), 2))
+    held = materialise(c.join(hard, keys, "left_semi").withColumn("description", told), "conflicts")
+    parts = held.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).alias("__parts"))
+    pair = F.struct("rule_order", "rule", "agent_a", "agent_b", "claim_a", "frames_a", "claim_b", "frames_b", "description")
+    return (held.join(parts, keys).withColumn("part", F.pmod(F.xxhash64("rule", "agent_a", "agent_b"), F.col("__parts")))
+            .groupBy(*keys, "part").agg(F.sort_array(F.collect_list(pair)).alias("pairs")))
+
+
 # ---- vote and belief fusion ---------------------------------------------------------------
 
 def consensus(reports: DataFrame, keys: list[str], normal: str = "Normal") -> DataFrame:

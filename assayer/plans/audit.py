@@ -149,6 +149,35 @@ def aud_focus(spark, d):
     return f.select("case_id", F.array_join(F.transform("frames", lambda x: x.cast("string")), ",").alias("frames"))
 
 
+CLAIM_SQL = "{0}category || '（信心 ' || printf('%.2f', {0}confidence) || '）'"
+FRAMES_SQL = "range({0}first_frame, {0}first_frame + least({0}n_frames, 3))"
+PAIRS_SQL = AUDIT_SQL + f""", cf AS (
+SELECT t.case_id, 0 AS o, rule, t.pos AS pa, 'agent' || CAST(t.pos AS STRING) AS b, {CLAIM_SQL.format('c.')} AS ca, {CLAIM_SQL.format('c.')} AS cb,
+       {FRAMES_SQL.format('c.')} AS fa, [CAST(c.escalation_start_frame AS BIGINT)] AS fb, t.severity FROM temporal t JOIN cat c ON c.case_id = t.case_id AND c.pos = t.pos
+UNION ALL SELECT p.case_id, 1, 'category_mismatch', pos_a, 'agent' || CAST(pos_b AS STRING), {CLAIM_SQL.format('a.')}, {CLAIM_SQL.format('b.')},
+       {FRAMES_SQL.format('a.')}, {FRAMES_SQL.format('b.')}, 0.85
+  FROM pairs p JOIN cat a ON a.case_id = p.case_id AND a.pos = pos_a JOIN cat b ON b.case_id = p.case_id AND b.pos = pos_b
+UNION ALL SELECT m.case_id, 2, 'second_opinion', m.pos, 'second opinion', {CLAIM_SQL.format('c.')}, mil_category || '（信心 ' || printf('%.2f', mil_confidence) || '）',
+       {FRAMES_SQL.format('c.')}, [], 0.85 FROM mil m JOIN cat c ON c.case_id = m.case_id AND c.pos = m.pos
+UNION ALL SELECT u.case_id, 2 + rule_order, rule, u.pos, 'rule', {CLAIM_SQL.format('c.')}, 'rule', {FRAMES_SQL.format('c.')}, [], u.severity
+  FROM causal u JOIN cat c ON c.case_id = u.case_id AND c.pos = u.pos)
+SELECT cf.case_id, count(*) AS n_pairs, string_agg(concat_ws('|', CAST(o AS STRING), rule, 'agent' || CAST(pa AS STRING), b, ca,
+         list_aggregate(fa, 'string_agg', ','), cb, coalesce(list_aggregate(fb, 'string_agg', ','), ''), '[' || upper(rule) || '] ' || ca || ' ↔ ' || cb || ' severity=' || printf('%.2f', severity)),
+       chr(10) ORDER BY o, rule, 'agent' || CAST(pa AS STRING), b) AS pairs
+FROM cf JOIN cls ON cls.case_id = cf.case_id AND conflict_type = 'HARD' GROUP BY cf.case_id"""
+
+
+@query("aud_focus_pairs", PAIRS_SQL.replace("list_aggregate(fa, 'string_agg', ',')", "coalesce(list_aggregate(fa, 'string_agg', ','), '')"))
+def aud_focus_pairs(spark, d):
+    p = A.focus_pairs(*parts(spark, d))
+
+    def frames(x):
+        return F.array_join(F.transform(x, lambda f: f.cast("string")), ",")
+    line = F.transform("pairs", lambda x: F.concat_ws("|", x["rule_order"].cast("string"), x["rule"], x["agent_a"], x["agent_b"], x["claim_a"],
+                                                      frames(x["frames_a"]), x["claim_b"], frames(x["frames_b"]), x["description"]))
+    return p.select("case_id", F.size("pairs").cast("long").alias("n_pairs"), F.array_join(line, "\n").alias("pairs"))
+
+
 @query("aud_null", AUDIT_SQL + """
 SELECT case_id, 'NONE' AS conflict_type, CAST(1 AS DOUBLE) AS rcons, coalesce(arg_min(category, pos) FILTER (WHERE NOT is_env), 'view') AS consensus
 FROM g GROUP BY case_id""")

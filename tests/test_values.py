@@ -120,3 +120,17 @@ def test_overlap_scores(spark):
     rouge = {r.id: r.rouge_l for r in rouge_l(df, "id", "c", "r").collect()}
     assert [rouge.pop(i) for i in (11, 12, 13)] == [0.0] * 3
     assert rouge == {1: 1.0, 2: 0.0, 3: 0.75}
+
+
+def test_focus_pairs_in_parts(spark):
+    from assayer.plans import audit as P
+    folder = "/root/testdata/sf0.001"
+    reports, keys, classes, normal = P.parts(spark, folder)
+    whole = {r.case_id: r.pairs for r in P.A.focus_pairs(reports, keys, classes, normal).collect()}
+    cut = P.A.focus_pairs(reports, keys, classes, normal, size=1).collect()
+    assert len(cut) > len(whole) and max(len(p) for p in whole.values()) > 1
+    joined = {}
+    for r in cut:
+        joined.setdefault(r.case_id, []).extend(r.pairs)
+    assert {k: sorted(map(str, v)) for k, v in joined.items()} == {k: sorted(map(str, v)) for k, v in whole.items()}
+    assert P.A.focus_pairs(reports.limit(0), keys, classes, normal).count() == 0
