@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from assayer.functions import text as X
 from assayer.session import materialise
@@ -113,32 +115,42 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
 BLOCK_BYTES = 2 << 20
 
 
-def _blocks(rows: DataFrame, id_column: str, keys: list[str]) -> DataFrame:
-    """``keys, ids, matrix``: unit vectors packed to rows of about two megabytes, a scan without a shuffle."""
-    out = ", ".join([*[f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys], "ids array<long>", "matrix binary"])
+def _blocks(rows: DataFrame, id_column: str, key: str | None = None) -> DataFrame:
+    """``key, ids, matrix``: unit vectors packed to rows of about two megabytes, a scan without a shuffle."""
+    fields = [(key, rows.schema[key].dataType)] if key else []
+    schema = pa.schema([*[(k, to_arrow_type(t)) for k, t in fields], ("ids", pa.list_(pa.int64())), ("matrix", pa.binary())])
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, group in batch.groupby(keys, sort=False, dropna=False) if keys else [((), batch)]:
-                v = np.stack(group["vector"].to_numpy()).astype("float64")
-                size = np.linalg.norm(v, axis=1, keepdims=True)
-                v = v / np.where(size == 0, 1.0, size)
-                ids, step = group[id_column].to_numpy(), max(1, BLOCK_BYTES // (8 * v.shape[1]))
-                for i in range(0, len(v), step):
-                    yield pd.DataFrame({**{k: [x] for k, x in zip(keys, key)}, "ids": [ids[i:i + step]],
-                                        "matrix": [v[i:i + step].tobytes()]})
-    return rows.filter(F.col("vector").isNotNull()).select(*keys, id_column, "vector").mapInPandas(pack, out)
+            if not batch.num_rows:
+                continue
+            v = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(batch.num_rows, -1)
+            size = np.linalg.norm(v, axis=1, keepdims=True)
+            v = v / np.where(size == 0, 1.0, size)
+            ids, step = batch.column(id_column).to_numpy(), max(1, BLOCK_BYTES // (8 * v.shape[1]))
+            names = batch.column(key).dictionary_encode("encode") if key else None
+            codes = names.indices.to_numpy() if key else np.zeros(batch.num_rows, np.int64)
+            for code in np.unique(codes):
+                own = np.flatnonzero(codes == code)
+                for i in range(0, len(own), step):
+                    at = own[i:i + step]
+                    head = [pa.array([names.dictionary[int(code)].as_py()], schema.field(0).type)] if key else []
+                    yield pa.RecordBatch.from_arrays([*head, pa.array([ids[at]], pa.list_(pa.int64())), pa.array([v[at].tobytes()], pa.binary())],
+                                                     schema=schema)
+    out = ", ".join([*[f"`{k}` {t.simpleString()}" for k, t in fields], "ids array<long>", "matrix binary"])
+    return rows.filter(F.col("vector").isNotNull()).select(*[k for k, _ in fields], id_column, "vector").mapInArrow(pack, out)
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    """The ``k`` nearest documents by cosine, exact, per layer and query, in one lazy job for any number of queries.
+    """The ``k`` nearest documents by cosine, exact, per layer and query, for any number of queries.
 
     Both sides are packed into blocks of bounded bytes; every block of documents meets every block of queries (that is what
     exact search is), and a pair of blocks is one matrix product that keeps k rows per query. So what is shuffled is
     document blocks x queries x k, never all pairs, and no query vector passes through the driver.
     """
-    docs = _blocks(vectors, "doc_id", ["layer"])
-    asked = _blocks(queries, "query_id", []).select(F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
+    docs = _blocks(vectors, "doc_id", "layer")
+    # written once: its size is known to the planner, and no document partition packs the queries anew
+    asked = materialise(_blocks(queries, "query_id").select(F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix")), "query-blocks")
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
