@@ -14,6 +14,8 @@ SECTION_TYPES = [
 ]
 # longer header words first where one holds another, as a scan from the left finds them
 HEADERS = "事\\s*實|犯罪事實|案情概要|理\\s*由|法律理由|論罪科刑|主\\s*文|判決主文"
+CATEGORY = "category:\\s*(\\w+)"
+LEADING, YES, NO = "^\\s*['\"`]*\\s*(yes|no)\\b", "\\byes\\b", "\\bno\\b"
 JUDGMENT_SPANS = {  # field -> start patterns, end patterns, cap
     "facts": (["犯\\s*罪\\s*事\\s*實", "事\\s*實\\s*及\\s*理\\s*由", "一[、，]\\s*事\\s*實"],
               ["理\\s*由", "論\\s*罪\\s*科\\s*刑", "二[、，]"], 1500),
@@ -178,7 +180,7 @@ def keywords(text: Column, terms: list[str]) -> Column:
 def label(response: Column, labels: list[str], normal: str = "Normal") -> Column:
     """Class named after ``CATEGORY:``, else the first listed class in the text, else normal."""
     low = F.lower(response)
-    named = F.regexp_extract(low, "category:\\s*(\\w+)", 1)
+    named = F.regexp_extract(low, CATEGORY, 1)
     options = F.array(*[F.lit(x) for x in labels])
     exact = F.filter(options, lambda x: F.lower(x) == named)
     inside = F.filter(options, lambda x: F.contains(low, F.lower(x)))
@@ -188,9 +190,9 @@ def label(response: Column, labels: list[str], normal: str = "Normal") -> Column
 def yes_no(response: Column) -> Column:
     """A leading yes or no decides, else the more frequent word; a tie is no."""
     low = F.trim(F.lower(F.coalesce(response, F.lit(""))))
-    lead = F.regexp_extract(low, "^\\s*['\"`]*\\s*(yes|no)\\b", 1)
+    lead = F.regexp_extract(low, LEADING, 1)
     return F.when(lead != "", lead == "yes").otherwise(
-        F.regexp_count(low, F.lit("\\byes\\b")) > F.regexp_count(low, F.lit("\\bno\\b")))
+        F.regexp_count(low, F.lit(YES)) > F.regexp_count(low, F.lit(NO)))
 
 
 def two_stage(first: Column, second: Column, labels: list[str], fallback: str, normal: str = "Normal") -> Column:

@@ -17,6 +17,14 @@ MARKDOWN = [("run_id", "variant"), ("n", "n"), ("accuracy", "acc"), ("macro_f1",
 LATEX = [("run_id", "Variant", "l"), ("accuracy", "Acc", "r"), ("macro_f1", "F1", "r"), ("auroc", "AUROC", "r"),
          ("min_ndcf_5_1", "NDCF$_{5:1}$", "r"), ("mean_rlegal", "$R_{legal}^{GT}$", "r"), ("ece", "ECE", "r")]
 MISSING = "—"
+# texts of the expanded query and of the template report
+ANY_ELEMENTS, ANY_ARTICLES = "相關犯罪構成要件", "相關法條"
+QUERY_TEXT = "本案涉及{}類型犯罪。{} 依據{}，構成要件包括：{}。依現行刑事法律，行為人須具備上述要件方構成本罪。"
+FACTS_TEXT = "一、事實認定\n本案經影片行為分析，判定犯罪類別為{}，信心程度{}。"
+RATIONALE_TEXT = "行為分析摘要：{}"
+LAW_HEAD, LAW_TEXT = "\n二、法律適用", "本案可能適用{}。"
+END_HEAD, END_TEXT = "\n三、初步結論", "綜合以上分析，本案涉及{}類型犯罪之可能性為{}%。"
+QUOTED_LAWS, QUOTED_LENGTH = 3, 200
 # ---- end of fixed values ----------------------------------------------------------------
 
 
@@ -78,27 +86,32 @@ def _with_lines(body: DataFrame, extra: list[tuple[int, str]]) -> DataFrame:
     return body.unionByName(one)
 
 
+def filled(template: str, *values: Column) -> Column:
+    """``template`` with a column for each ``{}``."""
+    first, *rest = template.split("{}")
+    return F.concat(F.lit(first), *[x for v, text in zip(values, rest, strict=True) for x in (v, F.lit(text))])
+
+
 def expanded_query(df: DataFrame, text: str, column: str) -> Column:
     """A short passage that names the class, its statutes and elements around the query text.
 
     Needs ``elements`` and ``articles`` from the class lists.
     """
-    elements = F.when(F.size("elements") > 0, F.array_join("elements", "、")).otherwise("相關犯罪構成要件")
-    articles = F.when(F.size("articles") > 0, F.array_join("articles", "、")).otherwise("相關法條")
-    return F.concat(F.lit("本案涉及"), F.col(column), F.lit("類型犯罪。"), F.col(text), F.lit(" 依據"), articles,
-                    F.lit("，構成要件包括："), elements, F.lit("。依現行刑事法律，行為人須具備上述要件方構成本罪。"))
+    def listed(c: str, otherwise: str) -> Column:
+        return F.when(F.size(c) > 0, F.array_join(c, "、")).otherwise(otherwise)
+    return filled(QUERY_TEXT, F.col(column), F.col(text), listed("articles", ANY_ARTICLES), listed("elements", ANY_ELEMENTS))
 
 
-def fallback_report(df: DataFrame, label: str, confidence: str, rationale: str, laws: str) -> Column:
-    """Template report from class, statutes and the first three statute texts (``laws`` array of struct id, text)."""
-    law_lines = F.transform(F.slice(F.col(laws), 1, 3), lambda x: F.concat(x["id"], F.lit("："), F.substring(x["text"], 1, 200)))
-    percent = fixed(F.col(confidence) * 100, 0)
+def fallback_report(df: DataFrame, label: str, confidence: str, rationale: str, laws: str, quoted: int = QUOTED_LAWS,
+                    length: int = QUOTED_LENGTH) -> Column:
+    """Template report from class, statutes and the first statute texts (``laws`` array of struct id, text)."""
+    law_lines = F.transform(F.slice(F.col(laws), 1, quoted), lambda x: F.concat(x["id"], F.lit("："), F.substring(x["text"], 1, length)))
     parts = F.array(
-        F.concat(F.lit("一、事實認定\n本案經影片行為分析，判定犯罪類別為"), F.col(label), F.lit("，信心程度"), fixed(F.col(confidence), 2), F.lit("。")),
-        F.when(F.length(rationale) > 0, F.concat(F.lit("行為分析摘要："), F.col(rationale))),
-        F.lit("\n二、法律適用"),
-        F.when(F.size("articles") > 0, F.concat(F.lit("本案可能適用"), F.array_join("articles", "、"), F.lit("。"))),
+        filled(FACTS_TEXT, F.col(label), fixed(F.col(confidence), 2)),
+        F.when(F.length(rationale) > 0, filled(RATIONALE_TEXT, F.col(rationale))),
+        F.lit(LAW_HEAD),
+        F.when(F.size("articles") > 0, filled(LAW_TEXT, F.array_join("articles", "、"))),
         F.when(F.size(law_lines) > 0, F.array_join(law_lines, "\n")),
-        F.lit("\n三、初步結論"),
-        F.concat(F.lit("綜合以上分析，本案涉及"), F.col(label), F.lit("類型犯罪之可能性為"), percent, F.lit("%。")))
+        F.lit(END_HEAD),
+        filled(END_TEXT, F.col(label), fixed(F.col(confidence) * 100, 0)))
     return F.array_join(F.filter(parts, lambda x: x.isNotNull()), "\n")

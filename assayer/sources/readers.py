@@ -60,7 +60,13 @@ def documents(spark: SparkSession, path: str, separator: str | None = None) -> D
     reader = spark.read.option("recursiveFileLookup", "true")
     df = reader.text(path, wholetext=True) if separator is None else reader.text(path, lineSep=separator)
     text = F.make_valid_utf8("value")
-    return df.select((unescaped(text) if separator == SEPARATOR else text).alias("value"), F.col("_metadata.file_path").alias("path"))
+    return once(df, {"value": unescaped(text) if separator == SEPARATOR else text, "path": F.col("_metadata.file_path")})
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """A projection that is worked out once a row, however often and in whatever filters its columns are used: a generator of one
+    row, which the optimiser does not merge with what stands above it."""
+    return df.select(F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def _json_documents(spark: SparkSession, path: str, lines: bool) -> DataFrame:
@@ -165,10 +171,10 @@ def reports(spark: SparkSession, path: str, separator: str | None = None, keep_e
     def field(pattern: str) -> Column:
         found = F.regexp_extract("value", pattern, 1)
         return F.when(found == "", "Unknown").otherwise(found)
-    r = d.select(
-        (file_stem() if separator is None else inner).alias("report_id"), parent().alias("run_id"),
-        field(REPORT_TRUTH).alias("ground_truth"), field(REPORT_PREDICTED).alias("predicted"),
-        X.strip(F.regexp_extract("value", REPORT_BODY, 1)).alias("body")).filter(F.col("report_id") != "")
+    r = once(d, {
+        "report_id": file_stem() if separator is None else inner, "run_id": parent(),
+        "ground_truth": field(REPORT_TRUTH), "predicted": field(REPORT_PREDICTED),
+        "body": X.strip(F.regexp_extract("value", REPORT_BODY, 1))}).filter(F.col("report_id") != "")
     return r if keep_empty else r.filter(F.col("body") != "")
 
 
