@@ -17,8 +17,8 @@ from assayer.llm.arrowio import arrow_type, map_slices, texts_of
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 HIDDEN_ATTRIBUTE = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp", "template", "svg", "math",
-       "select", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "template", "svg", "select", "canvas",
+       "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd",
           "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time",
@@ -34,6 +34,15 @@ SIDE_WORDS = re.compile(
     r"pagination|pager|tags|search\w*|form|copyright|legal|skip)(?=$|[\s_-])", re.I)
 MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article\w*|post|post-?body|post-?content|entry|entry-?content|story\w*|content|main\w*|body-?text)(?=$|[\s_-])",
                         re.I)
+#: Readers' words: what is under them stays aside whatever stands there.
+COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?\w*|disqus|respond|reply|replies|discussion|feedback)(?=$|[\s_-])", re.I)
+#: Classes of an article that is no main text.
+TEASER_WORDS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|related|recommend\w*|teaser|widget\w*|sidebar\w*)(?=$|[\s_-])", re.I)
+#: A part of a name that says what the page has or lacks, not what the element is.
+LAYOUT = re.compile(r"^(?:has|no|with|without)[_-]|^side-(?!bar|nav|menu|content|panel|column)", re.I)
+MAIN_NOUN = re.compile(r"(?:^|[_-])(?:article|story|entry|post)s?$|^(?:article|story|entry|post)[_-]?(?:body|content|text)$", re.I)
+#: How firmly a mark holds: of a wrapper that an article may stand in, of a tag or role that holds none, of comments and hidden parts.
+WEAK, FIRM, HARD = 1, 2, 3
 P_CLOSERS = {"p", "div", "ul", "ol", "li", "table", "section", "article", "header", "footer", "nav", "aside", "form", "h1", "h2",
              "h3", "h4", "h5", "h6", "blockquote", "pre", "hr", "main", "dl", "fieldset", "figure", "address", "details"}
 
@@ -59,16 +68,34 @@ def _attributes(raw: str) -> str:
     return " ".join([named.get("class", ""), named.get("id", ""), "\x00" + named.get("role", "").lower(), "\x01" if gone else ""])
 
 
+def _named(names: str) -> int | None:
+    """What class and id say: 0 main text, ``WEAK`` aside, ``HARD`` comments, None nothing.
+
+    Names with ``has-``, ``no-`` and the like speak of the layout and do not count. Where some names speak for the text and some
+    against it, one that names an article by its last part decides for the text.
+    """
+    kept = [x for x in names.split() if not LAYOUT.match(x)]
+    if not kept:
+        return None
+    line = " ".join(kept)
+    if COMMENT_WORDS.search(line):
+        return HARD
+    if SIDE_WORDS.search(line):
+        return 0 if any(MAIN_NOUN.search(x) for x in kept) and not TEASER_WORDS.search(line) else WEAK
+    return 0 if MAIN_WORDS.search(line) else None
+
+
 def blocks(page: str) -> list[Block]:
     """Text between block tags, in page order, with where it stands.
 
-    ``side``: under a navigation, header, footer, form or similar tag, role, class or id nearer than any article that
-    it lies in, or hidden. ``main``: under an article or main tag. Scripts, styles and comments give no text; an
+    ``side``: under a navigation, header, footer, form or similar tag, role, class or id, or hidden. An article or main tag
+    takes away the mark of a form or of a class or id that it lies in, as those often wrap the whole page; that of comments,
+    of hidden parts and of tags such as nav and footer stays. ``main``: under an article or main tag. Scripts, styles and comments give no text; an
     unclosed one runs to the end of the page, an unfinished tag there is dropped.
     """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, side, main
-    side = main = False
+    stack: list[tuple[str, int, bool]] = []  # tag, firmness of the side mark, main
+    side, main = 0, False
     held: list[str] = []
     held_linked: list[str] = []
     anchors = 0
@@ -80,7 +107,7 @@ def blocks(page: str) -> list[Block]:
             if words:
                 item = any(t in ("li", "td", "th", "dt", "option") for t, _, _ in stack)
                 linked = len(html.unescape(" ".join(held_linked)).split())
-                out.append(Block(" ".join(words), len(words), min(linked, len(words)), side, main, item))
+                out.append(Block(" ".join(words), len(words), min(linked, len(words)), side > 0, main, item))
             held.clear()
             held_linked.clear()
 
@@ -121,7 +148,7 @@ def blocks(page: str) -> list[Block]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
-                    side, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                    side, main = (stack[-1][1], stack[-1][2]) if stack else (0, False)
                     break
                 if stack[i][0] in ("td", "th", "table") and tag in INLINE:
                     break
@@ -139,7 +166,7 @@ def blocks(page: str) -> list[Block]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
                     del stack[i:]
-                    side, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                    side, main = (stack[-1][1], stack[-1][2]) if stack else (0, False)
                     anchors = 0
                     break
                 if stack[i][0] not in INLINE:
@@ -149,18 +176,27 @@ def blocks(page: str) -> list[Block]:
         names = _attributes(found[3] or "")
         role = names.partition("\x00")[2].strip("\x01 ")
         names_only = names.partition("\x00")[0]
-        if tag in MAIN_TAGS or role in ("main", "article"):
-            # a comment is often an article of its own: it stays aside
-            main, side = True, side or bool(SIDE_WORDS.search(names_only)) and not MAIN_WORDS.search(names_only)
-        elif "\x01" in names or role in SIDE_ROLES:
-            side = True
+        kind = _named(names_only)
+        if "\x01" in names or kind == HARD:
+            side = HARD
+        elif tag in MAIN_TAGS or role in ("main", "article"):
+            # a comment or teaser is often an article of its own: it stays aside
+            main, side = True, FIRM if TEASER_WORDS.search(names_only) else side if side >= FIRM else 0
+        elif role in SIDE_ROLES:
+            side = max(side, FIRM)
+        elif tag in ("form", "fieldset"):
+            # in the article it is a form, around it often the page
+            side = max(side, FIRM if main else WEAK)
         elif tag in SIDE_TAGS:
             # a header inside the article holds its title
-            side = side or not (tag == "header" and main)
-        elif tag not in ("html", "body") and names_only.strip() and SIDE_WORDS.search(names_only):
-            side = True
-        elif names_only.strip() and MAIN_WORDS.search(names_only) and tag not in INLINE and tag not in ("html", "body"):
-            main = main or not side
+            side = side if tag == "header" and main else max(side, FIRM)
+        elif tag == "noscript":
+            side = side if main else max(side, WEAK)
+        elif tag not in ("html", "body"):
+            if kind == WEAK:
+                side = max(side, FIRM if main else WEAK)
+            elif kind == 0 and tag not in INLINE:
+                main = main or not side
         stack.append((tag, side, main))
     flush()
     return out

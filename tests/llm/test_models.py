@@ -136,6 +136,18 @@ PAGES = {
     "<article><p>Body of it.</p></article><section id='comments'><article class='comment'><p>nice, nice, very nice indeed</p></article></section>": "Body of it.",
     "<article><div class='ad'>buy</div><p>Story here <a href='x'>with link</a>.</p><p hidden>no</p></article>": "Story here with link.",
     "<article><p>cut off in the mid": "cut off in the mid", "<article><p>cut <b": "cut", "<article>a<!-- open": "a",
+    "<form id=f><div><article><p>Body in a form.</p><form>mail <input></form></article></div><footer>f</footer></form>": "Body in a form.",
+    "<div class='layout has-sidebar'><article><p>Text.</p></article><div class=sidebar>s</div></div>": "Text.",
+    "<div class='no-sidebar'><p>" + "word " * 30 + "</p></div>": ("word " * 30).strip(),
+    "<div class='page with-ads'><article>Text.</article><div class='ads'>buy</div></div>": "Text.",
+    "<div class='post-content social'><p>Long text of a post that is shared.</p></div><div class=social>share</div>": "Long text of a post that is shared.",
+    "<article class='search-results-page'><p>Results.</p></article>": "Results.",
+    "<div id='side-effects'><article><p>Side effects.</p></article></div>": "Side effects.",
+    "<div class='legal-article'><p>The law says this and that about it.</p></div>": "The law says this and that about it.",
+    "<article>Area is <math><mi>x</mi></math> here.<noscript>And there.</noscript></article>": "Area is x here. And there.",
+    "<noscript>Switch scripts on</noscript><article>A.</article><aside><article>teaser</article></aside>": "A.",
+    "<div class=comments><article><p>A reader's words, quite a few of them here.</p></article></div><article>A.</article>": "A.",
+    "<article>A.<div class='main-nav'>n</div><div class='article-footer'>f</div><div class='related-post'>r</div></article>": "A.",
     "<article>a<script>never closed": "a", "<ARTICLE><P>Upper</P></ARTICLE>": "Upper", "<article>1 < 2 and 3 > 2</article>": "1 < 2 and 3 > 2",
 }
 
