@@ -5,9 +5,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from array import array
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from assayer.llm.shared import stored
 
 #: Window alignments that a worker keeps, and the tokens of a window that is worth keeping.
 WINDOWS, WORTH = 200_000, 64
-SLICE = 2 << 20
+SLICE = 1 << 20
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -31,8 +31,7 @@ class Vocabulary:
     tokens: list[bytes]
 
     def __post_init__(self):
-        self.lengths = [len(t) for t in self.tokens]
-        self.sizes = np.array(self.lengths, np.int64)
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.names = [str(i) for i in range(len(self.tokens))]
         self.spaced = np.array([t[:1] == b" " for t in self.tokens])
 
@@ -87,7 +86,9 @@ class LinkPairs:
         self.base = len(b.tokens)
         self.keys = both[:, 0] * self.base + both[:, 1]
         self.b = both[:, 1]
-        self.place = dict(zip(self.keys.tolist(), range(len(self.keys))))
+
+    def number(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.keys, a * self.base + b).astype("<i4")
 
 
 @lru_cache(maxsize=2)
@@ -101,55 +102,115 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         (self.a, self.va), (self.b, self.vb) = byte_level(path_a), pieces(path_b)
         self.pairs = link_pairs(path_a, path_b)
+        # ids with what follows them in the text of the groups: a comma inside a side, | after the first, ; after the second
+        self.names = [name + mark for v, marks in ((self.va, ",|"), (self.vb, ",;")) for mark in marks for name in v.names]
         #: Window alignments by both id tuples, packed with a mark between them that is no id.
-        self.memo: dict[bytes, tuple[str, int, bytes]] = {}
-
-    def window(self, key: bytes, a: list[int], b: list[int]) -> tuple[str, int, bytes]:
-        """(groups, their number, numbers of the linked pairs) of two stretches of ids with equal bytes."""
-        found = self.memo.get(key)
-        if found is None:
-            size_a, size_b, name_a, name_b = self.va.lengths, self.vb.lengths, self.va.names, self.vb.names
-            place, base = self.pairs.place, self.pairs.base
-            groups, links = [], array("i")
-            i = j = last_i = last_j = end_a = end_b = 0
-            while i < len(a):
-                end_a += size_a[a[i]]
-                i += 1
-                while end_b < end_a:
-                    end_b += size_b[b[j]]
-                    j += 1
-                if end_a == end_b:  # the last tokens of both end here
-                    links.append(place[a[i - 1] * base + b[j - 1]])
-                    groups.append(",".join([name_a[k] for k in a[last_i:i]]) + "|" + ",".join([name_b[k] for k in b[last_j:j]]))
-                    last_i, last_j = i, j
-            found = (";".join(groups), len(groups), links.tobytes())
-            if len(a) + len(b) <= WORTH:
-                if len(self.memo) >= WINDOWS:
-                    self.memo.clear()
-                self.memo[key] = found
-        return found
-
-    def align(self, text: str, ids_a: list[int], ids_b: list[int]) -> tuple[int, int, int, bytes, str] | None:
-        """(tokens of A, tokens of B, groups, linked pairs, digest of the groups) or none if the bytes differ from the text."""
-        raw = b" " + text.encode()
-        if b"".join(map(self.va.tokens.__getitem__, ids_a)) != raw or b"".join(map(self.vb.tokens.__getitem__, ids_b)) != raw:
-            return None
-        a, b = np.array(ids_a, "<i4"), np.array(ids_b, "<i4")
+        self.memo: dict[bytes, tuple[str, bytes]] = {}
+
+    def align(self, texts: list[str]) -> list[tuple[int, int, int, bytes, str] | None]:
+        """Of each text (tokens of A, tokens of B, groups, linked pairs, digest of the groups), or none if a tokenizer does not
+        give its bytes back.
+
+        The texts whose bytes agree follow each other as one run of tokens of each side, which ends together after every text.
+        """
+        out: list = [None] * len(texts)
+        at = [i for i, t in enumerate(texts) if t]
+        all_a = [e.ids for e in self.a.encode_batch_fast([" " + texts[i] for i in at], add_special_tokens=False)]
+        all_b = self.b.encode([texts[i] for i in at], num_threads=1)
+        good = []
+        for i, ids_a, ids_b in zip(at, all_a, all_b):
+            raw = b" " + texts[i].encode()
+            if b"".join(map(self.va.tokens.__getitem__, ids_a)) == raw == b"".join(map(self.vb.tokens.__getitem__, ids_b)):
+                good.append((i, ids_a, ids_b))
+        if not good:
+            return out
+        sizes = [np.array([len(g[k]) for g in good]) for k in (1, 2)]
+        a, b = (np.fromiter(chain.from_iterable(g[k] for g in good), "<i4", int(n.sum())) for k, n in zip((1, 2), sizes))
+        del all_a, all_b
         ends_a, ends_b = np.cumsum(self.va.sizes[a]), np.cumsum(self.vb.sizes[b])
         # places where both tokens before end and both tokens after begin with a space
         open_a, open_b = np.flatnonzero(self.va.spaced[a[1:]]), np.flatnonzero(self.vb.spaced[b[1:]])
         _, x, y = np.intersect1d(ends_a[open_a], ends_b[open_b], assume_unique=True, return_indices=True)
-        cuts_a = [0, *(open_a[x] + 1).tolist(), len(a)]
-        cuts_b = [0, *(open_b[y] + 1).tolist(), len(b)]
+        cuts_a, cuts_b = (np.unique(np.concatenate([[0], cut, np.cumsum(n)])) for cut, n in zip((open_a[x] + 1, open_b[y] + 1), sizes))
+        texts_of, links_of, first, place = self._windows(a, b, cuts_a, cuts_b)
+        count = np.array([len(x) // 4 for x in links_of])
+        flat, starts = np.frombuffer(b"".join(links_of), "<i4"), np.r_[0, np.cumsum(count)]
+        n = count[place]
+        upto = np.r_[0, np.cumsum(n)]
+        links = flat[np.repeat(starts[place] - upto[:-1], n) + np.arange(upto[-1])]
+        bounds = np.searchsorted(cuts_a, np.r_[0, np.cumsum(sizes[0])])
+        for (i, ids_a, ids_b), w, v in zip(good, bounds, bounds[1:]):
+            groups = ";".join([texts_of[k] for k in place[w:v].tolist()])
+            out[i] = (len(ids_a), len(ids_b), int(upto[v] - upto[w]), links[upto[w]:upto[v]].tobytes(), hashlib.sha256(groups.encode()).hexdigest())
+        return out
+
+    def _windows(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray):
+        """Group texts and linked pairs of the distinct windows, where each is first, and for every window which one it is.
+
+        Two fingerprints of a window's ids, 128 bits in all, tell equal windows; each distinct one is looked up by its ids.
+        """
+        one, two = (_fingerprints(a, cuts_a, p) ^ (_fingerprints(b, cuts_b, p) * np.uint64(0x9E3779B97F4A7C15)) for p in POWERS)
+        _, first, place = np.unique(one, return_index=True, return_inverse=True)
+        if (two != two[first][place]).any():
+            _, first, place = np.unique(np.c_[one, two], axis=0, return_index=True, return_inverse=True)
+            place = place.reshape(-1)
         wide = "<u2" if max(len(self.va.tokens), len(self.vb.tokens)) < 0xFFFF else "<u4"
-        mark, size = b"\xff" * np.dtype(wide).itemsize, np.dtype(wide).itemsize
-        bytes_a, bytes_b, memo, window = a.astype(wide).tobytes(), b.astype(wide).tobytes(), self.memo, self.window
-        told = []
-        for i, j, k, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:]):
-            key = bytes_a[size * i:size * j] + mark + bytes_b[size * k:size * m]
-            told.append(memo.get(key) or window(key, ids_a[i:j], ids_b[k:m]))
-        groups = ";".join([t[0] for t in told])
-        return (len(a), len(b), sum([t[1] for t in told]), b"".join([t[2] for t in told]), hashlib.sha256(groups.encode()).hexdigest())
+        size = np.dtype(wide).itemsize
+        mark, bytes_a, bytes_b = b"\xff" * size, a.astype(wide).tobytes(), b.astype(wide).tobytes()
+        spans = [cut[first + d] for cut in (cuts_a, cuts_b) for d in (0, 1)]
+        keys = [bytes_a[size * i:size * j] + mark + bytes_b[size * k:size * m] for i, j, k, m in zip(*(x.tolist() for x in spans))]
+        told = [self.memo.get(key) for key in keys]
+        new = np.array([n for n, t in enumerate(told) if t is None], np.int64)
+        if len(new):
+            if len(self.memo) + len(new) > WINDOWS:
+                self.memo.clear()
+            for n, found in zip(new.tolist(), self._aligned(a, b, *(x[new] for x in spans))):
+                told[n] = found
+                if len(keys[n]) <= size * WORTH:
+                    self.memo[keys[n]] = found
+        return [t[0] for t in told], [t[1] for t in told], first, place
+
+    def _aligned(self, a: np.ndarray, b: np.ndarray, from_a: np.ndarray, to_a: np.ndarray, from_b: np.ndarray, to_b: np.ndarray):
+        """(text of the groups, numbers of the linked pairs) of each stretch of ids; both sides of a stretch have equal bytes.
+
+        The stretches follow each other as one run, so both sides end together after each.
+        """
+        a, b = (ids[np.repeat(i - np.r_[0, np.cumsum(j - i)[:-1]], j - i) + np.arange((j - i).sum())] for ids, i, j in (
+            (a, from_a, to_a), (b, from_b, to_b)))
+        _, last_a, last_b = np.intersect1d(np.cumsum(self.va.sizes[a]), np.cumsum(self.vb.sizes[b]), assume_unique=True, return_indices=True)
+        group_a, group_b = (np.searchsorted(last, np.arange(len(ids))) for last, ids in ((last_a, a), (last_b, b)))
+        n_a, n_b = len(self.va.tokens), len(self.vb.tokens)
+        codes = np.concatenate([a, 2 * n_a + b]).astype(np.int64)
+        codes[last_a] += n_a
+        codes[len(a) + last_b] += n_b
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        words = [self.names[c] for c in codes[order].tolist()]
+        numbers = self.pairs.number(a[last_a].astype(np.int64), b[last_b].astype(np.int64))
+        ends = np.cumsum(to_a - from_a)
+        words_to = np.cumsum(to_a - from_a + to_b - from_b).tolist()
+        groups_to = np.searchsorted(last_a, ends).tolist()  # groups that end before the next stretch
+        i = g = 0
+        for j, h in zip(words_to, groups_to):
+            yield "".join(words[i:j])[:-1], numbers[g:h].tobytes()
+            i, g = j, h
+
+
+#: Odd numbers whose powers weigh the places of a window.
+POWERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+
+
+def _fingerprints(ids: np.ndarray, cuts: np.ndarray, power: int) -> np.ndarray:
+    """64 bits of the ids between each two cuts, whatever stands before."""
+    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(29)
+    up = np.full(len(ids) + 1, power, np.uint64)
+    down = np.full(len(ids) + 1, pow(power, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    sums = np.r_[np.uint64(0), np.cumsum(mixed * up[:-1], dtype=np.uint64)]
+    h = (sums[cuts[1:]] - sums[cuts[:-1]]) * down[cuts[:-1]]
+    h ^= np.diff(cuts).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
 
 
 @lru_cache(maxsize=2)
@@ -171,13 +232,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     def run(batches):
         own = aligner(path_a, path_b)
         for part in slices(batches, "text", SLICE):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            at = [i for i, t in enumerate(texts) if t]
-            told = [(0, 0, 0, b"", "")] * len(texts)
-            some = [texts[i] for i in at]
-            for i, text, ids_a, ids_b in zip(at, some, own.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False),
-                                             own.b.encode(some, num_threads=1)):
-                told[i] = own.align(text, ids_a.ids, ids_b) or told[i]
+            told = [t or (0, 0, 0, b"", "") for t in own.align([t or "" for t in part.column("text").to_pylist()])]
             yield rows(out, part.column("id"), *zip(*told))
 
     bound_batches(docs.sparkSession)

@@ -245,10 +245,14 @@ def test_alignment_on_odd_texts(spark, truth, monkeypatch):
 
 def test_windows_give_what_the_whole_gives():
     own = alignment.Aligner(A, B)
-    for text in ("The  quick brown fox, jumping over\n the lazy dogs' tails.", "naïve  café — 12,345 tokens ", "x" * 300 + " y" * 300):
-        ids_a, ids_b = own.a.encode(" " + text, add_special_tokens=False).ids, own.b.encode(text)
-        groups, n_groups, pairs = own.window(b"", ids_a, ids_b)
-        n_a, n_b, n, links, digest = own.align(text, ids_a, ids_b)
-        assert (n_a, n_b, n, links) == (len(ids_a), len(ids_b), n_groups, pairs)
-        assert digest == hashlib.sha256(groups.encode()).hexdigest() and len(links) == 4 * n
+    texts = ["The  quick brown fox, jumping over\n the lazy dogs' tails.", "", "naïve  café — 12,345 tokens ", "a▁b", "x" * 300 + " y" * 300, "the fox the fox the fox"]
+    for text, told in zip(texts, own.align(texts)):
+        if not text or "▁" in text:
+            assert told is None
+            continue
+        ids = [np.array(x) for x in (own.a.encode(" " + text, add_special_tokens=False).ids, own.b.encode(text))]
+        (groups, pairs), = own._aligned(*ids, *(np.array([x]) for x in (0, len(ids[0]), 0, len(ids[1]))))  # the text as one window
+        assert told == (len(ids[0]), len(ids[1]), len(pairs) // 4, pairs, hashlib.sha256(groups.encode()).hexdigest())
+        assert own.align([text]) == [told]
     assert len(own.memo) > 5 and len(own.pairs.keys) < own.va.sizes.sum() + own.vb.sizes.sum()
+    assert own.align([]) == [] and own.align([""]) == [None]
