@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.arrowio import arrow_type, bound_batches, map_slices, rows, slices
-from assayer.llm.packing import byte_letters
+from assayer.llm.packing import byte_letters, tokens
 from assayer.llm.shared import stored
 
 #: Window alignments that a worker keeps, and the tokens of a window that is worth keeping.
@@ -100,7 +100,8 @@ class Aligner:
     """Both tokenizers, and the alignments of the windows that were met before, by their id tuples."""
 
     def __init__(self, path_a: str, path_b: str):
-        (self.a, self.va), (self.b, self.vb) = byte_level(path_a), pieces(path_b)
+        (_, self.va), (self.b, self.vb) = byte_level(path_a), pieces(path_b)
+        self.a = tokens(path_a, plain=True)
         self.pairs = link_pairs(path_a, path_b)
         # ids with what follows them in the text of the groups: a comma inside a side, | after the first, ; after the second
         self.names = [name + mark for v, marks in ((self.va, ",|"), (self.vb, ",;")) for mark in marks for name in v.names]
@@ -115,7 +116,7 @@ class Aligner:
         """
         out: list = [None] * len(texts)
         at = [i for i, t in enumerate(texts) if t]
-        all_a = [e.ids for e in self.a.encode_batch_fast([" " + texts[i] for i in at], add_special_tokens=False)]
+        all_a = [np.frombuffer(self.a.ids(" " + texts[i]), "<u4").tolist() for i in at]
         all_b = self.b.encode([texts[i] for i in at], num_threads=1)
         good = []
         for i, ids_a, ids_b in zip(at, all_a, all_b):
@@ -222,7 +223,8 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_a, n_b, n_groups, links, groups_sha256) of every whole text; ``links`` are numbers of ``link_pairs`` as 32-bit integers.
 
-    A encodes the text after a space, B the text. Both libraries see the whole text. Null and empty texts, and those that either
+    A encodes the text after a space (its library's ids, those of words kept in a memo: ``chunks`` says why they are the same), B the
+    whole text. Null and empty texts, and those that either
     tokenizer does not give back byte by byte, have no tokens and the digest ''. Ids may be null or repeat; an empty
     table gives no rows; other columns are left out.
     """

@@ -30,8 +30,8 @@ NEW_LETTERS = "\u0250"
 
 
 @lru_cache(maxsize=2)
-def tokens(path: str) -> Memo:
-    """Ids by the tokenizers library, one memo per worker process.
+def tokens(path: str, plain: bool = False) -> Memo:
+    """Ids by the tokenizers library, one memo per worker process; with ``plain`` no string of a text is a special token.
 
     A word of plain letters is one pre-token and goes straight to the library's model; all else takes its whole way, so the
     string of a special token in a text gives that token, as the library does.
@@ -41,6 +41,7 @@ def tokens(path: str) -> Memo:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = plain
     model, letters = tokenizer.model, byte_letters()
 
     def compute(texts: list[str]) -> list[bytes]:
