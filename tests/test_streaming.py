@@ -120,3 +120,15 @@ def test_late_rows_are_dropped(spark, tmp_path):
         jobs.running_metrics(jobs.files(spark, source, schema), out, state).awaitTermination()
     got = jobs.latest(spark, out, ["start", "run_id"])
     assert sorted(str(r.start)[:10] for r in got.collect()) == ["2024-01-10", "2024-01-20"]
+
+
+def test_keyed_state_needs_no_setting(spark, tmp_path):
+    other, key = spark.newSession(), "spark.sql.streaming.stateStore.providerClass"
+    plain = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"  # what a session has by default
+    other.conf.set(key, plain)
+    schema = "backend string, cost double"
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    other.createDataFrame([("a", 2.0)], schema).write.parquet(source)
+    jobs.budget_guard(jobs.files(other, source, schema), F.col("cost"), 1, out, state).awaitTermination()
+    assert [(r.backend, r.raised) for r in spark.read.parquet(out).collect()] == [("a", True)]
+    assert other.conf.get(key) == plain
