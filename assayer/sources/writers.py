@@ -17,6 +17,8 @@ BAR, RULE = "=" * 70, "─" * 70
 NONE, NO_REPORT = "（無）", "（無報告）"
 # ---- end of fixed values --------------------------------------------------------------------
 
+REPORTS_PER_FILE = 10_000  # a compressed file is read by one task
+
 
 def json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
@@ -104,8 +106,9 @@ def appendix_line(s: Column) -> Column:
 
 
 def write_reports(df: DataFrame, text: str, path: str, by: str = "run_id", mode: str = "errorifexists") -> None:
-    """Report texts in one directory per run, many per file, divided by the separator."""
-    df.select(by, escaped(F.col(text)).alias("value")).write.mode(mode).partitionBy(by).option("lineSep", SEPARATOR).text(path)
+    """Report texts in one directory per run, many per file, divided by the separator; compressed, as most lines are the same in all."""
+    df.select(by, escaped(F.col(text)).alias("value")).write.mode(mode).partitionBy(by).option("lineSep", SEPARATOR).option(
+        "compression", "gzip").option("maxRecordsPerFile", REPORTS_PER_FILE).text(path)
 
 
 # ---- snapshots -------------------------------------------------------------------------------

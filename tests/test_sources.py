@@ -114,3 +114,13 @@ def test_form_feeds_survive(spark, tmp_path):
     W.write_reports(df, "text", str(tmp_path / "ff"))
     got = R.documents(spark, str(tmp_path / "ff"), R.SEPARATOR)
     assert sorted(r.value for r in got.collect()) == sorted(texts)
+
+
+def test_reports_are_written_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "REPORTS_PER_FILE", 300)
+    path = tmp_path / "small"
+    df = spark.range(1000).selectExpr("'r' AS run_id", "concat('report ', id, repeat(' of the same lines', 200)) AS text").coalesce(1)
+    W.write_reports(df, "text", str(path))
+    files = [f for f in (path / "run_id=r").iterdir() if f.name.startswith("part-")]
+    assert len(files) == 4 and sum(f.stat().st_size for f in files) < 1000 * 200 * 18 / 20
+    assert R.documents(spark, str(path), R.SEPARATOR).select("value").distinct().count() == 1000
