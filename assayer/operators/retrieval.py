@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from assayer.functions import text as X
-from assayer.session import materialise
+from assayer.session import materialise, tasks
 
 # ---- fixed values -----------------------------------------------------------------
 K1, B, EPSILON = 1.5, 0.75, 0.25
 TOP_K, RRF_K = 5, 60
 EVERY = "\u0001"  # the mark in a term index, never a token
+TASK_TOKENS = 400_000  # tokens of all texts whose postings and scores one task holds
 # ---- end of fixed values ------------------------------------------------------------
 
 
@@ -69,9 +70,11 @@ def term_statistics(index: DataFrame) -> DataFrame:
         F.col("raw_idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
 
 
-def postings(tokens: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+def postings(tokens: DataFrame, n_tokens: int, vocabulary: DataFrame | None = None) -> DataFrame:
     """``layer, doc_id, doc_len, term, tf``; with a vocabulary only its terms are counted.
 
+    ``n_tokens`` is the number of tokens of all texts, or near it: it sets the number of tasks.
+
     ``explode_outer`` keeps the optimiser from testing the size of the token
     list before the explode, which would cut every text into tokens twice. Rows
     are placed by document: the term counts here and any later sums per document
@@ -79,7 +82,7 @@ def postings(tokens: DataFrame, vocabulary: DataFrame | None = None) -> DataFram
     """
     long = tokens.select("layer", "doc_id", F.size("tokens").alias("doc_len"), F.explode_outer("tokens").alias("term"))
     long = long.filter(F.col("term").isNotNull()) if vocabulary is None else long.join(vocabulary, "term", "left_semi")
-    return long.repartition("doc_id").groupBy("layer", "doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return long.repartition(tasks(tokens.sparkSession, n_tokens, TASK_TOKENS), "doc_id").groupBy("layer", "doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -99,11 +102,13 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     tokens = tokenised(corpus)
     asked = query_terms(queries)
     vocabulary = asked.select("term").distinct()
-    stats = term_statistics(term_index(tokens)).join(vocabulary, "term", "left_semi")
+    index = term_index(tokens)
+    n_tokens = index.agg(F.sum("total_len")).first()[0]
+    stats = term_statistics(index).join(vocabulary, "term", "left_semi")
     weights = materialise(stats.join(asked, "term").select(
         "layer", "term", "query_id", (F.col("qtf") * F.col("idf")).alias("weight"), "avg_len"), "query-weights")
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    hits = postings(tokens, vocabulary).join(weights, ["layer", "term"])
+    hits = postings(tokens, n_tokens, vocabulary).join(weights, ["layer", "term"])
     return (hits.groupBy("layer", "query_id", "doc_id")
             .agg(F.round(F.sum(F.col("weight") * tf), 9).alias("score")))
 
