@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from assayer.functions.text import words
+from assayer.session import tasks
+
+#: Characters of both sides whose n-grams one task counts.
+TASK_CHARS = 1 << 19
 
 
 def _grams(tokens: Column, n: int) -> Column:
@@ -24,9 +28,12 @@ def bleu4(pairs: DataFrame, key: str, candidate: str, reference: str) -> DataFra
     """BLEU-4 per pair with clipped n-gram counts; orders above 1 are smoothed by one.
 
     n-grams of both sides are counted together per pair, order and gram, so the
-    clipped overlap is an aggregate and no join is needed.
+    clipped overlap is an aggregate and no join is needed. Texts are placed by
+    key in as many tasks as their length asks for; their n-grams stay there.
     """
-    t = pairs.select(key, words(F.col(candidate)).alias("c"), words(F.col(reference)).alias("r"))
+    chars = pairs.agg(F.sum(F.coalesce(F.length(candidate), F.lit(0)) + F.coalesce(F.length(reference), F.lit(0)))).first()[0]
+    placed = pairs.select(key, candidate, reference).repartition(tasks(pairs.sparkSession, chars, TASK_CHARS), key)
+    t = placed.select(key, words(F.col(candidate)).alias("c"), words(F.col(reference)).alias("r"))
     sides = t.select(key, F.size("c").alias("c_len"), F.size("r").alias("r_len"), F.inline(F.array(*[
         F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), _grams(F.col(side), n).alias("grams"))
         for n in range(1, 5) for side in ("c", "r")])))

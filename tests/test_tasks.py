@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from assayer.functions import overlap
 from assayer.operators import retrieval as R
 from assayer.session import tasks
 
@@ -28,3 +29,13 @@ def test_scores_are_spread(spark, monkeypatch):
         scores = R.bm25_scores(corpus(spark, n), asked)
         rows, parts = largest(scores)
         assert scores.count() == 2 * n and rows <= 500 and parts >= n // 100 - 1
+
+
+def test_grams_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "TASK_CHARS", 1000)
+    for n in (500, 2000):
+        pairs = spark.range(n).selectExpr("id", "'a b c d e' AS c", "'a b c d f' AS r")
+        bleu = overlap.bleu4(pairs, "id", "c", "r")
+        rows, parts = largest(bleu)
+        assert bleu.count() == n and rows <= 120 and parts >= n // 60
+        assert bleu.select("bleu").distinct().count() == 1
