@@ -75,16 +75,18 @@ SELECT r.item_id, concat('一、事實認定', chr(10), '本案經影片行為
 FROM report_texts r JOIN (SELECT class, string_agg(article_no, '、' ORDER BY article_no) AS list FROM articles GROUP BY class) a ON a.class = r.class
 LEFT JOIN law ON law.item_id = r.item_id""")
 def tx_fallback_report(spark, d):
-    r = B.report_texts(spark, d)
+    r = B.report_texts(spark, d).repartition(B.report_tasks(spark, d), "item_id")  # all that follows is by item
     cited = C.join_citations(r.select("item_id", "body"), "item_id", "body", statutes(spark)).withColumn("no", F.col("article_id").cast("int"))
     w = Window.partitionBy("item_id").orderBy("no")
-    text = F.repeat(F.concat(F.lit("第"), F.col("article_id"), F.lit("條內容。")), F.lit(30))
     first = cited.withColumn("rn", F.row_number().over(w)).filter("rn <= 3").groupBy("item_id").agg(F.sort_array(F.collect_list(
-        F.struct("no", F.col("article_id").alias("id"), text.alias("text")))).alias("laws"))
+        F.struct("no", F.col("article_id").alias("id")))).alias("laws"))
     lists = B.priority_articles(spark).groupBy("class").agg(F.sort_array(F.collect_list("article_no")).alias("articles"))
-    none = F.array().cast("array<struct<no:int,id:string,text:string>>")
+    none = F.array().cast("array<struct<no:int,id:string>>")
+
+    def quoted(law):
+        return F.struct(law["no"].alias("no"), law["id"].alias("id"), F.repeat(F.concat(F.lit("第"), law["id"], F.lit("條內容。")), F.lit(30)).alias("text"))
     j = r.join(first, "item_id", "left").join(F.broadcast(lists), "class").withColumns({
-        "laws": F.coalesce("laws", none), "confidence": (F.col("item_id") % 101) / 100})
+        "laws": F.transform(F.coalesce("laws", none), quoted), "confidence": (F.col("item_id") % 101) / 100})
     return j.select("item_id", T.fallback_report(j, "class", "confidence", "body", "laws").alias("report"))
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from assayer import bindings as B
 from assayer.functions import overlap
 from assayer.operators import retrieval as R
 from assayer.session import tasks
@@ -39,3 +40,11 @@ def test_grams_are_spread(spark, monkeypatch):
         rows, parts = largest(bleu)
         assert bleu.count() == n and rows <= 120 and parts >= n // 60
         assert bleu.select("bleu").distinct().count() == 1
+
+
+def test_reports_are_spread(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "TASK_LINES", 100)
+    spark.range(2000).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "id AS l_partkey", "id AS l_suppkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(2000).selectExpr("id AS o_orderkey", "'5-LOW' AS o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    rows, parts = largest(B.report_texts(spark, str(tmp_path)))
+    assert rows <= 200 and parts == 20
