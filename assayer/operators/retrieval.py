@@ -70,19 +70,20 @@ def term_statistics(index: DataFrame) -> DataFrame:
         F.col("raw_idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
 
 
-def postings(tokens: DataFrame, n_tokens: int, vocabulary: DataFrame | None = None) -> DataFrame:
+def postings(corpus: DataFrame, n_tokens: int, vocabulary: DataFrame | None = None) -> DataFrame:
     """``layer, doc_id, doc_len, term, tf``; with a vocabulary only its terms are counted.
 
     ``n_tokens`` is the number of tokens of all texts, or near it: it sets the number of tasks.
 
     ``explode_outer`` keeps the optimiser from testing the size of the token
-    list before the explode, which would cut every text into tokens twice. Rows
+    list before the explode, which would cut every text into tokens twice. Texts
     are placed by document: the term counts here and any later sums per document
-    and query then need no shuffle of their own.
+    and query then need no shuffle of their own, and no row of a token is sent.
     """
+    tokens = tokenised(corpus.repartition(tasks(corpus.sparkSession, n_tokens, TASK_TOKENS), "doc_id"))
     long = tokens.select("layer", "doc_id", F.size("tokens").alias("doc_len"), F.explode_outer("tokens").alias("term"))
     long = long.filter(F.col("term").isNotNull()) if vocabulary is None else long.join(vocabulary, "term", "left_semi")
-    return long.repartition(tasks(tokens.sparkSession, n_tokens, TASK_TOKENS), "doc_id").groupBy("layer", "doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return long.groupBy("layer", "doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -99,16 +100,15 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     joined once. Terms and weighted terms are written tables, so the optimiser knows
     their size and broadcasts them only below its own limit.
     """
-    tokens = tokenised(corpus)
     asked = query_terms(queries)
     vocabulary = asked.select("term").distinct()
-    index = term_index(tokens)
+    index = term_index(tokenised(corpus))
     n_tokens = index.agg(F.sum("total_len")).first()[0]
     stats = term_statistics(index).join(vocabulary, "term", "left_semi")
     weights = materialise(stats.join(asked, "term").select(
         "layer", "term", "query_id", (F.col("qtf") * F.col("idf")).alias("weight"), "avg_len"), "query-weights")
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    hits = postings(tokens, n_tokens, vocabulary).join(weights, ["layer", "term"])
+    hits = postings(corpus, n_tokens, vocabulary).join(weights, ["layer", "term"])
     return (hits.groupBy("layer", "query_id", "doc_id")
             .agg(F.round(F.sum(F.col("weight") * tf), 9).alias("score")))
 
