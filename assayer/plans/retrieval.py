@@ -60,7 +60,7 @@ SELECT query_id, doc_id, term, tf FROM q JOIN post USING (term)""")
 def jn_postings(spark, d):
     asked = R.query_terms(B.questions(spark, d))
     chars = B.table(spark, d, "documents").agg(F.sum(F.length("text"))).first()[0] or 0
-    # a token has five characters at least, the space after it included, in all but a few texts
+    # taken as five characters a token; it only sets the number of tasks
     p = R.postings(one_layer(B.corpus(spark, d)), chars // 5, asked.select("term").distinct())
     return p.join(asked, "term").select("query_id", "doc_id", "term", "tf")
 
