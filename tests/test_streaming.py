@@ -132,3 +132,10 @@ def test_keyed_state_needs_no_setting(spark, tmp_path):
     jobs.budget_guard(jobs.files(other, source, schema), F.col("cost"), 1, out, state).awaitTermination()
     assert [(r.backend, r.raised) for r in spark.read.parquet(out).collect()] == [("a", True)]
     assert other.conf.get(key) == plain
+
+
+def test_crossing_needs_no_setting(spark, tmp_path):
+    other, key = spark.newSession(), "spark.sql.streaming.stateStore.providerClass"
+    other.conf.set(key, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    told = crossings(other, tmp_path, [[(1, 0, 0.1, 0), (1, 1, 0.8, 10), (2, 0, 0.9, 10)], END])
+    assert told[-1] == [(1, 1), (2, 0)]
