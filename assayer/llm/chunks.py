@@ -30,19 +30,20 @@ class Memo(dict):
         self.compute, self.limit = compute, limit
         self.marks = dict(zip(",.", compute([",", "."])))
 
+    def __missing__(self, part: str) -> bytes:
+        if part[-1:] in self.marks and part[-2:-1].isalpha():
+            ids = self[part[:-1]] + self.marks[part[-1]]
+        else:
+            ids = self.compute([" " + part])[0]
+        if len(self) >= self.limit:
+            self.clear()
+        self[part] = ids
+        return ids
+
     def ids(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         first, *rest = parts(text)
-        new = [p for p in set(rest) if p not in self]
-        if len(self) + 2 * len(new) > self.limit:
-            self.clear()
-            new = list(set(rest))
-        if new:
-            marked = [p for p in new if p[-1:] in self.marks and p[-2:-1].isalpha()]
-            plain = [p for p in {*new, *[p[:-1] for p in marked]}.difference(marked) if p not in self]
-            self.update(zip(plain, self.compute([" " + p for p in plain])))
-            self.update([(p, self[p[:-1]] + self.marks[p[-1]]) for p in marked])
         head = self.compute([first])[0] if first else b""
         return head + b"".join(map(self.__getitem__, rest))

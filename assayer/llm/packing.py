@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,40 +29,67 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b if b in prints else next(rest)) for b in range(256)}
 
 
-#: Letters below this one are letters in every version of Unicode, so a run of them is one pre-token.
-NEW_LETTERS = "\u0250"
+#: Texts whose characters are of the same kind (letter, digit, other) in every version of Unicode, with no white space but space and \n.
+KNOWN = re.compile("[ \n!-~\u00a1-\u00ac\u00ae-\u024f]*")
+#: How byte-level vocabularies with ``use_regex`` cut a text into pre-tokens.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class Pretokens(dict):
+    """Ids of pre-tokens by the library's model, forgotten when many are held."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize, self.letters = model.tokenize, byte_letters()
+        self.space = self.letters[ord(" ")]
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= 50_000:
+            self.clear()
+        if word.isascii() and word[1:].isalpha():
+            spelled = word.replace(" ", self.space)
+        else:
+            spelled = word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.tokenize(spelled)]
+        self[word] = found = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
 
 @lru_cache(maxsize=2)
-def tokens(path: str, plain: bool = False) -> Memo:
+def tokens(path: str, plain: bool = False, limit: int = 600_000) -> Memo:
     """Ids by the tokenizers library, one memo per worker process; with ``plain`` no string of a text is a special token.
 
-    A word of plain letters is one pre-token and goes straight to the library's model; all else takes its whole way, so the
+    Pre-tokens of common characters go straight to the library's model; all else takes its whole way, so the
     string of a special token in a text gives that token, as the library does.
     """
-    import numpy as np
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = plain
-    model, letters = tokenizer.model, byte_letters()
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    with open(path, encoding="utf-8") as lines:
+        kind = json.load(lines)
+    cut = kind["pre_tokenizer"] or {}
+    direct = (kind["normalizer"] is None and cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"])
+    known = Pretokens(tokenizer.model)
+    find = regex.compile(BYTE_LEVEL).findall
 
     def compute(texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        other = []
-        for i, text in enumerate(texts):
+        out = []
+        for text in texts:
             word = text[text[:1] == " ":]
-            if word.isalpha() and max(word) < NEW_LETTERS:
-                found = model.tokenize(text.encode().decode("latin-1").translate(letters))
-                out[i] = np.array([t.id for t in found], "<u4").tobytes()
+            if direct and word.isascii() and word.isalpha():  # one pre-token, seldom met again: its part is in the memo
+                ids = [t.id for t in known.tokenize(text.replace(" ", known.space))]
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+            elif direct and KNOWN.fullmatch(text) and not any(t in text for t in added):
+                out.append(b"".join(map(known.__getitem__, find(text))))
             else:
-                other.append(i)
-        for i, e in zip(other, tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)):
-            out[i] = np.array(e.ids, "<u4").tobytes()
+                ids = tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
         return out
 
-    return Memo(compute, limit=400_000)
+    return Memo(compute, limit)
 
 
 def cuts(length: int, capacity: int, slack: int) -> list[tuple[int, int]]:

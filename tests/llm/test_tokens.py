@@ -120,3 +120,20 @@ def test_memo_that_forgets(plain, monkeypatch):
     for text in ODD + [f"some words, number {i}. the end, the end." for i in range(60)]:
         assert ids(memo.ids(text)) == plain.encode(text, add_special_tokens=False).ids
         assert len(memo) <= max(40, 2 * len(set(text.split(" "))))
+
+
+def test_known_characters_take_the_short_way(plain, monkeypatch):
+    own = packing.tokens(P.path("byte_bpe_50k.json"))
+    texts = [" eare.\nAtenan", " don't,\n\nwe'll", " naïve$$$", " 12ab#", "\nX", " a \n b", " x  ", " mail1@ex.com", " <|endoftext|>", " a\x85b", " é\u0301 \u00ad"]
+    whole = []
+    kept = packing.KNOWN.fullmatch
+    monkeypatch.setattr(packing, "KNOWN", type("Known", (), {"fullmatch": staticmethod(lambda t: kept(t) or whole.append(t))}))
+    assert [ids(x) for x in own.compute(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert whole == texts[-2:]  # these alone go through the whole tokenizer for their characters
+
+
+def test_memo_asks_once_for_a_part():
+    asked = []
+    memo = packing.Memo(lambda texts: asked.extend(texts) or [t.encode() for t in texts])
+    assert memo.ids("a b. b a a, c") == b"a b. b a a, c"
+    assert sorted(asked) == sorted([",", ".", "a", " b", " a", " c"])
