@@ -1,10 +1,11 @@
-"""Tokens of two tokenizers aligned on one text, by windows between shared ends before space-marked tokens."""
+"""Tokens of two tokenizers aligned on one text, in parts cut before spaces, where tokens of both end."""
 
 from __future__ import annotations
 
 import hashlib
 import os
 import re
+import struct
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -15,25 +16,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.arrowio import arrow_type, bound_batches, map_slices, rows, slices
+from assayer.llm.chunks import parts
 from assayer.llm.packing import byte_letters, tokens
 from assayer.llm.shared import stored
 
-#: Window alignments that a worker keeps, and the tokens of a window that is worth keeping.
-WINDOWS, WORTH = 200_000, 64
+#: Parts whose alignments a worker keeps, those whose ids of A alone it keeps, and the characters of a part that is worth keeping.
+PARTS, FIRST, WORTH = 400_000, 40_000, 64
 SLICE = 1 << 20
+#: Parts that are aligned as one run.
+BATCH = 20_000
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
 @dataclass
 class Vocabulary:
-    """Bytes of every token id, their lengths, and which begin with a space."""
+    """Bytes of every token id and their lengths."""
 
     tokens: list[bytes]
 
     def __post_init__(self):
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.names = [str(i) for i in range(len(self.tokens))]
-        self.spaced = np.array([t[:1] == b" " for t in self.tokens])
 
 
 @lru_cache(maxsize=2)
@@ -96,81 +99,81 @@ def link_pairs(path_a: str, path_b: str) -> LinkPairs:
     return LinkPairs(byte_level(path_a)[1], pieces(path_b)[1])
 
 
+def units(text: str) -> list[str]:
+    """Parts of a text (``chunks``) that each lost the space before them, that before the text included."""
+    first, *rest = parts(" " + text)
+    out = [first[1:], *rest] if first else rest
+    if len(out) > 1 and not out[-1]:  # a space at the end is no part of its own
+        out[-2:] = [out[-2] + " "]
+    return out
+
+
 class Aligner:
-    """Both tokenizers, and the alignments of the windows that were met before, by their id tuples."""
+    """Both tokenizers, and the alignments of the parts that were met before.
+
+    A cuts its pre-tokens before the space that begins a part (``chunks``), and no token of B holds a space mark after another
+    character, so the ids of a text are those of its parts, and tokens of both end with every part. ``Aligner`` refuses a
+    vocabulary of which this is not true.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         (_, self.va), (self.b, self.vb) = byte_level(path_a), pieces(path_b)
-        self.a = tokens(path_a, plain=True)
+        if any(b" " in t.lstrip(b" ") for t in self.vb.tokens):
+            raise ValueError("a token of the second tokenizer holds a space after another character")
+        self.a = tokens(path_a, plain=True, limit=FIRST)
         self.pairs = link_pairs(path_a, path_b)
         # ids with what follows them in the text of the groups: a comma inside a side, | after the first, ; after the second
         self.names = [name + mark for v, marks in ((self.va, ",|"), (self.vb, ",;")) for mark in marks for name in v.names]
-        #: Window alignments by both id tuples, packed with a mark between them that is no id.
-        self.memo: dict[bytes, tuple[str, bytes]] = {}
+        #: Of a part: tokens of A times 2^32 and of B, text of the groups, numbers of the linked pairs.
+        self.memo: dict[str, tuple[int, bytes, bytes] | None] = {}
 
     def align(self, texts: list[str]) -> list[tuple[int, int, int, bytes, str] | None]:
         """Of each text (tokens of A, tokens of B, groups, linked pairs, digest of the groups), or none if a tokenizer does not
         give its bytes back.
-
-        The texts whose bytes agree follow each other as one run of tokens of each side, which ends together after every text.
         """
-        out: list = [None] * len(texts)
-        at = [i for i, t in enumerate(texts) if t]
-        all_a = [np.frombuffer(self.a.ids(" " + texts[i]), "<u4").tolist() for i in at]
-        all_b = self.b.encode([texts[i] for i in at], num_threads=1)
-        good = []
-        for i, ids_a, ids_b in zip(at, all_a, all_b):
-            raw = b" " + texts[i].encode()
-            if b"".join(map(self.va.tokens.__getitem__, ids_a)) == raw == b"".join(map(self.vb.tokens.__getitem__, ids_b)):
-                good.append((i, ids_a, ids_b))
+        cut = [units(t) if t else [] for t in texts]
+        wanted = set().union(*cut)
+        new = wanted.difference(self.memo)
+        if len(self.memo) + len(new) > PARTS:
+            self.memo = {p: self.memo[p] for p in wanted.difference(new)}
+        new = list(new)
+        for at in range(0, len(new), BATCH):
+            some = new[at:at + BATCH]
+            self.memo.update(zip(some, self._learned(some)))
+        out: list = []
+        for text, own in zip(texts, cut):
+            found = [*map(self.memo.__getitem__, own)]
+            if None in found:  # then the bytes of the whole text decide
+                found = self._learned([text])
+            if not found or found[0] is None:
+                out.append(None)
+                continue
+            n, groups, links = zip(*found)
+            n, links = sum(n), b"".join(links)
+            out.append((n >> 32, n & 0xFFFFFFFF, len(links) // 4, links, hashlib.sha256(b";".join(groups)).hexdigest()))
+        for p in new:
+            if len(p) > WORTH:
+                del self.memo[p]
+        return out
+
+    def _learned(self, some: list[str]) -> list[tuple[int, bytes, bytes] | None]:
+        """What the memo holds, of each of some parts; none where the bytes of a tokenizer are others than those of the part."""
+        all_a = [struct.unpack(f"<{len(x) // 4}I", x) for x in map(self.a.__getitem__, some)]
+        all_b = self.b.encode(some, num_threads=1)
+        token_a, token_b = self.va.tokens.__getitem__, self.vb.tokens.__getitem__
+        good = [n for n, (p, x, y) in enumerate(zip(some, all_a, all_b))
+                if b"".join(map(token_a, x)) == (raw := b" " + p.encode()) == b"".join(map(token_b, y))]
+        out: list = [None] * len(some)
         if not good:
             return out
-        sizes = [np.array([len(g[k]) for g in good]) for k in (1, 2)]
-        a, b = (np.fromiter(chain.from_iterable(g[k] for g in good), "<i4", int(n.sum())) for k, n in zip((1, 2), sizes))
-        del all_a, all_b
-        ends_a, ends_b = np.cumsum(self.va.sizes[a]), np.cumsum(self.vb.sizes[b])
-        # places where both tokens before end and both tokens after begin with a space
-        open_a, open_b = np.flatnonzero(self.va.spaced[a[1:]]), np.flatnonzero(self.vb.spaced[b[1:]])
-        _, x, y = np.intersect1d(ends_a[open_a], ends_b[open_b], assume_unique=True, return_indices=True)
-        cuts_a, cuts_b = (np.unique(np.concatenate([[0], cut, np.cumsum(n)])) for cut, n in zip((open_a[x] + 1, open_b[y] + 1), sizes))
-        texts_of, links_of, first, place = self._windows(a, b, cuts_a, cuts_b)
-        count = np.array([len(x) // 4 for x in links_of])
-        flat, starts = np.frombuffer(b"".join(links_of), "<i4"), np.r_[0, np.cumsum(count)]
-        n = count[place]
-        upto = np.r_[0, np.cumsum(n)]
-        links = flat[np.repeat(starts[place] - upto[:-1], n) + np.arange(upto[-1])]
-        bounds = np.searchsorted(cuts_a, np.r_[0, np.cumsum(sizes[0])])
-        for (i, ids_a, ids_b), w, v in zip(good, bounds, bounds[1:]):
-            groups = ";".join([texts_of[k] for k in place[w:v].tolist()])
-            out[i] = (len(ids_a), len(ids_b), int(upto[v] - upto[w]), links[upto[w]:upto[v]].tobytes(), hashlib.sha256(groups.encode()).hexdigest())
+        sizes_a, sizes_b = (np.array([len(x[n]) for n in good]) for x in (all_a, all_b))
+        a, b = (np.fromiter(chain.from_iterable(x[n] for n in good), np.int64, int(size.sum())) for x, size in ((all_a, sizes_a), (all_b, sizes_b)))
+        ends_a, ends_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
+        told = self._aligned(a, b, ends_a - sizes_a, ends_a, ends_b - sizes_b, ends_b)
+        for n, size, (groups, links) in zip(good, (sizes_a << 32 | sizes_b).tolist(), told):
+            out[n] = size, groups.encode(), links
         return out
 
-    def _windows(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray):
-        """Group texts and linked pairs of the distinct windows, where each is first, and for every window which one it is.
-
-        Two fingerprints of a window's ids, 128 bits in all, tell equal windows; each distinct one is looked up by its ids.
-        """
-        one, two = (_fingerprints(a, cuts_a, p) ^ (_fingerprints(b, cuts_b, p) * np.uint64(0x9E3779B97F4A7C15)) for p in POWERS)
-        _, first, place = np.unique(one, return_index=True, return_inverse=True)
-        if (two != two[first][place]).any():
-            _, first, place = np.unique(np.c_[one, two], axis=0, return_index=True, return_inverse=True)
-            place = place.reshape(-1)
-        wide = "<u2" if max(len(self.va.tokens), len(self.vb.tokens)) < 0xFFFF else "<u4"
-        size = np.dtype(wide).itemsize
-        mark, bytes_a, bytes_b = b"\xff" * size, a.astype(wide).tobytes(), b.astype(wide).tobytes()
-        spans = [cut[first + d] for cut in (cuts_a, cuts_b) for d in (0, 1)]
-        keys = [bytes_a[size * i:size * j] + mark + bytes_b[size * k:size * m] for i, j, k, m in zip(*(x.tolist() for x in spans))]
-        told = [self.memo.get(key) for key in keys]
-        new = np.array([n for n, t in enumerate(told) if t is None], np.int64)
-        if len(new):
-            if len(self.memo) + len(new) > WINDOWS:
-                self.memo.clear()
-            for n, found in zip(new.tolist(), self._aligned(a, b, *(x[new] for x in spans))):
-                told[n] = found
-                if len(keys[n]) <= size * WORTH:
-                    self.memo[keys[n]] = found
-        return [t[0] for t in told], [t[1] for t in told], first, place
-
     def _aligned(self, a: np.ndarray, b: np.ndarray, from_a: np.ndarray, to_a: np.ndarray, from_b: np.ndarray, to_b: np.ndarray):
         """(text of the groups, numbers of the linked pairs) of each stretch of ids; both sides of a stretch have equal bytes.
 
@@ -185,35 +188,17 @@ class Aligner:
         codes[last_a] += n_a
         codes[len(a) + last_b] += n_b
         order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
-        words = [self.names[c] for c in codes[order].tolist()]
-        numbers = self.pairs.number(a[last_a].astype(np.int64), b[last_b].astype(np.int64))
+        words = [*map(self.names.__getitem__, codes[order].tolist())]
+        numbers = self.pairs.number(a[last_a].astype(np.int64), b[last_b].astype(np.int64)).tobytes()
         ends = np.cumsum(to_a - from_a)
         words_to = np.cumsum(to_a - from_a + to_b - from_b).tolist()
-        groups_to = np.searchsorted(last_a, ends).tolist()  # groups that end before the next stretch
+        links_to = (4 * np.searchsorted(last_a, ends)).tolist()  # groups that end before the next stretch
         i = g = 0
-        for j, h in zip(words_to, groups_to):
-            yield "".join(words[i:j])[:-1], numbers[g:h].tobytes()
+        for j, h in zip(words_to, links_to):
+            yield "".join(words[i:j])[:-1], numbers[g:h]
             i, g = j, h
 
 
-#: Odd numbers whose powers weigh the places of a window.
-POWERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-
-
-def _fingerprints(ids: np.ndarray, cuts: np.ndarray, power: int) -> np.ndarray:
-    """64 bits of the ids between each two cuts, whatever stands before."""
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(29)
-    up = np.full(len(ids) + 1, power, np.uint64)
-    down = np.full(len(ids) + 1, pow(power, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    sums = np.r_[np.uint64(0), np.cumsum(mixed * up[:-1], dtype=np.uint64)]
-    h = (sums[cuts[1:]] - sums[cuts[:-1]]) * down[cuts[:-1]]
-    h ^= np.diff(cuts).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-    return (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-
-
 @lru_cache(maxsize=2)
 def aligner(path_a: str, path_b: str) -> Aligner:
     """One for each worker process."""
@@ -223,8 +208,8 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_a, n_b, n_groups, links, groups_sha256) of every whole text; ``links`` are numbers of ``link_pairs`` as 32-bit integers.
 
-    A encodes the text after a space (its library's ids, those of words kept in a memo: ``chunks`` says why they are the same), B the
-    whole text. Null and empty texts, and those that either
+    A encodes the text after a space and B the text, by their libraries, in parts whose alignments are kept (``Aligner`` says why the
+    ids are those of the whole text). Null and empty texts, and those that either
     tokenizer does not give back byte by byte, have no tokens and the digest ''. Ids may be null or repeat; an empty
     table gives no rows; other columns are left out.
     """

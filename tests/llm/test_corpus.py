@@ -243,6 +243,16 @@ def test_alignment_on_odd_texts(spark, truth, monkeypatch):
     assert alignment.align_tokens(df.limit(0), A, B).count() == 0
 
 
+def test_a_part_is_aligned_once(monkeypatch):
+    own, asked = alignment.Aligner(A, B), []
+    learn = own._learned
+    monkeypatch.setattr(own, "_learned", lambda some: asked.extend(some) or learn(some))
+    first, second = own.align(["the fox  the fox.", "the fox. the "]), own.align(["the fox.", "the  fox.", "the \u2581 fox"])
+    assert sorted(asked) == sorted({*asked, "the \u2581 fox"}) and "the" in asked  # no part twice; only a text that fails is looked at whole
+    assert [t and t[:2] for t in second][2] is None and first[1][0] == second[0][0] + len(np.frombuffer(own.a.ids("the "), "<u4"))
+    assert alignment.units(" a  b c ") == [" a  b", "c "] and alignment.units("a \n b") == ["a", "\n b"]
+
+
 def test_windows_give_what_the_whole_gives():
     own = alignment.Aligner(A, B)
     texts = ["The  quick brown fox, jumping over\n the lazy dogs' tails.", "", "naïve  café — 12,345 tokens ", "a▁b", "x" * 300 + " y" * 300, "the fox the fox the fox"]
