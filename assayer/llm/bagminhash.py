@@ -15,6 +15,8 @@ from assayer.llm.shared import release, stored
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 WIDTH = 5
+#: Bytes of text or of lists that a step takes at once; what it makes of a text can be some times larger.
+PIECE = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -133,11 +135,11 @@ def signatures(docs: DataFrame, bands: int, per_band: int, text_col: str = "text
         return keys, buckets, sigs
 
     narrow = docs.select(text_key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return map_slices(narrow, "text", run, "key binary, bands array<long>, sig binary", out)
+    return map_slices(narrow, "text", run, "key binary, bands array<long>, sig binary", out, PIECE)
 
 
-#: Values of the longer signatures by which texts of crowded groups are told apart.
-SHARP = 256
+#: Values of the longer signatures by which texts of crowded groups are told apart, and of those for texts of hot tokens.
+SHARP, SHARPEST = 256, 2048
 
 
 def screen_level(threshold: float, values: int) -> float:
@@ -145,18 +147,18 @@ def screen_level(threshold: float, values: int) -> float:
     return threshold - 4.8 * (threshold * (1 - threshold) / values) ** 0.5
 
 
-def sharp_signatures(keys: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, sig) of ``SHARP`` values for the texts of ``keys``."""
+def sharp_signatures(keys: DataFrame, docs: DataFrame, text_col: str = "text", values: int = SHARP) -> DataFrame:
+    """(key, sig) of so many ``values`` for the texts of ``keys``."""
     texts = (docs.select(text_key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
              .join(keys.select("key"), "key", "left_semi").dropDuplicates(["key"]))
     out = pa.schema([("key", pa.binary()), ("sig", pa.binary())])
     words = Words()
 
     def run(batch):
-        found = [_mix(bag_minhash(*shingles(text, words), SHARP)) for text in texts_of(batch)]
+        found = [_mix(bag_minhash(*shingles(text, words), values)) for text in texts_of(batch)]
         return batch.column("key"), [(x & np.uint64(255)).astype(np.uint8).tobytes() for x in found]
 
-    return map_slices(texts, "text", run, "key binary, sig binary", out)
+    return map_slices(texts, "text", run, "key binary, sig binary", out, PIECE)
 
 
 def screened(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -193,14 +195,14 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, text_col: str
         return batch.column("key"), [e.tobytes() for e, _ in found], [w.astype("<u4").tobytes() for _, w in found]
 
     held = pa.schema([("key", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary())])
-    bags = stored(map_slices(texts, "text", count, "key binary, hashes binary, counts binary", held), "bags")
+    bags = stored(map_slices(texts, "text", count, "key binary, hashes binary, counts binary", held, PIECE), "bags")
     release(bags)
     first, second = (bags.select(F.col("key").alias(side), F.col("hashes").alias(f"h{side}"), F.col("counts").alias(f"c{side}")) for side in "ab")
     both = pairs.join(first, "a").join(second, "b")
     out = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
 
     def run(batches):
-        for batch in slices(slices(batches, "ha"), "hb"):
+        for batch in slices(slices(batches, "ha", PIECE), "hb", PIECE):
             kept = []
             for a, b, ha, ca, hb, cb in zip(*(batch.column(c) for c in ("a", "b", "ha", "ca", "hb", "cb"))):
                 bag_a, bag_b = ((np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), "<u4").astype(np.int64))
@@ -257,7 +259,7 @@ def rare_tokens(hard: DataFrame, docs: DataFrame, threshold: float, text_col: st
         return (batch.column("key").take(pa.array(np.repeat(np.arange(len(found)), sizes))), np.repeat(sizes, sizes),
                 np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))
 
-    every = stored(map_slices(texts, "text", run, "key binary, size long, token long", out), "tokens")
+    every = stored(map_slices(texts, "text", run, "key binary, size long, token long", out, PIECE), "tokens")
     often = every.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     lists = every.join(often, "token").groupBy("key").agg(
         F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "token"))).alias("l"))
@@ -277,7 +279,8 @@ def hot_pairs(hot: DataFrame, sigs: DataFrame, threshold: float, least: float) -
 
     The texts of a token are dealt into parts, and every two parts meet in one row, so that all pairs are looked at however many
     texts there are. A pair whose sizes and places leave no room for ``threshold`` if this is its first common token
-    is passed over without a look at the signatures, which must agree in the share ``least``.
+    is passed over without a look at the signatures, which must agree in the share ``least`` of their first ``SHARP`` values and,
+    if they are longer, in all as a pair at the threshold does: of texts just below it a short signature leaves most pairs in.
     """
     parts = F.ceil(F.col("n") / F.lit(PART))
     dealt = (hot.join(sigs.select("key", "sig"), "key").withColumn("own", F.pmod(F.xxhash64("key"), parts))
@@ -302,7 +305,9 @@ def hot_pairs(hot: DataFrame, sigs: DataFrame, threshold: float, least: float) -
                     if not within:
                         fit &= own[y] != own[x]
                     near = np.flatnonzero(fit) + x + 1
-                    near = near[(sig[near] == sig[x]).mean(1) >= least] if len(near) else near
+                    near = near[(sig[near, :SHARP] == sig[x, :SHARP]).mean(1) >= least] if len(near) else near
+                    if sig.shape[1] > SHARP and len(near):
+                        near = near[(sig[near] == sig[x]).mean(1) >= screen_level(threshold, sig.shape[1])]
                     pairs += [(min(key[x], key[k]), max(key[x], key[k])) for k in near]
                 if pairs:
                     yield rows(out, *map(list, zip(*pairs)))
@@ -385,6 +390,8 @@ def _named(docs: DataFrame, threshold: float = 0.8, bands: int = 24, per_band: i
         mixed = hot.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("token")
         hot = stored(hot.join(mixed, "token", "left_semi"), "hot")
         if not hot.isEmpty():
+            sharp = stored(sharp_signatures(hot.select("key").distinct(), docs, text_col, SHARPEST), "sharpest")
+            release(sharp)
             more = linked(hot_pairs(hot, sharp, threshold, level))
             release(more)
             all_roots = stored(components(links.union(more.select("a", "b"))), "roots")

@@ -174,6 +174,25 @@ def test_hot_tokens_meet_in_parts(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_long_signatures_part_texts_just_below_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, bagminhash.SHARPEST, dtype=np.uint8)
+    sigs = {}
+    for key, share in ((b"a", 1.0), (b"b", 0.8), (b"c", 0.72)):  # shares of the values that agree with those of a
+        other = base.copy()
+        for part in (slice(0, bagminhash.SHARP), slice(bagminhash.SHARP, None)):  # in the short signature and in the rest alike
+            other[part][:round((1 - share) * len(other[part]))] += 1
+        sigs[key] = other
+    hot = spark.createDataFrame([(1, k, k, 100, 0, 3) for k in sigs], "token long, key binary, root binary, size long, pos long, n long")
+
+    def met(n):
+        frame = spark.createDataFrame([(k, bytearray(x[:n].tobytes())) for k, x in sigs.items()], "key binary, sig binary")
+        found = bagminhash.hot_pairs(hot, frame, 0.8, bagminhash.screen_level(0.8, bagminhash.SHARP)).collect()
+        return {(bytes(r.a), bytes(r.b)) for r in found}
+    assert met(bagminhash.SHARP) >= {(b"a", b"b"), (b"a", b"c")}
+    assert (b"a", b"b") in met(bagminhash.SHARPEST) and (b"a", b"c") not in met(bagminhash.SHARPEST)
+
+
 def spans_truth(rows):
     first = {}
     for i, t in rows:
