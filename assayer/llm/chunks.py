@@ -19,27 +19,34 @@ def parts(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """Ids of parts, computed when first asked for, forgotten all at once when ``limit`` parts are held.
+    """Ids of parts, computed when first asked for; at most ``limit`` parts are held.
 
+    Parts are held in two halves. When the young half is full it becomes the old one and the old one is forgotten; a part that is
+    asked for again moves to the young half, so words that come often are never computed anew.
     A comma or full stop after a letter at the end of a part is a pre-token of its own, so the ids of the part are those
     of the rest and of the mark.
     """
 
     def __init__(self, compute, limit: int = 800_000):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.old = compute, limit, {}
         self.marks = dict(zip(",.", compute([",", "."])))
 
     def __missing__(self, part: str) -> bytes:
-        if part[-1:] in self.marks and part[-2:-1].isalpha():
-            ids = self[part[:-1]] + self.marks[part[-1]]
-        else:
-            ids = self.compute([" " + part])[0]
-        if len(self) >= self.limit:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.asked(part)
+        if len(self) >= self.limit // 2:
+            self.old = dict(self)
             self.clear()
         self[part] = ids
         return ids
 
+    def asked(self, part: str) -> bytes:
+        if part[-1:] in self.marks and part[-2:-1].isalpha():
+            return self[part[:-1]] + self.marks[part[-1]]
+        return self.compute([" " + part])[0]
+
     def ids(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if not text:

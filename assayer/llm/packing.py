@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
+import string
+from array import array
 from functools import lru_cache
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.arrowio import bound_batches, give_back, rows, slices, texts_of
+from assayer.llm.arrowio import bound_batches, collector_off, give_back, rows, slices, texts_of
 from assayer.llm.chunks import Memo
 
 SCHEMA = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -31,6 +32,8 @@ def byte_letters() -> dict[int, str]:
 
 #: Texts whose characters are of the same kind (letter, digit, other) in every version of Unicode, with no white space but space and \n.
 KNOWN = re.compile("[ \n!-~\u00a1-\u00ac\u00ae-\u024f]*")
+#: Neither letters nor digits nor white space.
+SYMBOLS = string.punctuation
 #: How byte-level vocabularies with ``use_regex`` cut a text into pre-tokens.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -43,18 +46,42 @@ class Pretokens(dict):
         self.tokenize, self.letters = model.tokenize, byte_letters()
         self.space = self.letters[ord(" ")]
 
+    def spelled(self, word: str) -> str:
+        return word.encode().decode("latin-1").translate(self.letters)
+
+    def model(self, spelled: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
+
     def __missing__(self, word: str) -> bytes:
         if len(self) >= 50_000:
             self.clear()
-        if word.isascii() and word[1:].isalpha():
-            spelled = word.replace(" ", self.space)
-        else:
-            spelled = word.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.tokenize(spelled)]
-        self[word] = found = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = found = self.model(word if word.isascii() and word.isalpha() else self.spelled(word))
         return found
 
 
+class Words(Memo):
+    """A memo whose misses go straight to the library's model where the part is a word, or a word and then symbols.
+
+    A run of symbols after a letter is a pre-token of its own. The word before it is looked up but not held: most such words come once.
+    """
+
+    def __init__(self, compute, limit: int, known: Pretokens, added: list[str]):
+        super().__init__(compute, limit)
+        self.known, self.added = known, added
+
+    def asked(self, part: str) -> bytes:
+        if part.isalpha():
+            if part.isascii():
+                return self.known.model(self.known.space + part)
+            if KNOWN.fullmatch(part):
+                return self.known.model(self.known.spelled(" " + part))
+        else:
+            word = part.rstrip(SYMBOLS)
+            if word.isalpha() and KNOWN.fullmatch(word) and not any(t in part for t in self.added):
+                return (self.get(word) or self.old.get(word) or self.asked(word)) + self.known[part[len(word):]]
+        return self.compute([" " + part])[0]
+
+
 @lru_cache(maxsize=2)
 def tokens(path: str, plain: bool = False, limit: int = 600_000) -> Memo:
     """Ids by the tokenizers library, one memo per worker process; with ``plain`` no string of a text is a special token.
@@ -78,18 +105,13 @@ def tokens(path: str, plain: bool = False, limit: int = 600_000) -> Memo:
     def compute(texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            word = text[text[:1] == " ":]
-            if direct and word.isascii() and word.isalpha():  # one pre-token, seldom met again: its part is in the memo
-                ids = [t.id for t in known.tokenize(text.replace(" ", known.space))]
-                out.append(struct.pack(f"<{len(ids)}I", *ids))
-            elif direct and KNOWN.fullmatch(text) and not any(t in text for t in added):
+            if direct and KNOWN.fullmatch(text) and not any(t in text for t in added):
                 out.append(b"".join(map(known.__getitem__, find(text))))
             else:
-                ids = tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-                out.append(struct.pack(f"<{len(ids)}I", *ids))
+                out.append(array("I", tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes())
         return out
 
-    return Memo(compute, limit)
+    return Words(compute, limit, known, added) if direct else Memo(compute, limit)
 
 
 def cuts(length: int, capacity: int, slack: int) -> list[tuple[int, int]]:
@@ -174,15 +196,16 @@ def harmonic_pack(docs: DataFrame, path: str, capacity: int = 2048, slack: int =
         memo = tokens(path)
         packer = Packer(capacity, slack, TaskContext.get().partitionId() << 40)
         end = end_id.to_bytes(4, "little")
-        for part in slices(batches, "text"):
-            done = []
-            for doc, text in zip(part.column("doc_id").to_pylist(), texts_of(part)):
-                done += packer.add(doc, memo.ids(text) + end)
+        with collector_off():  # the memo holds nothing that it could free, and it walks over all of it
+            for part in slices(batches, "text"):
+                done = []
+                for doc, text in zip(part.column("doc_id").to_pylist(), texts_of(part)):
+                    done += packer.add(doc, memo.ids(text) + end)
+                if done:
+                    yield rows(ARROW, *map(list, zip(*done)))
+            done = packer.finish()
             if done:
                 yield rows(ARROW, *map(list, zip(*done)))
-        done = packer.finish()
-        if done:
-            yield rows(ARROW, *map(list, zip(*done)))
         give_back()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

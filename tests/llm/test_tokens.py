@@ -137,3 +137,25 @@ def test_memo_asks_once_for_a_part():
     memo = packing.Memo(lambda texts: asked.extend(texts) or [t.encode() for t in texts])
     assert memo.ids("a b. b a a, c") == b"a b. b a a, c"
     assert sorted(asked) == sorted([",", ".", "a", " b", " a", " c"])
+
+
+def test_a_word_that_comes_often_is_asked_once():
+    asked = []
+    memo = packing.Memo(lambda texts: asked.extend(texts) or [t.encode() for t in texts], limit=10)
+    for i in range(50):
+        memo.ids(f"- often w{i}")
+        assert len(memo) + len(memo.old) <= 11
+    assert asked.count(" often") == 1
+
+
+def test_words_with_symbols_go_straight_to_the_model(plain, monkeypatch):
+    memo = packing.tokens(P.path("byte_bpe_50k.json"))
+    whole = []
+    monkeypatch.setattr(memo, "compute", lambda texts: whole.extend(texts) or [b"" for _ in texts])
+    texts = [f"{w}{tail}" for w in ("zuQß", "Zaqw", "é") for tail in ("", "!!", "###", "'", "'!", ",,", "_", "|>", "<|", "\"\"", ".", "~^`")]
+    for text in texts:
+        assert ids(memo[text]) == plain.encode(" " + text, add_special_tokens=False).ids
+    assert not whole
+    monkeypatch.undo()
+    for text in ("a<|endoftext|>", "x's", "x\u0301!", "x\u00ad.", "x1!", "!x", "\u65e5!", "q<|endoftext|>!"):
+        assert ids(memo[text]) == plain.encode(" " + text, add_special_tokens=False).ids
