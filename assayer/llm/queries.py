@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm import alignment, bagminhash, bpe, exact, html_blocks, line_crf, mixing, ordinal, packing, spelling, suffix, toxicity, warc
 from assayer.llm.hashing import held_out, labelled_sample
+from assayer.llm.shared import stored
 from assayer.session import scratch_path
 
 PACK_TOKENS = "byte_bpe_50k.json"
@@ -24,9 +25,11 @@ def op1_warc_captures(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(warc.page_records(pages), path)
     records = warc.read_archives(spark, path)
-    # sizes and digests are taken where a record is read, so that no payload is shuffled
-    records = records.withColumn("payload", F.struct(F.octet_length("payload").cast("long").alias("bytes"),
-                                                     warc.payload_digest(F.col("payload")).alias("digest")))
+    # sizes and digests are taken where a record is read, so that no payload is shuffled; the joins read the records
+    # several times, the archives are unpacked and parsed once
+    records = stored(records.withColumns({
+        "payload": F.struct(F.octet_length("payload").cast("long").alias("bytes"), warc.payload_digest(F.col("payload")).alias("digest")),
+        "block": F.when(~F.col("record_type").isin(*warc.ANCHORS), F.col("block"))}), "warc-records")
     captures = warc.assemble(records).filter("part = 0")
     told = captures.select(
         "capture_id", "record_type", "refers_to", "payload.bytes", "payload.digest",

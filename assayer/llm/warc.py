@@ -98,8 +98,11 @@ def page_records(pages: DataFrame, page_col: str = "page_id", url_col: str = "ur
 
 
 def write_archives(records: DataFrame, path: str, records_per_file: int = 12288) -> None:
-    """Archives of bounded length under ``path``; the shuffle files of the writing job are freed."""
-    (records.write.option("lineSep", END).option("compression", "gzip")
+    """Archives of bounded length under ``path``; the shuffle files of the writing job are freed.
+
+    Packed at gzip's fastest level: the usual one takes several times the CPU time for archives that are a little smaller.
+    """
+    (records.write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
      .option("maxRecordsPerFile", records_per_file).text(path))
     release(records)
 

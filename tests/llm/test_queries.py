@@ -28,6 +28,19 @@ def test_sql(spark, name):
     assert rows(df.columns, got) == rows(columns, cur.fetchall()) and got
 
 
+def test_archives_are_parsed_once(spark, tmp_path):
+    pages = [(1, "http://a.example/x", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://c.example", None), (4, "http://d.example", ""),
+             (5, "http://e.example", "a\r\n\r\nWARC/1.1\r\n\r\n")]
+    want = [(1, 9, "response", None), (2, 9, "revisit", 1), (3, 0, "response", None), (4, 0, "revisit", 3), (5, 17, "response", None)]
+    for n in (len(pages), 0):
+        spark.createDataFrame(pages[:n], "page_id long, url string, html string").write.parquet(f"{tmp_path}/{n}/pages.parquet")
+        df = queries.op1_warc_captures(spark, f"{tmp_path}/{n}")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and "binaryFile" not in plan and "FileScan parquet" in plan
+        got = df.select("page_id", "payload_bytes", "record_type", "refers_to").collect()
+        assert sorted(map(tuple, got)) == want[:n]
+
+
 def test_round_trip(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     for r in queries.op5_bpe_round_trip(spark, FOLDER).collect():
