@@ -73,6 +73,15 @@ def word_counts(docs: DataFrame, least_length: int = 6, least_count: int = 5, sk
     return counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
 
 
+def merged(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` where both are dealt by key, whatever size Spark expects of them.
+
+    It sizes a written table by its compressed bytes, and exploded rows by the rows before, so tables of hundreds of megabytes
+    that grow with the words would go through the driver to every task.
+    """
+    return left.join(right.hint("merge"), keys, how)
+
+
 def trie_nodes(places: DataFrame, text: str, node: str) -> DataFrame:
     """``places`` with the number of the trie node at the end of the path ``text`` as ``node``.
 
@@ -84,7 +93,7 @@ def trie_nodes(places: DataFrame, text: str, node: str) -> DataFrame:
     shallow = places.filter(short).withColumn(node, first * (1 << 21) + second)
     deep = places.filter(~short)
     numbers = stored(deep.select(text).distinct().withColumn(node, F.monotonically_increasing_id() + F.lit(1 << 43)), "nodes")
-    return deep.join(numbers, text).select(*places.columns, node).unionByName(shallow)
+    return merged(deep, numbers, text).select(*places.columns, node).unionByName(shallow)
 
 
 def pair_dictionary(words: DataFrame) -> DataFrame:
@@ -115,9 +124,9 @@ def neighbours(words: DataFrame) -> DataFrame:
     keys = ["prefix", "suffix"]
     skip, gap = pairs.filter("skipped"), pairs.filter("not skipped")
     other = skip.select(*keys, F.col("word").alias("near"), F.col("n").alias("near_n"))
-    replaced = skip.join(other, keys).filter(F.col("word") != F.col("near")).select("word", "near", "near_n")
+    replaced = merged(skip, other, keys).filter(F.col("word") != F.col("near")).select("word", "near", "near_n")
     whole = gap.select(*keys, F.col("word").alias("near"), F.col("n").alias("near_n"))
-    edited = skip.filter("first").join(whole, keys).select("word", "n", "near", "near_n")
+    edited = merged(skip.filter("first"), whole, keys).select("word", "n", "near", "near_n")
     return replaced.union(edited.select("word", "near", "near_n")).union(edited.select("near", "word", "n"))
 
 
@@ -126,7 +135,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = stored(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         then = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        met = now.join(then, "root", "left")
+        met = merged(now, then, "root", "left")
         new = stored(met.select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         now = new.drop("moved")
         if new.filter("moved").isEmpty():
@@ -142,10 +151,10 @@ def spelling_variants(words: DataFrame, ratio: int = 5) -> DataFrame:
     words = stored(words.filter(F.col("word").isNotNull()).select("word", "n"), "words")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form")))
     near = neighbours(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
-    told = words.join(near, "word", "left")
+    told = merged(words, near, "word", "left")
     takes = -F.col("best.less") >= F.col("n") * ratio
     told = stored(told.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(takes, F.col("best.form")).alias("form"),
                               F.when(takes, -F.col("best.less")).alias("form_n")), "forms")
     release(told)
     last = roots(told.filter("form is not null").select("word", "form"))
-    return told.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return merged(told, last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -75,6 +75,21 @@ def test_spelling_of_close_words(spark):
     assert spelling.spelling_variants(df.limit(0)).count() == 0
 
 
+def test_spelling_sends_no_table_through_the_driver(spark, monkeypatch):
+    plans, write = [], spelling.stored
+
+    def ran(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(spelling, "stored", lambda df, name: write(ran(df), name))
+    words = spark.createDataFrame([("abcdefg", 900), ("abcdefh", 90), ("abcdeh", 9), ("xyzxyz", 5)], "word string, n long")
+    got = sorted(map(tuple, ran(spelling.spelling_variants(words)).collect()))
+    assert got == variants({"abcdefg": 900, "abcdefh": 90, "abcdeh": 9, "xyzxyz": 5})
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_word_counts_on_odd_texts(spark, monkeypatch):
     monkeypatch.setattr(spelling, "HELD", 3)
     odd = [(None, None), (1, ""), (None, "Strasse strasse " * 5), (2, "ÀÉÎÕÜß ÀÉÎÕÜß " * 4), (2, "ÀÉÎÕÜß ÀÉÎÕÜß " * 4), (3, "x" * 3_000_000), (4, "wordage, " * 400_000)]
