@@ -31,6 +31,9 @@ CHAPTER_LINE = "^[第一二三四五六七八九十章節篇\\s]+$"
 # ---- end of fixed values ----------------------------------------------------------------
 
 MARK = "\u0001"
+#: White space that the SQL of the queries knows as such, and the space separators of Unicode.
+WHITE = " \t\n\f\r"
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def words(text: Column) -> Column:
@@ -110,7 +113,7 @@ def with_between(df: DataFrame, text: str, spans: dict[str, tuple[list[str], lis
 
 def strip(text: Column) -> Column:
     """Trim of every white space, line ends included."""
-    return F.regexp_replace(F.regexp_replace(text, "^\\s+", ""), "\\s+$", "")
+    return F.trim(text, F.lit(WHITE))
 
 
 def judgment_fields(df: DataFrame, text: str, name: str, spans: dict | None = None, case_id: str = CASE_ID,

@@ -17,7 +17,7 @@ from assayer.sources import json_members
 
 # ---- fixed values -----------------------------------------------------------------
 LAW_NAME, OTHER = "中華民國刑法", "Other"
-TITLE_MARK = "^(?:標題：|題目：|Title:)\\s*"
+TITLE_MARK = "^(?:標題：|題目：|Title:)[ \\t\\f\\r]*"
 REPORT_BODY = "(?s)一、[^\\n]*鑑定報告[^\\n]*\\n─+\\n\\n(.+?)(?=─+\\n\\s*一-b|=+\\s*$|\\z)"
 REPORT_TRUTH, REPORT_PREDICTED = "正確答案：([\\w.-]+)", "模型判定：([\\w.-]+)"
 REPORT_ID = "鑑定報告：(\\S+)"
@@ -73,6 +73,12 @@ def _json_documents(spark: SparkSession, path: str, lines: bool) -> DataFrame:
     return documents(spark, path, "\n" if lines else None)
 
 
+def _json_records(spark: SparkSession, path: str, kind: str, lines: bool) -> DataFrame:
+    """Records of arrays; their strings may be longer than the 20 000 000 characters that Spark's parser takes unasked."""
+    d = _json_documents(spark, path, lines)
+    return d.select(F.inline(F.from_json("value", f"array<{kind}>", {"maxStringLen": str(2**31 - 1)})))
+
+
 def file_stem(path: Column | str = "path") -> Column:
     return F.regexp_extract(path, "([^/]+?)(?:\\.[^./]*)?$", 1)
 
@@ -109,8 +115,7 @@ def annotation_faults(spark: SparkSession, path: str) -> DataFrame:
 
 def statutes(spark: SparkSession, path: str, article_classes: DataFrame, lines: bool = False) -> DataFrame:
     """Arrays of article records; a missing class comes from the article number, else ``Other``."""
-    d = _json_documents(spark, path, lines)
-    rows = d.select(F.inline(F.from_json("value", f"array<{schemas.STATUTE}>")))
+    rows = _json_records(spark, path, schemas.STATUTE, lines)
     mapped = F.broadcast(article_classes.withColumnRenamed("class", "__class"))  # fixed article list
     return rows.join(mapped, "article_id", "left").select(
         "article_id", F.coalesce("law_name", F.lit(LAW_NAME)).alias("law_name"), F.coalesce("chapter", F.lit("")).alias("chapter"),
@@ -131,8 +136,7 @@ def statute_text(spark: SparkSession, path: str, law_name: str = LAW_NAME, separ
 
 def judgments(spark: SparkSession, path: str, types=None, lines: bool = False) -> DataFrame:
     """Arrays of judgment records cut to sections."""
-    d = _json_documents(spark, path, lines)
-    rows = d.select(F.inline(F.from_json("value", f"array<{schemas.JUDGMENT}>")))
+    rows = _json_records(spark, path, schemas.JUDGMENT, lines)
     cut = X.sections(rows.withColumnRenamed("content", "whole"), "whole", types)
     return cut.select(F.coalesce("case_id", F.lit("unknown")).alias("case_id"), "crime_category", "section_no", "type", "content")
 
@@ -145,18 +149,23 @@ def judgment_texts(spark: SparkSession, path: str, separator: str | None = None,
 
 
 def essays(spark: SparkSession, texts: str | None = None, json: str | None = None, separator: str | None = None,
-           lines: bool = False) -> DataFrame:
-    """Essays: a text whose first line is the title, or JSON records with title and content."""
+           lines: bool = False, missing: str | None = "") -> DataFrame:
+    """Essays: a text whose first line is the title, or JSON records with title and content.
+
+    Texts divided by a separator are read as they were written, their line ends too. ``missing`` stands for a title or
+    content that a record lacks.
+    """
     parts = []
     if texts is not None:
-        t = F.regexp_replace(X.strip(F.col("value")), "\\r\\n", "\n")
+        t = X.strip(F.col("value"))
+        t = F.regexp_replace(t, "\\r\\n", "\n") if separator is None else t
         parts.append(documents(spark, texts, separator).select(
-            F.lit("text").alias("source"), F.trim(F.regexp_replace(F.substring_index(t, "\n", 1), TITLE_MARK, "")).alias("title"),
+            F.lit("text").alias("source"), F.trim(F.regexp_replace(F.substring_index(t, "\n", 1), TITLE_MARK, ""), F.lit(X.SPACES)).alias("title"),
             F.when(F.contains(t, F.lit("\n")), X.strip(F.regexp_replace(t, "^[^\\n]*\\n", ""))).otherwise("").alias("content")))
     if json is not None:
-        rows = _json_documents(spark, json, lines).select(F.inline(F.from_json("value", f"array<{schemas.ESSAY}>")))
-        parts.append(rows.select(F.coalesce("source", F.lit("json")).alias("source"), F.coalesce("title", F.lit("")).alias("title"),
-                                 F.coalesce("content", F.lit("")).alias("content")))
+        rows = _json_records(spark, json, schemas.ESSAY, lines)
+        parts.append(rows.select(F.coalesce("source", F.lit("json")).alias("source"), F.coalesce("title", F.lit(missing)).alias("title"),
+                                 F.coalesce("content", F.lit(missing)).alias("content")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

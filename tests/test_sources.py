@@ -2,10 +2,14 @@
 
 import json
 
+import duckdb
+
+import __spark_entry__ as entry
 from assayer import dims
 from assayer.operators import thresholds as T
 from assayer.sources import readers as R
 from assayer.sources import writers as W
+from check import rows
 
 
 def test_annotations_file(spark, tmp_path):
@@ -124,3 +128,29 @@ def test_reports_are_written_small(spark, tmp_path, monkeypatch):
     files = [f for f in (path / "run_id=r").iterdir() if f.name.startswith("part-")]
     assert len(files) == 4 and sum(f.stat().st_size for f in files) < 1000 * 200 * 18 / 20
     assert R.documents(spark, str(path), R.SEPARATOR).select("value").distinct().count() == 1000
+
+
+def test_essays_of_odd_texts(spark, tmp_path):
+    ends = ["", " ", "\n", "\r\n", "\r", "\t", "\f", "\v", "\u0085", "\u00a0", "\u3000", "\u2028", "\x1a", "\x1a2", "\ufeff"]
+    texts = [None, "", "標題：x\ny", "Title: \n\ny", "a\r\nb\r\nc", *[f for a in ends for b in ends for f in (
+        f"{a}head{b}\n{b}body{a}", f"{a}{b}", f"{a}head{b}")]]
+    docs = [(i, t, [None, "", " s "][i % 3]) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = entry.queries()["src_essays"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(entry.oracle_sql()["src_essays"])
+    assert rows(df.columns, df.collect()) == rows([c[0] for c in cur.description], cur.fetchall())
+
+
+def test_essay_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("標題：\r\n\r\n一\r\n二\r\n".encode())
+    (tmp_path / "b.json").write_text(json.dumps([{"content": "c"}, {"source": "s", "title": "t"}]))
+    got = R.essays(spark, str(tmp_path / "a.txt"), str(tmp_path / "b.json")).collect()
+    assert sorted(map(tuple, got)) == [("json", "", "c"), ("s", "t", ""), ("text", "", "一\n二")]
+
+
+def test_essay_of_any_length(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"title": "t", "content": "x" * 20_000_001}]))
+    got = R.essays(spark, json=str(tmp_path)).selectExpr("title", "length(content) AS n").collect()
+    assert list(map(tuple, got)) == [("t", 20_000_001)]
